@@ -199,7 +199,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int = WIDTH) -> np.ndarray
 
 
 def smallest_owner(blocks: list[bytes], owner: np.ndarray, width: int = WIDTH):
-    """For every window of the blocks: position of its block, its offset, the smallest owner of an equal window, and the group's first member."""
+    """For every window of the blocks, in order: number of its block, offset, smallest owner of an equal window, first equal window."""
     lengths = np.array([len(b) for b in blocks], np.int64)
     # 0 stands between blocks; bytes that are 0 in the text stay 0 too, which the lengths of windows tell apart.
     joined = np.frombuffer(b"\0".join(blocks) + b"\0", np.uint8)
@@ -227,13 +227,13 @@ def smallest_owner(blocks: list[bytes], owner: np.ndarray, width: int = WIDTH):
 
 
 def _settle(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors: the first of each (seed, block) in document order, and those of larger documents, which lose the block."""
+    """Sorted anchors: those of the smallest document of each (seed, block), and those of larger ones, which lose the block."""
     a = a[np.lexsort((a["at"], a["doc"], a["b"], a["k"]))]
     head = np.ones(len(a), bool)
     head[1:] = (a["k"][1:] != a["k"][:-1]) | (a["b"][1:] != a["b"][:-1])
     at = np.flatnonzero(head)
     low = np.repeat(a["doc"][at], np.diff(np.append(at, len(a))))
-    return a[at], a[a["doc"] > low]
+    return a[a["doc"] == low], a[a["doc"] > low]
 
 
 def _lost(a: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,9 +346,10 @@ def shared_blocks(docs: DataFrame, width: int, seed: int) -> DataFrame:
             o = np.lexsort((lo, doc))
             return pa.Table.from_batches([_runs(0, *merge(doc[o], lo[o], hi[o]))])
         a, lost = _settle(np.concatenate([_unpack(x) for x in blobs]))
-        head = np.flatnonzero(np.concatenate([[True], a["k"][1:] != a["k"][:-1]]))
-        size = np.diff(np.append(head, len(a)))
-        many = a[np.repeat(size > 1, size)]
+        new_seed = np.concatenate([[True], a["k"][1:] != a["k"][:-1]])
+        head = np.flatnonzero(new_seed)
+        new_block = new_seed | np.concatenate([[True], a["b"][1:] != a["b"][:-1]])
+        many = a[np.repeat(np.add.reduceat(new_block, head, dtype=np.int64) > 1, np.diff(np.append(head, len(a))))]
         return pa.Table.from_batches([_runs(0, *_lost(lost, width)), _runs(1, many["doc"], many["at"], many["at"].astype(np.int64) + many["n"] + width - 1, many["k"], many["b"])])
 
     return spread(docs).mapInArrow(map_side, "bucket int, blob binary").groupBy("bucket").applyInArrow(reduce_side, _RUNS)
@@ -389,31 +390,41 @@ def tell_apart(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
             if i == len(blocks) or (size > SHARD_BYTES and k[order[i]] != k[order[i - 1]]):
                 rows = order[at:i]
                 if len(rows):
-                    block, offset, low, first = smallest_owner([blocks[r] for r in rows], doc[rows], width)
-                    rows = np.asarray(rows)
-                    spread_out = piece[rows[block]] >= 0
-                    lost = (low < doc[rows[block]]) & ~spread_out
-                    parts.append((np.zeros(lost.sum(), np.int64), doc[rows[block[lost]]], lo[rows[block[lost]]] + offset[lost], low[lost], np.zeros(lost.sum(), np.int64)))
+                    # A text that repeats itself has a block many times: once is enough for the array.
+                    seen: dict[tuple, int] = {}
+                    which = np.array([seen.setdefault((doc[r], blocks[r]), len(seen)) for r in rows])
+                    block, offset, low, _ = smallest_owner([x for _, x in seen], np.array([d for d, _ in seen], np.int64), width)
+                    starts = np.searchsorted(block, np.arange(len(seen) + 1))
+                    n = (starts[1:] - starts[:-1])[which]
+                    w = ranges(starts[which], n)  # the windows of every occurrence
+                    row = np.repeat(np.asarray(rows), n)
+                    d, x, least = doc[row], lo[row] + offset[w], low[w]
+                    spread_out = piece[row] >= 0
+                    gone = np.flatnonzero((least < d) & ~spread_out)
+                    gone = gone[np.lexsort((x[gone], d[gone]))]
+                    m = merge(d[gone], x[gone], x[gone] + width)
+                    parts.append((np.zeros(len(m[0]), np.int64), *m, np.zeros(len(m[0]), np.int64), np.zeros(len(m[0]), np.int64)))
                     if spread_out.any():
-                        h = np.array([int.from_bytes(hashlib.blake2b(blocks[rows[x]][y : y + width], digest_size=8).digest(), "little", signed=True) for x, y in zip(block[spread_out], offset[spread_out], strict=True)], np.int64)
-                        parts.append((np.ones(len(h), np.int64), doc[rows[block[spread_out]]], lo[rows[block[spread_out]]] + offset[spread_out], low[spread_out], h))
+                        o = np.flatnonzero(spread_out)
+                        h = np.array([int.from_bytes(hashlib.blake2b(blocks[r][p : p + width], digest_size=8).digest(), "little", signed=True) for r, p in zip(row[o], offset[w[o]], strict=True)], np.int64)
+                        parts.append((np.ones(len(h), np.int64), d[o], x[o], x[o] + width, least[o], h))
                 at, size = i, 0
             if i < len(blocks):
                 size += len(blocks[order[i]])
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-        return pa.table(dict(zip(("open", "doc", "at", "low", "h"), map(pa.array, cols), strict=True)))
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+        return pa.table(dict(zip(("open", "doc", "lo", "hi", "low", "h"), map(pa.array, cols), strict=True)))
 
-    return found.groupBy("shard").applyInArrow(run, "open long, doc long, at long, low long, h long")
+    return found.groupBy("shard").applyInArrow(run, "open long, doc long, lo long, hi long, low long, h long")
 
 
 def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """Per document that loses bytes: doc, runs = array of (lo, hi), which may overlap."""
     found = cut(shared_blocks(docs, width, seed))
     windows = cut(tell_apart(docs, found.where("kind = 1").select("doc", "lo", "hi", "k", "b"), width))
-    open_ = windows.where("open = 1").select("doc", "at", "low", "h")
+    open_ = windows.where("open = 1")
     lowest = open_.groupBy("h").agg(F.min("low").alias("lowest"))
-    closed = windows.where("open = 0").select("doc", "at").unionByName(open_.join(lowest, "h").where("lowest < doc").select("doc", "at"))
-    all_runs = found.where("kind = 0").select("doc", "lo", "hi").unionByName(closed.select("doc", F.col("at").alias("lo"), (F.col("at") + width).alias("hi")))
+    parts = (found.where("kind = 0"), windows.where("open = 0"), open_.join(lowest, "h").where("lowest < doc"))
+    all_runs = parts[0].select("doc", "lo", "hi").unionByName(parts[1].select("doc", "lo", "hi")).unionByName(parts[2].select("doc", "lo", "hi"))
     return all_runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
