@@ -137,6 +137,8 @@ def fit(learn: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per
         for j in range(len(c)):
             d = 1 - own[which == j] @ c[j]
             far.append(float(np.quantile(d, 0.99)) * SLACK if len(d) else 1.0)
+    if not centroids:
+        return {"langs": [], "idf": idf, "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, int), "far": np.zeros(0)}
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids), "of": np.array(of), "far": np.array(far)}
 
 

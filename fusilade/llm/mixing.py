@@ -153,11 +153,11 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of ``df``, a row per time taken, sorted by a hash inside each shard."""
-    names = df.columns
-    df = df.withColumn("__size", n_words(text_col))
-    p = plan(df, id_col, source_col, "__size", **options).select(*[F.col(f"`{c}`") for c in names], F.explode("placements").alias("__p"))
-    p = p.withColumn("__order", F.xxhash64(F.lit(options.get("seed", SEED) + 4), F.col(id_col), "__p.copy"))
-    return p.repartition("__p.shard", F.pmod("__order", F.lit(16))).sortWithinPartitions("__p.shard", "__order").select(*[F.col(f"`{c}`") for c in names])
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))  # whole, so that no name of it can clash
+    rows = row.select("__row", F.col(f"__row.`{id_col}`").alias("__id"), F.col(f"__row.`{source_col}`").alias("__src"), n_words(F.col(f"__row.`{text_col}`")).alias("__size"))
+    p = plan(rows, "__id", "__src", "__size", **options).select("__row", "__id", F.explode("placements").alias("__p"))
+    p = p.withColumn("__order", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "__id", "__p.copy"))
+    return p.repartition("__p.shard", F.pmod("__order", F.lit(16))).sortWithinPartitions("__p.shard", "__order").select("__row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,8 +428,9 @@ def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFram
     return all_runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """All columns of ``df`` with ``kept`` (binary: the bytes that remain), n_bytes, n_removed, n_spans and spans (array of (lo, hi))."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, as_text: bool = False) -> DataFrame:
+    """All columns of ``df`` with ``kept`` (binary: the bytes that remain; with ``as_text`` a string without the characters that a cut
+    leaves in part), n_bytes, n_removed, n_spans and spans (array of (lo, hi))."""
     added = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
     keep = [f for f in df.schema.fields if f.name not in added]
     df = df.select([F.col(f"`{f.name}`") for f in keep])
@@ -460,14 +461,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                         at = q
                     parts.append(t[at:])
                     kept = b"".join(parts)
-                    for c, v in zip(got, (kept, len(t), len(t) - len(kept), len(spans), [{"lo": p, "hi": q} for p, q in spans]), strict=True):
+                    given = "".join(x.decode("utf-8", "ignore") for x in parts) if as_text else kept
+                    for c, v in zip(got, (given, len(t), len(t) - len(kept), len(spans), [{"lo": p, "hi": q} for p, q in spans]), strict=True):
                         c.append(v)
                 arrays = [b.column(b.schema.get_field_index(n)).slice(first, last - first) for n in names]
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), span_type)
+                kinds = (pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64(), span_type)
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], names=[*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return joined.mapInArrow(run, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>")
+    return joined.mapInArrow(run, f"{fields}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
