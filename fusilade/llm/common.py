@@ -19,12 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors.
+
+    What the job shuffled is deleted at its end, since nothing reads it again.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new query, planned under the setting
+    finally:
+        spark.conf.set(cleanup, before)
 
 
 def crc_mod(col: str, n: int):
