@@ -1,10 +1,9 @@
 """N-gram Jaccard join with count vectors and R-tree bounds.
 
-A document's shingles (``width`` words) are hashed; documents with equal sets form a class. Two sets with 100 * |A & B| >=
-percent * |A | B| differ in D elements at most, D bounded by their sizes. Elements are hashed into more groups than D, so such a pair has
-a group on which both agree wholly; (size level, group, contents of the group) is the key under which they meet. A set that could
-differ in every group that is not empty also meets others by its empty groups, so no pair is lost. Keys reduce to star edges, locally
-first, hence a hot key is one row per batch; connected sets are candidates of each other.
+A document's shingles (``width`` words) are hashed; documents with equal sets form a class. Shingles have a common order, rare ones
+first as far as a sketch of fixed size can tell; sets that link share some of their first shingles, so these are the tokens under which
+sets meet. Pairs that share enough tokens, and all sets that share a token of many sets, are candidates of each other; a token that many
+sets share is reduced to a star, locally first, so that it is a few rows per batch and never gives all its pairs.
 
 Candidates are verified in leaves: sets of a candidate component, ordered by size, of at most ``LEAF`` sets each, and each pair of
 leaves whose sizes allow a link is a task. In a task an R-tree indexes the vectors of group counts: a node holds the coordinate-wise
@@ -18,6 +17,8 @@ compared by 48-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,9 @@ from pyspark.sql import Window
 from .common import BYTE_WORDS, components, cut, mix64, ranges, spread, table, text_slices, words
 
 WIDTH, PERCENT = 4, 85
-LEVEL_RATIO, DIMS, NODE, LEAF, FLUSH = 1.6, 64, 64, 4096, 400_000
+DIMS, NODE, LEAF, FLUSH = 64, 64, 4096, 600_000
+#: Cells of the frequency sketch; shared tokens that a light pair needs; classes of a light token.
+CELLS, SKETCH_CHUNKS, SHARED, LIGHT = 1 << 22, 64, 4, 16
 POLY = 0xD6E8FEB86659FD93
 POLY_INV = pow(POLY, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,115 +98,169 @@ def classes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix64(mix64(cell_sums(row, mix64(h), len(counts))) ^ cell_sums(row, mix64(h ^ np.uint64(0x5BD1E995)), len(counts)) + counts.astype(np.uint64)).view(np.int64)
 
 
-def most_differing(a, b, percent: int):
-    """Largest size of the symmetric difference of linked sets of these sizes."""
-    s = np.asarray(a) + np.asarray(b)
-    return np.floor(s * (100 - percent) / (100 + percent) + 1e-9).astype(np.int64)
+def least_overlap(n, percent: int):
+    """Smallest overlap that a set of size n can have with a set it links with: intersection >= percent of the union >= percent of n."""
+    return -(-np.asarray(n) * percent // 100)
+
+
+class Sketch:
+    """Counts of shingles by hash cell; of fixed size. It only orders shingles, rare before frequent: any order gives the same links."""
+
+    def __init__(self):
+        self.cells = np.zeros(CELLS, np.uint32)
+
+    def add(self, h: np.ndarray) -> None:
+        self.cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
 
+    def rows(self):
+        """(chunk, compressed counts) of the chunks that are not empty."""
+        for k, part in enumerate(self.cells.reshape(SKETCH_CHUNKS, -1)):
+            if part.any():
+                yield k, zlib.compress(part.astype("<u4").tobytes(), 1)
 
-def level_top(level, ratio: float = LEVEL_RATIO):
-    return np.floor(ratio ** np.asarray(level, float) + 1e-9).astype(np.int64)
 
+def sketch_levels(described: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches as a byte per cell, on a logarithmic scale."""
 
-def group_keys(h: np.ndarray, counts: np.ndarray, names: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(key, class) rows of all sets: one per group and level; a level joins sets of its sizes with those small enough to link with them."""
-    keys, owners = [], []
+    def total(t: pa.Table) -> pa.Table:
+        out = np.zeros(CELLS // SKETCH_CHUNKS, np.uint64)
+        for x in t.column("blob").combine_chunks():
+            out += np.frombuffer(zlib.decompress(x.as_buffer()), "<u4")
+        level = np.minimum(16 * np.log2(1 + out.astype(float)), 255).astype(np.uint8)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+
+    levels = np.zeros((SKETCH_CHUNKS, CELLS // SKETCH_CHUNKS), np.uint8)
+    for k, blob in described.where("chunk >= 0").select("chunk", "blob").groupBy("chunk").applyInArrow(total, "chunk int, level binary").collect():
+        levels[k] = np.frombuffer(blob, np.uint8)
+    return levels.reshape(-1)
+
+
+def prefixes(h: np.ndarray, counts: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of every set in the common order, as 40-bit tokens, and the row of each. Sets that link share SHARED of them,
+    or as many as their overlap must have where that is less: a prefix leaves out fewer elements than the overlap has, less SHARED."""
     n = len(counts)
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    own = np.searchsorted(level_top(np.arange(80)), np.maximum(counts, 1), "left")
-    for up in (0, 1):
-        level = own + up
-        top = level_top(level)
-        reach = counts * 100 // percent
-        ok = (counts > 0) if not up else (counts > 0) & (reach > level_top(own))
-        differ = most_differing(counts, np.minimum(reach, top), percent)
-        ok &= most_differing(top, top, percent) > 0
-        rows = np.flatnonzero(ok)
-        if not len(rows):
-            continue
-        d = most_differing(top, top, percent)[rows]
-        m = d + 1 + (d * 15 + 99) // 100 + 2
-        base = np.concatenate([[0], np.cumsum(m)])
-        at = ranges(start[rows], counts[rows])
-        who = np.repeat(np.arange(len(rows)), counts[rows])
-        x = h[at]
-        group = (mix64(x ^ np.uint64(0xC2B2AE3D27D4EB4F)) % m[who].astype(np.uint64)).astype(np.int64)
-        cell = base[who] + group
-        total = cell_sums(cell, mix64(x + np.uint64(0x165667B19E3779F9)), int(base[-1]))
-        filled = np.bincount(cell, minlength=int(base[-1]))
-        of = np.repeat(np.arange(len(rows)), m)
-        risky = np.bincount(of, filled > 0, len(rows)) <= differ[rows]
-        use = (filled > 0) | risky[of]
-        band = np.arange(int(base[-1])) - base[of]
-        key = mix64(total + filled.astype(np.uint64) * np.uint64(0x27D4EB2F165667C5) + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + level[rows][of].astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63))
-        keys.append(key[use])
-        owners.append(names[rows][of][use])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per key its smallest owner, and the distinct edges (owner, smallest) of the others."""
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(first)
-    low = np.repeat(owner[at], np.diff(np.append(at, len(key))))
-    other = owner != low
-    edges = np.unique(np.stack([owner[other], low[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return key[at], owner[at], edges
-
-
-def _pairs_blob(a, b) -> bytes:
-    return np.stack([a.view(np.int64), b.view(np.int64)], 1).tobytes()
-
-
-def candidate_edges(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that agree on a whole group."""
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def rows(buckets, blobs):
+    length = np.minimum(counts, counts - least_overlap(counts, percent) + SHARED)
+    tokens, rows = [], []
+    start = np.concatenate([[0], np.cumsum(counts)])
+    for a in range(0, n, 1 << 16):
+        b = min(n, a + (1 << 16))
+        x = h[start[a] : start[b]]
+        level = levels[(x & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+        row = np.repeat(np.arange(b - a, dtype=np.uint64), counts[a:b])
+        key = np.sort(row << np.uint64(48) | level << np.uint64(40) | x >> np.uint64(8))
+        at = ranges(start[a:b] - start[a], length[a:b])
+        tokens.append(key[at] & np.uint64((1 << 40) - 1))
+        rows.append(np.repeat(np.arange(a, b), length[a:b]))
+    return (np.concatenate(tokens), np.concatenate(rows)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def by_token(token: np.ndarray, name: np.ndarray, size: np.ndarray):
+    """Sorted by (token, class) without repetitions; start and length of each token's run."""
+    o = np.lexsort((name, token))
+    token, name, size = token[o], name[o], size[o]
+    keep = np.ones(len(token), bool)
+    keep[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
+    token, name, size = token[keep], name[keep], size[keep]
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return token, name, size, head, np.diff(np.append(head, len(token)))
+
+
+def _pack(token, name, size) -> bytes:
+    """Tokens in 5 bytes; classes and sizes by a table."""
+    names, first, which = np.unique(name, return_index=True, return_inverse=True)
+    parts = [np.array([len(token), len(names)], "<i8"), names.astype("<i8"), size[first].astype("<i4"), which.astype("<u4" if len(names) > 65535 else "<u2"), np.ascontiguousarray(token.astype("<u8").view("u1").reshape(-1, 8)[:, :5])]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def _unpack(buf):
+    raw = np.frombuffer(buf, np.uint8)
+    n, m = (int(x) for x in raw[:16].view("<i8"))
+    names, sizes = raw[16 : 16 + 8 * m].view("<i8"), raw[16 + 8 * m : 16 + 12 * m].copy().view("<i4")
+    kind = np.dtype("<u4" if m > 65535 else "<u2")
+    at = 16 + 12 * m
+    which = raw[at : at + n * kind.itemsize].copy().view(kind)
+    token = np.zeros((n, 8), np.uint8)
+    token[:, :5] = raw[at + n * kind.itemsize :].reshape(n, 5)
+    return token.view("<u8")[:, 0], names[which], sizes[which].astype(np.int64)
+
+
+def candidates(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that may link.
+
+    A token of at most ``LIGHT`` classes gives its pairs of fitting sizes; pairs count if they share as many tokens as linked sets must.
+    A token of more classes gives a star; whoever shares such a token is in one candidate component with the others."""
+    spark = docs.sparkSession
+    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(levels)  # CELLS bytes
+
+    def out(buckets, blobs):
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    def flush(keys, owners):
-        key, owner, edges = stars(np.concatenate(keys), np.concatenate(owners))
-        bucket = (key >> np.uint64(20)) % np.uint64(n_buckets)
+    def stars(name, head, size):
+        heavy = size > LIGHT
+        at = ranges(head[heavy] + 1, size[heavy] - 1)
+        low = np.repeat(name[head[heavy]], size[heavy] - 1)
+        return np.unique(np.stack([name[at], low], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+
+    def flush(held):
+        token, name, size, head, n = by_token(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        edges = stars(name, head, n)
+        at = ranges(head, np.minimum(n, LIGHT + 1))  # one more than LIGHT shows that the token is heavy
+        token, name, size = token[at], name[at], size[at]
+        bucket = ((token ^ (token >> np.uint64(20))) % np.uint64(n_buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        key, owner, bucket = key[order], owner[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+        ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         ids = [i for i in range(n_buckets) if ends[i] < ends[i + 1]]
-        blobs = [_pairs_blob(key[ends[i] : ends[i + 1]], owner[ends[i] : ends[i + 1]]) for i in ids]
+        blobs = [_pack(*(c[order[ends[i] : ends[i + 1]]] for c in (token, name, size))) for i in ids]
         if len(edges):
-            side = (mix64(edges[:, 0].view(np.uint64)) % np.uint64(n_buckets)).astype(int)
+            side = (mix64(edges[:, 0].copy().view(np.uint64)) % np.uint64(n_buckets)).astype(int)
             for s in np.unique(side):
                 ids.append(-1 - int(s))
                 blobs.append(edges[side == s].tobytes())
-        return rows(ids, blobs)
+        return out(ids, blobs)
 
     def map_side(batches):
-        keys, owners, held = [], [], 0
+        held, n = [], 0
         for b in batches:
             for _, _, data, off in text_slices(b.column(0)):
                 h, counts = shingles(data, off, width)
-                k, o = group_keys(h, counts, classes(h, counts), percent)
-                keys.append(k)
-                owners.append(o)
-                held += len(k)
-                if held > FLUSH:
-                    yield flush(keys, owners)
-                    keys, owners, held = [], [], 0
-        if held:
-            yield flush(keys, owners)
+                token, row = prefixes(h, counts, shared.value, percent)
+                held.append((token, classes(h, counts)[row], counts[row]))
+                n += len(token)
+                if n > FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
 
     def reduce_side(t: pa.Table) -> pa.Table:
-        both = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in t.column("blob").combine_chunks()])
-        if t.column("bucket")[0].as_py() >= 0:
-            both = stars(both[:, 0].copy().view(np.uint64), both[:, 1].copy())[2]
-        else:
-            both = np.unique(both, axis=0)
-        return pa.table({"a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
-
-    return spread(docs.select(text_col)).mapInArrow(map_side, "bucket int, blob binary").groupBy("bucket").applyInArrow(reduce_side, "a long, b long")
+        blobs = [x.as_buffer() for x in t.column("blob").combine_chunks()]
+        if t.column("bucket")[0].as_py() < 0:
+            edges = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in blobs]), axis=0)
+            return pairs_table(edges, 0, 0)
+        _, name, size, head, n = by_token(*(np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)))
+        edges = stars(name, head, n)
+        found = []
+        for k in range(2, LIGHT + 1):
+            at = head[n == k]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    a, b = size[at + i], size[at + j]
+                    ok = (a * 100 >= b * percent) & (b * 100 >= a * percent)
+                    found.append((name[at[ok] + i], name[at[ok] + j], np.minimum(SHARED, least_overlap(np.maximum(a, b)[ok], percent))))
+        a, b, need = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        o = np.lexsort((b, a))
+        a, b, need = a[o], b[o], need[o]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return pa.concat_tables([pairs_table(edges, 0, 0), pairs_table(np.stack([a[first], b[first]], 1), np.diff(np.append(first, len(a))), need[first])])
+
+    def pairs_table(ab, count, need):
+        full = lambda v: pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(v, np.int64), len(ab))))
+        return pa.table({"a": pa.array(np.ascontiguousarray(ab[:, 0])), "b": pa.array(np.ascontiguousarray(ab[:, 1])), "k": full(count), "need": full(need)})
+
+    rows = spread(docs.select("text")).mapInArrow(map_side, "bucket int, blob binary").groupBy("bucket").applyInArrow(reduce_side, "a long, b long, k long, need long")
+    # A pair may come from light tokens and, with need 0, from a heavy one.
+    return rows.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -268,19 +325,24 @@ def tree_join(left: Tree, right: Tree, same: bool, percent: int) -> list[tuple[i
     return edges
 
 
-def verified_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of document ids from rows (comp, doc, n, shingles binary)."""
-    counts = cut(sets.groupBy("comp", "n").agg(F.count("*").alias("k")))
+def leaf_tasks(chosen: DataFrame, percent: int) -> DataFrame:
+    """Adds to rows (comp, rep, n, ...) the leaf of each set and its tasks, array of (p, q): the pairs of leaves to be joined."""
+    counts = cut(chosen.groupBy("comp", "n").agg(F.count("*").alias("k")))
     by_size = Window.partitionBy("comp").orderBy("n")
     at = counts.select("comp", "n", "k", (F.sum("k").over(by_size) - F.col("k")).alias("before"))
-    leaf = F.floor((F.col("before") + F.pmod(F.xxhash64("doc"), F.col("k"))) / LEAF).cast("int").alias("leaf")
-    placed = sets.join(at, ["comp", "n"]).select("comp", leaf, "doc", "n", "shingles")
+    leaf = F.floor((F.col("before") + F.pmod(F.xxhash64("rep"), F.col("k"))) / LEAF).cast("int").alias("leaf")
+    placed = chosen.join(at, ["comp", "n"]).select(*chosen.columns, leaf)
     bounds = at.withColumn("leaf", F.explode(F.expr(f"sequence(cast(before div {LEAF} as int), cast((before + k - 1) div {LEAF} as int))")))
     bounds = bounds.groupBy("comp", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = bounds.alias("x"), bounds.alias("y")
     tasks = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.leaf") <= F.col("y.leaf")) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent))
     tasks = tasks.select(F.col("x.comp").alias("comp"), F.col("x.leaf").alias("p"), F.col("y.leaf").alias("q"))
     sides = tasks.select("comp", F.col("p").alias("leaf"), "p", "q").unionByName(tasks.where("p < q").select("comp", F.col("q").alias("leaf"), "p", "q"))
+    return placed.join(sides.groupBy("comp", "leaf").agg(F.collect_list(F.struct("p", "q")).alias("tasks")), ["comp", "leaf"])
+
+
+def verified_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of document ids from rows (comp, leaf, p, q, doc, n, shingles binary)."""
 
     def run(t: pa.Table) -> pa.Table:
         leaf, q = t.column("leaf").to_numpy(), t.column("q")[0].as_py()
@@ -295,36 +357,48 @@ def verified_edges(sets: DataFrame, percent: int) -> DataFrame:
         edges = tree_join(left, right, p == q, percent) if left else []
         return pa.table({"a": pa.array([int(doc[i[u]]) for u, _ in edges], pa.int64()), "b": pa.array([int(doc[(i if p == q else j)[v]]) for _, v in edges], pa.int64())})
 
-    return placed.join(sides, ["comp", "leaf"]).groupBy("comp", "p", "q").applyInArrow(run, "a long, b long")
+    return sets.groupBy("comp", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
+    names = ["doc", "n", "cls", "chunk", "blob"]
+
     def describe(batches):
+        sketch = Sketch()
         for b in batches:
             for lo, hi, data, off in text_slices(b.column(1)):
                 h, counts = shingles(data, off, width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(classes(h, counts))], names=["doc", "n", "cls"])
-
-    sets = cut(spread(docs).mapInArrow(describe, "doc long, n long, cls long"))
+                sketch.add(h)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(classes(h, counts)), pa.array([-1] * (hi - lo), pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+        for k, blob in sketch.rows():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([0], pa.int64()),) * 2, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+
+    described = cut(spread(docs).mapInArrow(describe, "doc long, n long, cls long, chunk int, blob binary"))
+    sets = described.where("chunk < 0").select("doc", "n", "cls")
+    levels = sketch_levels(described)
     reps = sets.where("n > 0").groupBy("cls", "n").agg(F.min("doc").alias("rep"))
-    comps = components(candidate_edges(docs, "text", width, percent))
-    chosen = cut(reps.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls").select("rep", "comp", "cls"))
+    comps = components(candidates(docs, levels, width, percent))
+    # Leaves and tasks are settled on ids and sizes alone, so that the sets themselves are shuffled once.
+    chosen = cut(reps.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls").select("rep", "comp", "cls", "n"))
+    placed = cut(leaf_tasks(chosen, percent).select("rep", "comp", "cls", "leaf", "tasks"))
 
     def shingle_rows(batches):
         for b in batches:
-            for lo, hi, data, off in text_slices(b.column(2)):
+            text = b.schema.get_field_index("text")
+            for lo, hi, data, off in text_slices(b.column(text)):
                 h, counts = shingles(data, off, width)
                 at = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(counts), pa.array(classes(h, counts)), pa.array([h[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["comp", "doc", "n", "cls", "shingles"])
-
-    texts = docs.join(chosen, docs["doc"] == chosen["rep"]).select("comp", "doc", "cls", "text")
-    again = texts.select("comp", "doc", "text").mapInArrow(shingle_rows, "comp long, doc long, n long, cls long, shingles binary")
-    # An id that several texts share would bring in a set of another class; the class decides, and one row of it is enough.
-    again = again.join(chosen.select(F.col("rep").alias("doc"), "comp", "cls"), ["doc", "comp", "cls"], "left_semi")
-    linked_reps = components(verified_edges(cut(again.select("comp", "doc", "n", "shingles")), percent))
+                kept = [c.slice(lo, hi - lo) for c in b.columns[:text]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(classes(h, counts)), pa.array([h[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=[*b.schema.names[:text], "n", "found", "shingles"])
+
+    texts = docs.join(placed, docs["doc"] == placed["rep"]).select("comp", "leaf", "tasks", "doc", "cls", "text")
+    again = texts.mapInArrow(shingle_rows, "comp long, leaf int, tasks array<struct<p:int,q:int>>, doc long, cls long, n long, found long, shingles binary")
+    # An id that several texts share would bring in a set of another class: the class decides.
+    again = again.where("cls = found").select("comp", "leaf", F.explode("tasks").alias("task"), "doc", "n", "shingles").select("comp", "leaf", "task.*", "doc", "n", "shingles")
+    linked_reps = components(verified_edges(again, percent))
     named = reps.join(linked_reps, reps["rep"] == linked_reps["node"], "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
