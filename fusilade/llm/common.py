@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; bounds the memory of a Python worker whatever the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 M64 = (1 << 64) - 1
 
 

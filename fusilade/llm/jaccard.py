@@ -108,12 +108,24 @@ class Sketch:
 
     def __init__(self):
         self.cells = np.zeros(CELLS, np.uint32)
+        self.new: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, h: np.ndarray) -> None:
-        self.cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        self.new.append((h & np.uint64(CELLS - 1)).astype(np.uint32))
+        self.held += len(h)
+        if self.held > CELLS // 2:
+            self.count()
+
+    def count(self) -> None:
+        if self.held:
+            cell, n = np.unique(np.concatenate(self.new), return_counts=True)
+            self.cells[cell] += n.astype(np.uint32)
+            self.new, self.held = [], 0
 
     def rows(self):
         """(chunk, compressed counts) of the chunks that are not empty."""
+        self.count()
         for k, part in enumerate(self.cells.reshape(SKETCH_CHUNKS, -1)):
             if part.any():
                 yield k, zlib.compress(part.astype("<u4").tobytes(), 1)
