@@ -21,7 +21,7 @@ from pyspark.sql import Window
 
 from .common import crc_mod, mix64, spread, table, text_slices
 
-DIM, GRAMS, CENTROIDS, PER_LANG, SAMPLE, SHARPNESS, SLACK = 4096, (2, 3, 4), 4, 400, 4000, 25.0, 1.25
+DIM, GRAMS, CENTROIDS, PER_LANG, SAMPLE, SHARPNESS, SLACK, SALT = 4096, (2, 3, 4), 4, 400, 4000, 25.0, 1.25, 64
 
 
 def _fold() -> np.ndarray:
@@ -112,7 +112,10 @@ def fit(learn: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per
         return {"langs": [], "idf": idf, "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, int), "far": np.zeros(0)}
     share = max(1, min(per_lang, sample // len(langs)))
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = learn.select(id_col, lang_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select(id_col).distinct()
+    # First among the rows of a piece, so that a language with most rows leaves a bounded number for the last choice.
+    pieces = Window.partitionBy(lang_col, F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(SALT))).orderBy(F.xxhash64(id_col), id_col)
+    ids = learn.select(id_col, lang_col).withColumn("rank", F.row_number().over(pieces)).where(F.col("rank") <= share)
+    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select(id_col).distinct()
     picked = learn.join(F.broadcast(ids), id_col, "left_semi").select(lang_col, text_col)
 
     def vector_rows(batches):
