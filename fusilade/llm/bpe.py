@@ -54,8 +54,12 @@ class Encoder:
         self.special = self.tok.token_to_id(SPECIAL)
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
+        self.ready: dict[bytes, tuple[str, list[str]]] = {}
         self.held = self.reused = self.made = 0
 
+    def forget(self) -> None:
+        self.words, self.chunks, self.ready, self.held = {}, {}, {}, 0
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text; their concatenation is the text."""
         if SAFE.fullmatch(text):
@@ -74,9 +78,9 @@ class Encoder:
                 self.words[w] = got
         return got
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encodes and decodes the words not met before, in one call of the library each."""
-        new = [w for w in set(words).difference(self.words) if len(w) <= CACHED_WORD]
+        new = [w for w in words.difference(self.words) if len(w) <= CACHED_WORD]
         if not new:
             return
         if len(self.words) + len(new) > WORD_CACHE:
@@ -100,16 +104,23 @@ class Encoder:
             left -= len(words[k])
         return k
 
+    def read(self, raw: bytes) -> tuple[str, list[str]]:
+        text = raw.decode("utf-8")
+        return text, self.split(text)
+
+    def prepare(self, raws: list[bytes]) -> None:
+        """Reads the chunks that are new and learns their words at once."""
+        self.ready = {raw: self.read(raw) for raw in set(raws).difference(self.chunks)}
+        self.learn(set().union(*(words for _, words in self.ready.values())))
+
     def chunk(self, raw: bytes) -> tuple:
         got = self.chunks.get(raw)
         if got is not None:
             self.reused += 1
             return got
         self.made += 1
-        text = raw.decode("utf-8")
-        words = self.split(text)
+        text, words = self.ready.pop(raw, None) or self.read(raw)
         k = self.cut_tail(words)
-        self.learn(words)
         if k > HEAD:
             ids, texts = [], []
             self.put(words[HEAD:k], ids, texts)
@@ -203,11 +214,16 @@ def encoder(path: str) -> Encoder:
 
 def _encoded(batches, path, make, pick):
     enc = encoder(path)
-    for b in batches:
-        for lo, hi, data, off in text_slices(b.column(pick(b))):
-            raw = data.tobytes()
-            rows = [enc.encode([raw[p:q] for p, q in spans]) for spans in borders(data, off)]
-            yield make(b.slice(lo, hi - lo), rows)
+    try:
+        for b in batches:
+            for lo, hi, data, off in text_slices(b.column(pick(b))):
+                raw = data.tobytes()
+                pieces = [[raw[p:q] for p, q in spans] for spans in borders(data, off)]
+                enc.prepare([x for row in pieces for x in row])
+                rows = [enc.encode(row) for row in pieces]
+                yield make(b.slice(lo, hi - lo), rows)
+    finally:
+        enc.forget()  # the worker process lives on and runs other tasks
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
