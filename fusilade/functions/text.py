@@ -154,3 +154,12 @@ def font_heading(head: str | Column, current_sign: str | Column) -> Column:
     return (F.when(low.rlike(placed), make("planet_in_sign", F.regexp_extract(low, placed, 1), F.regexp_extract(low, placed, 2)))
             .when(low.rlike(rising), make("ascendant", F.lit(None), F.regexp_extract(low, rising, 1)))
             .when(low.isin(*V.SIGNS), make("sign_chapter", F.lit(None), low)).otherwise(make("sign_section", F.lit(None), _col(current_sign))))
+
+
+def run_in_heading(line: str | Column) -> Column:
+    """Struct (meta, rest) of a line that opens with a placement in capitals; null for other lines."""
+    c = _col(line)
+    pattern = f"^({'|'.join(V.HEADING_BODIES).upper()})\\s+IN\\s+({'|'.join(V.SIGNS).upper()})(?![\\p{{L}}\\p{{N}}_])"
+    body, sign = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
+    meta = F.struct(F.lit("planet_in_sign").alias("indicator_type"), F.lower(body).alias("planet"), F.lower(sign).alias("sign"), F.concat(F.initcap(F.lower(body)), F.lit(" in "), F.initcap(F.lower(sign))).alias("section"))
+    return F.when(c.rlike(pattern), F.struct(meta.alias("meta"), strip(F.regexp_replace(c, pattern, "")).alias("rest")))

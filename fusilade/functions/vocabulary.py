@@ -17,3 +17,5 @@ FRAME_WORDS = (
 ).split()
 #: Words left out of a diagnosis of matched terms.
 DIAGNOSTIC_STOP_WORDS = "what does do mean means is are the a an in of my your his her to and for how with when it that this i you natal chart".split()
+#: Aspects that a scan for heading lines knows.
+SCANNED_ASPECTS = ("conjunct", "sextile", "square", "trine", "opposition", "conjunction", "quincunx", "semisextile")

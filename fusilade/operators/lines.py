@@ -68,3 +68,27 @@ def font_sections(df: DataFrame, keys: list[str], order: list[str], size: str =
     df = df.where(~X.is_bullet_header("line")).join(mode, keys)
     is_head = (F.col(size) >= F.col("body_size") + step) & (F.length("line") >= 3) & (F.size(F.split("line", "\\s+")) <= 12)
     return sections(df, keys, order, is_head)
+
+
+def sign_sections(df: DataFrame, keys: list[str], order: list[str], size: str = "size", step: float = 1.5) -> DataFrame:
+    """Body lines of sections found by size or by a run-in heading in capitals: keys, order, line, section_no, head, meta.
+
+    A run-in heading opens its line, whose rest is the section's first line. A chapter named after a sign sets the sign of the generic
+    headings after it, which then carry it in front of their own words; other headings leave it as it is."""
+    counts = df.groupBy(*keys, size).count()
+    mode = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), size))).where("r = 1").select(*keys, F.col(size).alias("__body"))
+    rows = df.where(~X.is_bullet_header("line")).join(mode, keys)
+    run_in = X.run_in_heading("line")
+    by_size = (F.col(size) >= F.col("__body") + step) & (F.length("line") >= 3) & (F.size(F.split("line", "\\s+")) <= 12)
+    rows = rows.withColumn("__run", run_in).withColumn("__sized", F.col("__run").isNull() & by_size)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    plain = X.font_heading("line", F.lit(None))
+    chapter = F.when(F.col("__sized") & (plain["indicator_type"] == "sign_chapter"), plain["sign"])
+    rows = rows.withColumn("__sign", F.last(chapter, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    found = F.when(F.col("__run").isNotNull(), F.col("__run.meta")).when(F.col("__sized"), X.font_heading("line", F.col("__sign")))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__found", found).withColumn("meta", F.last("__found", True).over(upto)).withColumn("section_no", F.count("__found").over(upto).cast("int"))
+    generic = (F.col("meta.indicator_type") == "sign_section") & F.col("meta.sign").isNotNull()
+    head = F.when(generic, F.concat(F.initcap("meta.sign"), F.lit(" › "), F.col("meta.section"))).otherwise(F.col("meta.section"))
+    body = F.when(F.col("__run").isNotNull(), F.col("__run.rest")).when(~F.col("__sized"), F.col("line"))
+    return rows.select(*keys, *order, body.alias("line"), "section_no", head.alias("head"), "meta").where("line <> ''")

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .. import api
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import evaluation as E
 from ..operators import lines as L
 from ..operators import reports as R
 from ..operators import retrieval as H
+from ..operators import structure as ST
 from ..operators import windows as TW
 from ..sources import store as S
 
@@ -408,3 +410,79 @@ def prompt_sources(spark, sf):
 @query("SELECT f.indicator, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'house') THEN 'house_meaning' WHEN contains(lower(text), 'ascendant') OR contains(lower(text), 'rising') THEN 'ascendant' WHEN contains(lower(text), 'aspect') THEN 'aspect_meaning' WHEN contains(lower(text), 'sign') OR contains(lower(text), 'zodiac') OR contains(lower(text), 'decanate') THEN 'sign_meaning' WHEN contains(lower(text), 'planet') OR contains(lower(text), 'ruler') OR contains(lower(text), 'sphere') THEN 'planet_meaning' ELSE 'section' END AS indicator FROM documents) f GROUP BY ALL")
 def toc_indicator(spark, sf):
     return read(spark, sf, "documents").select(X.toc_indicator("text").alias("indicator")).groupBy("indicator").agg(F.count("*").alias("n"))
+
+
+# --- structure of the corpus ------------------------------------------------------------------------------------------------------
+_TAGS = "(?is)<(title|h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)"
+_BODY = "regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
+HTML = f"""html AS (SELECT page_id, i, CASE tag WHEN 'title' THEN 20.0 WHEN 'h1' THEN 18.0 WHEN 'h2' THEN 16.0 WHEN 'h3' THEN 14.0 ELSE 10.0 END::DOUBLE AS size, line FROM (
+  SELECT page_id, i, lower(t[i]) AS tag, {STRIP.format('l[i]')} AS line FROM (SELECT page_id, t, l, unnest(range(1, len(t) + 1)) AS i FROM (
+    SELECT page_id, regexp_extract_all({_BODY}, '{_TAGS}', 1) AS t, regexp_extract_all({_BODY}, '{_TAGS}', 2) AS l FROM pages))) WHERE line <> '')"""
+
+
+@query(f"""WITH {HTML}, c AS (SELECT page_id, size, sum(length(line))::BIGINT AS chars FROM html GROUP BY ALL),
+b AS (SELECT *, first_value(size) OVER (PARTITION BY page_id ORDER BY chars DESC, size) AS body FROM c),
+s AS (SELECT page_id, size, string_agg(substr(line, 1, 60), '|' ORDER BY i) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY page_id, size ORDER BY i) AS r FROM html) WHERE r <= 3 GROUP BY ALL)
+SELECT page_id, size, chars, size > body + 0.4 AS is_heading, samples FROM b JOIN s USING (page_id, size) WHERE chars >= 30""")
+def size_histogram(spark, sf):
+    h = ST.size_histogram(S.html_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
+    return h.select("page_id", "size", "chars", "is_heading", F.array_join("samples", "|").alias("samples"))
+
+
+SCANNED = "^[A-Z][a-z]+ [a-z]+ [a-z]+"
+
+
+@query(f"""WITH {LINES}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM ls WHERE regexp_matches(line, '{SCANNED}'))
+SELECT doc_id, count(*) AS n, string_agg(substr(line, 1, 50), '|' ORDER BY r) FILTER (WHERE r <= 8) AS samples FROM h GROUP BY doc_id""")
+def heading_scan(spark, sf):
+    lines = L.lines(read(spark, sf, "documents"), ["doc_id"])
+    return ST.heading_scan(lines, ["doc_id"], ["line_no"], pattern=SCANNED).select("doc_id", "n", F.array_join("samples", "|").alias("samples"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, count(*) AS n FROM ls WHERE regexp_matches(line, '^(Chapter|CHAPTER|Part|PART) ') OR regexp_matches(line, '^[IVXLC]+\\. ')
+  OR (regexp_matches(line, '^(\\p{{Lu}}[^ ]*)( \\p{{Lu}}[^ ]*)*$') AND len(regexp_split_to_array(line, ' +')) BETWEEN 2 AND 6)
+  OR (upper(line) = line AND regexp_matches(line, '\\p{{Lu}}') AND length(line) BETWEEN 3 AND 40) GROUP BY doc_id""")
+def heading_candidates(spark, sf):
+    return L.lines(read(spark, sf, "documents"), ["doc_id"]).where(X.heading_candidate("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, h AS (SELECT *, sum((length(line) BETWEEN 3 AND 60)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM ls),
+s AS (SELECT doc_id, k, sum(len({TOK.format('line')}))::BIGINT AS n FROM h WHERE k > 0 GROUP BY ALL)
+SELECT doc_id, k::INTEGER AS section_no, n AS n_tokens FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM s) WHERE k < last AND n > 0""")
+def section_sizes(spark, sf):
+    return ST.section_sizes(L.lines(read(spark, sf, "documents"), ["doc_id"]), ["doc_id"], ["line_no"], F.length("line").between(3, 60))
+
+
+@query(f"""SELECT lang, count(*) AS n, min(v) AS least, (list_sort(list(v)))[(count(*) // 2) + 1] AS middle, max(v) AS most, floor(sum(v) / count(*))::BIGINT AS mean,
+""" + ", ".join(f"(list_sort(list(v)))[floor({p}::DOUBLE * (count(*) - 1))::BIGINT + 1] AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95)) + f"""
+FROM (SELECT lang, len({TOK.format('p')}) AS v FROM (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r\n\f]*\n')) AS p FROM documents)) WHERE v > 0 GROUP BY lang""")
+def paragraph_stats(spark, sf):
+    return R.size_stats(ST.paragraph_sizes(read(spark, sf, "documents"), ["lang"]), "lang", "n_tokens")
+
+
+@query()
+def sign_sections(spark, sf):
+    s = L.sign_sections(S.html_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
+    return s.select("page_id", "line_no", "line", "section_no", "head", F.col("meta.indicator_type").alias("indicator_type"))
+
+
+# --- the interface ----------------------------------------------------------------------------------------------------------------
+def search(spark: SparkSession, sf: str) -> api.HybridSearch:
+    """Each document is a chunk and a book of its own: title = source, author = language, page = id."""
+    c = chunks(spark, sf).select("*", F.col("chunk_id").alias("document_id"), F.col("chunk_id").alias("page_start"), F.col("chunk_id").alias("page_end"))
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    return api.HybridSearch(c, v, c.select("document_id", F.col("source").alias("title"), F.col("lang").alias("author")), api.Settings(sparse_terms=SPARSE_K))
+
+
+@query(legs_sql(40) + f""", found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused)
+SELECT f.query_id, f.rank, f.chunk_id, round(f.score, 4) AS score, f.rank <= {TOP_N} AS selected, d.source || CASE WHEN d.lang <> '' THEN ' (' || d.lang || ')' ELSE '' END || ', p.' || f.chunk_id AS citation
+FROM found f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 20""")
+def inspect_candidates(spark, sf):
+    return search(spark, sf).inspect(questions(spark, sf)).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "selected", "citation")
+
+
+@query(legs_sql(DEPTH) + """, j AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT b.query_id, sum(coalesce(j.quality, 0)) / 6::DOUBLE AS precision FROM best b LEFT JOIN j ON j.doc_id = b.chunk_id GROUP BY b.query_id""")
+def judged_precision(spark, sf):
+    judged = read(spark, sf, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").alias("relevant"))
+    return ST.judged_precision(hybrid(spark, sf), judged, TOP_N)
