@@ -6,7 +6,11 @@ cuts them on the map side too (WindowGroupLimit). Ties go to the smaller chunk i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -36,17 +40,76 @@ def fts_leg(queries: DataFrame, posts: DataFrame, depth: int) -> DataFrame:
     return ranked(hit.agg((HEAD_WEIGHT * F.sum("tf_head") + BODY_WEIGHT * F.sum("tf_body")).alias("score")), depth)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_leg(queries: DataFrame, vectors: DataFrame, depth: int, most_queries: int = 100_000) -> DataFrame:
-    """Exact cosine top ``depth``. Queries meet all chunks, in one pass over them; above ``most_queries`` they are not broadcast."""
-    norm = lambda v: F.sqrt(dot(v, v))
-    q = queries.where("query_vec IS NOT NULL").select("query_id", "query_vec", norm(F.col("query_vec")).alias("qn"))
-    v = vectors.where("vec IS NOT NULL").select("chunk_id", "vec", norm(F.col("vec")).alias("vn"))
-    small = F.broadcast(q) if q.limit(most_queries + 1).count() <= most_queries else q
-    return ranked(v.join(small).select("query_id", "chunk_id", (dot(F.col("query_vec"), F.col("vec")) / (F.col("qn") * F.col("vn"))).alias("score")), depth)
+def _unit(rows: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the usable vectors among ``rows`` and these vectors at length 1; null, zero and non-finite ones are not usable."""
+    flat = rows.flatten()
+    if dims and not rows.null_count and not flat.null_count and len(flat) == dims * len(rows):
+        whole, m = np.arange(len(rows)), flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    else:
+        values = rows.to_pylist()
+        whole = np.array([i for i, v in enumerate(values) if v and None not in v], np.int64)
+        m = np.array([values[i] for i in whole], np.float64).reshape(len(whole), -1 if len(whole) else 0)
+    norm = np.sqrt((m * m).sum(1))
+    ok = np.isfinite(norm) & (norm > 0)
+    return whole[ok], m[ok] / norm[ok, None]
+
+
+def _best(score: np.ndarray, chunk: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``depth`` columns of each row by score, then by smaller chunk id."""
+    order = np.lexsort((chunk, -score), axis=1)[:, :depth]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
+
+
+def _step_best(score: np.ndarray, chunk: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_best``, unordered, for whole scores of columns with one chunk each: a key of score and place settles ties, no row is sorted."""
+    order = np.argsort(chunk, kind="stable")
+    score, chunk, n = score[:, order], chunk[order], len(chunk)
+    if n > depth:
+        pick = np.argpartition(score * -float(n) + np.arange(n), depth - 1, axis=1)[:, :depth]
+        return np.take_along_axis(score, pick, 1), chunk[pick]
+    return score, np.broadcast_to(chunk, score.shape)
+
+
+def _dense_block(vectors: DataFrame, ids: list, unit: np.ndarray, depth: int, step: int) -> DataFrame:
+    """One pass over the vectors for one block of queries; a task keeps ``depth`` rows a query, whatever it reads."""
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = np.full((len(ids), 0), -np.inf)
+        chunk = np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                at_rows, m = _unit(part["vec"], unit.shape[1])
+                if not len(at_rows):
+                    continue
+                own = np.asarray(part["chunk_id"].to_numpy(zero_copy_only=False))[at_rows].astype(np.int64)
+                more, ids_of = _step_best(np.rint(unit @ m.T * 1e9), own, depth)
+                score, chunk = _best(np.concatenate([score, more], 1), np.concatenate([chunk, ids_of], 1), depth)
+        n = score.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(chunk.ravel()), pa.array(score.ravel() / 1e9)], ["query_id", "chunk_id", "score"])
+
+    return vectors.mapInArrow(run, "query_id long, chunk_id long, score double").withColumn("chunk_id", F.col("chunk_id").cast(kind))
+
+
+def dense_leg(queries: DataFrame, vectors: DataFrame, depth: int, block: int = 4096, step: int = 1024) -> DataFrame:
+    """Exact cosine top ``depth``, on scores of nine digits. Queries go in blocks of about ``block`` (told apart by hash, so none is
+    left out), each sent to the tasks once as a matrix; a task holds ``block`` x (``step`` + ``depth``) scores at most. Ids are whole
+    numbers. Vectors that are null, zero, or hold null or non-finite components have no rank."""
+    q = queries.where("query_vec IS NOT NULL").select("query_id", "query_vec")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    n_blocks = max(1, -(-q.count() // block))
+    v, out = vectors.where("vec IS NOT NULL").select("chunk_id", "vec"), None
+    for k in range(n_blocks):
+        rows = (q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k)).collect()
+        usable, unit = _unit(pa.array([r.query_vec for r in rows], pa.list_(pa.float64())))
+        part = _dense_block(v, [rows[i].query_id for i in usable], unit, depth, step) if len(usable) else None
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = v.where("false").select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+    return ranked(out.withColumn("query_id", F.col("query_id").cast(kind)), depth)
 
 
 def prune(weights: DataFrame, most: int = 256, key: str = "chunk_id") -> DataFrame:

@@ -121,3 +121,35 @@ def test_font_sections_and_running_lines(spark):
     pages = spark.createDataFrame([(1, p, f"The Title\nline {p}\n\nmore {p}\nlast {p}") for p in range(5)] + [(1, 5, None)], "doc int, page int, text string")
     assert [(r.line, r.n) for r in L.running_lines(pages, "doc", "page").collect()] == [("The Title", 5)]
     assert L.clean_lines(pages, "doc", "page").where(F.col("line") == "The Title").count() == 0
+
+
+def dense_by_hand(queries, vectors, depth):
+    out = []
+    for q, a in queries:
+        found = []
+        for c, b in vectors:
+            if a and b and None not in [*a, *b] and all(np.isfinite([*a, *b])) and any(a) and any(b):
+                found.append((-round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 9) + 0.0, c))
+        out += [(q, c, r, -s) for r, (s, c) in enumerate(sorted(found)[:depth], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "step"), [(4096, 1024), (3, 2)])
+def test_dense_leg_equals_brute_force(spark, block, step):
+    rng = np.random.default_rng(5)
+    vectors = [(int(c), rng.normal(size=4).tolist()) for c in rng.permutation(40)]
+    vectors += [(100 + k, [1.0, 2.0, 0.0, 1.0]) for k in range(9)]  # ties
+    vectors += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan"), 0.0, 0.0, 1.0]), (204, [float("inf"), 0.0, 0.0, 1.0])]
+    queries = [(k, rng.normal(size=4).tolist()) for k in range(7)] + [(7, [1.0, 2.0, 0.0, 1.0]), (8, None), (9, [0.0] * 4)]
+    q, v = spark.createDataFrame(queries, "query_id int, query_vec array<double>"), spark.createDataFrame(vectors, "chunk_id int, vec array<double>").repartition(3)
+    got = H.dense_leg(q, v, 5, block, step)
+    assert [f.dataType.simpleString() for f in got.schema[:2]] == ["int", "int"]
+    got, want = sorted((r.query_id, r.chunk_id, r["rank"], r.score) for r in got.collect()), dense_by_hand(queries, vectors, 5)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-9)
+
+
+def test_dense_leg_without_rows(spark):
+    q, v = spark.createDataFrame([(1, [1.0])], "query_id long, query_vec array<double>"), spark.createDataFrame([(1, [1.0])], "chunk_id long, vec array<double>")
+    assert H.dense_leg(q.where("false"), v, 3).count() == 0
+    assert H.dense_leg(q, v.where("false"), 3).count() == 0
