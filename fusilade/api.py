@@ -25,7 +25,8 @@ NOTHING_FOUND = "Nothing in the corpus is relevant to that question."
 
 @dataclass(frozen=True)
 class Settings:
-    """Results per question, candidates of an inspection, fusion constants, kept sparse terms, and the least score (applied last)."""
+    """Results per question, candidates of an inspection, fusion constants, kept sparse terms, the least score (applied last), and whether
+    the lexical leg stems English and leaves stop words out."""
 
     top_n: int = 6
     top_k: int = 20
@@ -33,6 +34,7 @@ class Settings:
     weights: dict[str, float] = field(default_factory=lambda: dict(H.WEIGHTS))
     sparse_terms: int = 256
     floor: float = 0.0
+    english: bool = True
 
 
 class HybridSearch:
@@ -47,7 +49,7 @@ class HybridSearch:
         words = terms(c, "content", "chunk_id")
         idf = H.idf(words, c.count())
         asked = H.sparse_vectors(terms(questions, X.focus_query("question"), "query_id"), idf, "query_id", most)
-        return {"fts": H.fts_leg(questions, H.postings(c), depth), "dense": H.dense_leg(questions, vectors, depth), "sparse": H.sparse_leg(asked, H.sparse_vectors(words, idf, "chunk_id", most), depth)}
+        return {"fts": H.fts_leg(questions, H.postings(c, english=self.settings.english), depth, self.settings.english), "dense": H.dense_leg(questions, vectors, depth), "sparse": H.sparse_leg(asked, H.sparse_vectors(words, idf, "chunk_id", most), depth)}
 
     def candidates(self, questions: DataFrame, m: int, wanted: dict | None = None) -> DataFrame:
         """Top ``m`` per question with each leg's rank and score; legs are ranked to twice that depth."""

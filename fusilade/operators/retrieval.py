@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import english as EN
 from ..functions import text as X
 
 K, FTS_WEIGHT, DENSE_WEIGHT, SPARSE_WEIGHT = 50, 0.7, 1.0, 1.0
@@ -27,15 +28,24 @@ def ranked(scored: DataFrame, depth: int, digits: int = 9) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth).select("query_id", "chunk_id", "rank", "score")
 
 
-def postings(chunks: DataFrame, head: str = "head", content: str = "content") -> DataFrame:
-    """(chunk_id, lexeme, tf_head, tf_body)."""
+def _english(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lexeme", EN.lexeme("lexeme")).where("lexeme IS NOT NULL")
+
+
+def postings(chunks: DataFrame, head: str = "head", content: str = "content", english: bool = False) -> DataFrame:
+    """(chunk_id, lexeme, tf_head, tf_body); English lexemes are stems without stop words, made from a chunk's distinct tokens."""
     one = lambda c, h, b: chunks.select("chunk_id", F.explode(X.tokens(c)).alias("lexeme"), F.lit(h).alias("h"), F.lit(b).alias("b"))
-    return one(head, 1, 0).unionByName(one(content, 0, 1)).groupBy("chunk_id", "lexeme").agg(F.sum("h").cast("long").alias("tf_head"), F.sum("b").cast("long").alias("tf_body"))
+    rows = one(head, 1, 0).unionByName(one(content, 0, 1)).groupBy("chunk_id", "lexeme").agg(F.sum("h").cast("long").alias("tf_head"), F.sum("b").cast("long").alias("tf_body"))
+    if not english:
+        return rows
+    return _english(rows).groupBy("chunk_id", "lexeme").agg(F.sum("tf_head").alias("tf_head"), F.sum("tf_body").alias("tf_body"))
 
 
-def fts_leg(queries: DataFrame, posts: DataFrame, depth: int) -> DataFrame:
-    """Chunks with any of the focused query's lexemes, by weighted occurrences."""
+def fts_leg(queries: DataFrame, posts: DataFrame, depth: int, english: bool = False) -> DataFrame:
+    """Chunks with any of the focused query's lexemes, by weighted occurrences; ``english`` as the postings were made."""
     terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(X.focus_query("question")))).alias("lexeme"))
+    if english:
+        terms = _english(terms).distinct()
     hit = posts.join(terms, "lexeme").groupBy("query_id", "chunk_id")
     return ranked(hit.agg((HEAD_WEIGHT * F.sum("tf_head") + BODY_WEIGHT * F.sum("tf_body")).alias("score")), depth)
 

@@ -274,6 +274,12 @@ for _name in ("fts", "dense", "sparse"):
     _leg(_name)
 
 
+@query()
+def fts_leg_english(spark, sf):
+    """Stems have no SQL; tested on a fixture."""
+    return H.fts_leg(questions(spark, sf), H.postings(chunks(spark, sf), english=True), DEPTH, english=True)
+
+
 @query(legs_sql(DEPTH) + " SELECT id AS chunk_id, count(*) AS terms, round(max(w), 6) AS most FROM dw GROUP BY id")
 def sparse_prune(spark, sf):
     ct = term_rows(chunks(spark, sf), "content", "chunk_id")
@@ -471,7 +477,7 @@ def search(spark: SparkSession, sf: str) -> api.HybridSearch:
     """Each document is a chunk and a book of its own: title = source, author = language, page = id."""
     c = chunks(spark, sf).select("*", F.col("chunk_id").alias("document_id"), F.col("chunk_id").alias("page_start"), F.col("chunk_id").alias("page_end"))
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return api.HybridSearch(c, v, c.select("document_id", F.col("source").alias("title"), F.col("lang").alias("author")), api.Settings(sparse_terms=SPARSE_K))
+    return api.HybridSearch(c, v, c.select("document_id", F.col("source").alias("title"), F.col("lang").alias("author")), api.Settings(sparse_terms=SPARSE_K, english=False))
 
 
 @query(legs_sql(40) + f""", found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused)

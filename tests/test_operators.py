@@ -153,3 +153,12 @@ def test_dense_leg_without_rows(spark):
     q, v = spark.createDataFrame([(1, [1.0])], "query_id long, query_vec array<double>"), spark.createDataFrame([(1, [1.0])], "chunk_id long, vec array<double>")
     assert H.dense_leg(q.where("false"), v, 3).count() == 0
     assert H.dense_leg(q, v.where("false"), 3).count() == 0
+
+
+def test_english_leg(spark):
+    c = spark.createDataFrame([(1, "Houses", "Houses and the housing of planets"), (2, None, "one planet"), (3, "None", "of the and"), (4, "x", None)], "chunk_id long, head string, content string")
+    q = spark.createDataFrame([(1, "the planets housed"), (2, "of the")], "query_id long, question string")
+    got = H.fts_leg(q, H.postings(c, english=True), 5, english=True).collect()
+    # hous: 1 x heading, 2 x body; planet: 1 x body
+    assert sorted((r.query_id, r.chunk_id, r["rank"], r.score) for r in got) == [(1, 1, 1, 1.3), (1, 2, 2, 0.1)]
+    assert H.fts_leg(q, H.postings(c.where("false"), english=True), 5, english=True).count() == 0

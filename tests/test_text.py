@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fusilade.functions import text as X
 from fusilade.functions import vocabulary as V
+from fusilade.functions.english import lexeme, stem
 
 
 def one(spark, value, make):
@@ -65,3 +66,23 @@ def test_citation_and_numbers(spark):
     assert one(spark, "Book", lambda c: X.citation(c, F.lit(None).cast("string"), F.lit(4), F.lit(5))) == "Book, pp.4-5"
     assert one(spark, "these: [1, 4] fit", X.picked_numbers) == [1, 4]
     assert one(spark, "none", X.picked_numbers) == []
+
+
+# Examples of the published algorithm.
+STEMS = (
+    "consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistently consist "
+    "consolation consol consolatory consolatori consolidate consolid consolingly consol conspicuously conspicu conspiracy conspiraci "
+    "conspirator conspir constable constabl knack knack knackeries knackeri kneaded knead knightly knight knitted knit knives knive "
+    "knowledge knowledg generously generous happy happi hopping hop hoping hope cries cri ties tie gas gas gaps gap say say by by cry cri "
+    "sky sky dying die agreed agre feed feed rolled roll chart's chart hopefulness hope youth youth probably probabl"
+).split()
+
+
+@pytest.mark.parametrize(("word", "want"), list(zip(STEMS[::2], STEMS[1::2], strict=True)))
+def test_stems(word, want):
+    assert stem(word) == want
+
+
+def test_lexemes(spark):
+    rows = spark.createDataFrame([("houses",), ("the",), (None,), ("",), ("42",), ("'",)], "x string").select(lexeme("x").alias("y")).collect()
+    assert [r.y for r in rows] == ["hous", None, None, None, "42", "'"]
