@@ -27,6 +27,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TAGS = ("the", "of", "and", "der", "die", "que", "les")
 TOP_N, DEPTH, SPARSE_K = 6, 12, 64
+#: Terms a sparse vector keeps in the reference; what has no SQL uses it, and so do the ``_256`` queries at the end.
+SPARSE_TERMS = 256
 
 
 def query(sql: str | None = None):
@@ -101,17 +103,17 @@ def term_rows(df: DataFrame, text, key: str) -> DataFrame:
     return df.select(key, F.explode(X.tokens(text)).alias("term"))
 
 
-def three_legs(spark: SparkSession, sf: str, depth: int = DEPTH, wanted: dict | None = None) -> dict[str, DataFrame]:
+def three_legs(spark: SparkSession, sf: str, depth: int = DEPTH, wanted: dict | None = None, terms: int = SPARSE_K) -> dict[str, DataFrame]:
     c, q = H.metadata_filter(chunks(spark, sf), wanted or {}), questions(spark, sf)
     vec = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")).join(c.select("chunk_id"), "chunk_id", "left_semi")
     ct = term_rows(c, "content", "chunk_id")
     idf = H.idf(ct, c.count())
-    qt = H.sparse_vectors(term_rows(q, X.focus_query("question"), "query_id"), idf, "query_id", SPARSE_K)
-    return {"fts": H.fts_leg(q, H.postings(c), depth), "dense": H.dense_leg(q, vec, depth), "sparse": H.sparse_leg(qt, H.sparse_vectors(ct, idf, "chunk_id", SPARSE_K), depth)}
+    qt = H.sparse_vectors(term_rows(q, X.focus_query("question"), "query_id"), idf, "query_id", terms)
+    return {"fts": H.fts_leg(q, H.postings(c), depth), "dense": H.dense_leg(q, vec, depth), "sparse": H.sparse_leg(qt, H.sparse_vectors(ct, idf, "chunk_id", terms), depth)}
 
 
-def hybrid(spark: SparkSession, sf: str, wanted: dict | None = None, top_n: int = TOP_N) -> DataFrame:
-    return H.top(H.fuse(three_legs(spark, sf, 2 * top_n, wanted), H.WEIGHTS), top_n)
+def hybrid(spark: SparkSession, sf: str, wanted: dict | None = None, top_n: int = TOP_N, terms: int = SPARSE_K) -> DataFrame:
+    return H.top(H.fuse(three_legs(spark, sf, 2 * top_n, wanted, terms), H.WEIGHTS), top_n)
 
 
 # --- expressions ------------------------------------------------------------------------------------------------------------------
@@ -264,8 +266,8 @@ def postings(spark, sf):
 
 def _leg(name: str):
     @query(legs_sql(DEPTH) + f" SELECT query_id, chunk_id, rank, score FROM {name}")
-    def leg(spark, sf):
-        return three_legs(spark, sf)[name]
+    def leg(spark, sf, terms=SPARSE_K):
+        return three_legs(spark, sf, terms=terms)[name]
 
     QUERIES[f"{name}_leg"], ORACLES[f"{name}_leg"] = QUERIES.pop("leg"), ORACLES.pop("leg")
 
@@ -281,21 +283,21 @@ def fts_leg_english(spark, sf):
 
 
 @query(legs_sql(DEPTH) + " SELECT id AS chunk_id, count(*) AS terms, round(max(w), 6) AS most FROM dw GROUP BY id")
-def sparse_prune(spark, sf):
+def sparse_prune(spark, sf, terms=SPARSE_K):
     ct = term_rows(chunks(spark, sf), "content", "chunk_id")
-    w = H.sparse_vectors(ct, H.idf(ct, chunks(spark, sf).count()), "chunk_id", SPARSE_K)
+    w = H.sparse_vectors(ct, H.idf(ct, chunks(spark, sf).count()), "chunk_id", terms)
     return w.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("most"))
 
 
 @query(legs_sql(DEPTH) + " SELECT b.query_id, b.rank, b.chunk_id, b.score, d.lang, d.source, md5(d.text) AS content FROM best b JOIN documents d ON d.doc_id = b.chunk_id")
-def hybrid_search(spark, sf):
+def hybrid_search(spark, sf, terms=SPARSE_K):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.md5("text").alias("content"))
-    return hybrid(spark, sf).select("query_id", "rank", "chunk_id", "score").join(d, "chunk_id")
+    return hybrid(spark, sf, terms=terms).select("query_id", "rank", "chunk_id", "score").join(d, "chunk_id")
 
 
 @query(legs_sql(DEPTH, "lang = 'en'") + " SELECT query_id, rank, chunk_id, score FROM best")
-def rrf_filtered(spark, sf):
-    return hybrid(spark, sf, {"lang": "en"}).select("query_id", "rank", "chunk_id", "score")
+def rrf_filtered(spark, sf, terms=SPARSE_K):
+    return hybrid(spark, sf, {"lang": "en"}, terms=terms).select("query_id", "rank", "chunk_id", "score")
 
 
 ABLATION = legs_sql(40) + """, weights(leg, wf, wd, ws) AS (VALUES ('fused', 0.7::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('dense', 0, 1, 0), ('fts', 1, 0, 0), ('sparse', 0, 0, 1)),
@@ -305,18 +307,18 @@ gold AS (SELECT b.item_id AS query_id, d.source AS section, d.doc_id AS chunk_id
 
 
 @query(ABLATION + " SELECT leg, query_id, chunk_id, rank, score FROM ab")
-def rrf_ablation(spark, sf):
-    return H.ablate(H.fuse(three_legs(spark, sf, 40), H.WEIGHTS), 20)
+def rrf_ablation(spark, sf, terms=SPARSE_K):
+    return H.ablate(H.fuse(three_legs(spark, sf, 40, terms=terms), H.WEIGHTS), 20)
 
 
 @query(legs_sql(DEPTH) + " SELECT query_id, chunk_id, rank, fts_rank::DOUBLE AS fts_rank, dense_rank::DOUBLE AS dense_rank, sparse_rank::DOUBLE AS sparse_rank, fts_score, dense_score, sparse_score, score FROM best")
-def leg_diagnostics(spark, sf):
-    return hybrid(spark, sf).select("query_id", "chunk_id", "rank", *[F.col(f"{n}_rank").cast("double").alias(f"{n}_rank") for n in H.WEIGHTS], "fts_score", "dense_score", "sparse_score", "score")
+def leg_diagnostics(spark, sf, terms=SPARSE_K):
+    return hybrid(spark, sf, terms=terms).select("query_id", "chunk_id", "rank", *[F.col(f"{n}_rank").cast("double").alias(f"{n}_rank") for n in H.WEIGHTS], "fts_score", "dense_score", "sparse_score", "score")
 
 
 @query()
 def explain_terms(spark, sf):
-    r = hybrid(spark, sf).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
+    r = hybrid(spark, sf, terms=SPARSE_TERMS).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
     return H.explain(r).select("query_id", "chunk_id", "rank", "head_terms", "body_terms")
 
 
@@ -342,36 +344,36 @@ cases AS (SELECT r.*, round(d.ndcg, 9) AS ndcg FROM rec r JOIN dc d USING (leg,
 METRICS = [*(f"recall_at_{k}" for k in E.DEPTHS), "mrr", "ndcg"]
 
 
-def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    return E.case_metrics(rrf_ablation(spark, sf), gold(spark, sf), list(H.ABLATIONS))
+def _cases(spark: SparkSession, sf: str, terms: int = SPARSE_K) -> DataFrame:
+    return E.case_metrics(rrf_ablation(spark, sf, terms), gold(spark, sf), list(H.ABLATIONS))
 
 
 @query(CASES + " SELECT leg, query_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM cases")
-def metrics_by_case(spark, sf):
-    return _cases(spark, sf).select("leg", "query_id", *[F.round(m, 6).alias(m) for m in METRICS])
+def metrics_by_case(spark, sf, terms=SPARSE_K):
+    return _cases(spark, sf, terms).select("leg", "query_id", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
 @query(CASES + " SELECT leg, count(*) AS cases, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS) + " FROM cases GROUP BY leg")
-def metrics_by_leg(spark, sf):
-    return E.means(_cases(spark, sf), ["leg"])
+def metrics_by_leg(spark, sf, terms=SPARSE_K):
+    return E.means(_cases(spark, sf, terms), ["leg"])
 
 
 @query(CASES + " SELECT query_id % 4 AS class, count(*) AS cases, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS) + " FROM cases WHERE leg = 'fused' GROUP BY ALL")
-def metrics_by_class(spark, sf):
-    return E.means(_cases(spark, sf).where("leg = 'fused'").withColumn("class", F.col("query_id") % 4), ["class"])
+def metrics_by_class(spark, sf, terms=SPARSE_K):
+    return E.means(_cases(spark, sf, terms).where("leg = 'fused'").withColumn("class", F.col("query_id") % 4), ["class"])
 
 
 @query(CASES + " SELECT query_id, round(mrr, 6) AS mrr FROM cases WHERE leg = 'fused' ORDER BY mrr, query_id LIMIT 5")
-def worst_cases(spark, sf):
-    return _cases(spark, sf).where("leg = 'fused'").select("query_id", F.round("mrr", 6).alias("mrr")).orderBy("mrr", "query_id").limit(5)
+def worst_cases(spark, sf, terms=SPARSE_K):
+    return _cases(spark, sf, terms).where("leg = 'fused'").select("query_id", F.round("mrr", 6).alias("mrr")).orderBy("mrr", "query_id").limit(5)
 
 
 @query(legs_sql(DEPTH) + """, g AS (SELECT b.item_id AS query_id, min(d.source) AS book FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)
 SELECT q.query_id, coalesce(bool_or(b.rank = 1 AND d.source = g.book), false) AS book_first, coalesce(bool_or(d.source = g.book), false) AS book_any, max(b.score) AS most, max(b.score) < 0.04 AS out_of_scope
 FROM q JOIN best b ON b.query_id = q.query_id JOIN documents d ON d.doc_id = b.chunk_id LEFT JOIN g ON g.query_id = q.query_id GROUP BY q.query_id""")
-def routing_eval(spark, sf):
+def routing_eval(spark, sf, terms=SPARSE_K):
     book = gold(spark, sf).groupBy("query_id").agg(F.min("section").alias("book"))
-    r = hybrid(spark, sf).join(chunks(spark, sf).select("chunk_id", "source"), "chunk_id").join(book, "query_id", "left")
+    r = hybrid(spark, sf, terms=terms).join(chunks(spark, sf).select("chunk_id", "source"), "chunk_id").join(book, "query_id", "left")
     return r.groupBy("query_id").agg(F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("source") == F.col("book"))), F.lit(False)).alias("book_first"), F.coalesce(F.bool_or(F.col("source") == F.col("book")), F.lit(False)).alias("book_any"), F.max("score").alias("most"), (F.max("score") < 0.04).alias("out_of_scope"))
 
 
@@ -406,8 +408,8 @@ def thread_history(spark, sf):
 
 
 @query(legs_sql(DEPTH) + " SELECT query_id, md5(string_agg('[' || rank || '] ' || source || ', p.' || chunk_id || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS sources FROM best b JOIN documents d ON d.doc_id = b.chunk_id GROUP BY query_id")
-def prompt_sources(spark, sf):
-    r = hybrid(spark, sf).join(chunks(spark, sf), "chunk_id")
+def prompt_sources(spark, sf, terms=SPARSE_K):
+    r = hybrid(spark, sf, terms=terms).join(chunks(spark, sf), "chunk_id")
     part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), X.citation("source", F.lit(None).cast("string"), "chunk_id", "chunk_id"), F.lit("\n"), "content")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n")
     return r.groupBy("query_id").agg(F.md5(joined).alias("sources"))
@@ -473,22 +475,35 @@ def sign_sections(spark, sf):
 
 
 # --- the interface ----------------------------------------------------------------------------------------------------------------
-def search(spark: SparkSession, sf: str) -> api.HybridSearch:
+def search(spark: SparkSession, sf: str, terms: int = SPARSE_K) -> api.HybridSearch:
     """Each document is a chunk and a book of its own: title = source, author = language, page = id."""
     c = chunks(spark, sf).select("*", F.col("chunk_id").alias("document_id"), F.col("chunk_id").alias("page_start"), F.col("chunk_id").alias("page_end"))
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return api.HybridSearch(c, v, c.select("document_id", F.col("source").alias("title"), F.col("lang").alias("author")), api.Settings(sparse_terms=SPARSE_K, english=False))
+    return api.HybridSearch(c, v, c.select("document_id", F.col("source").alias("title"), F.col("lang").alias("author")), api.Settings(sparse_terms=terms, english=False))
 
 
 @query(legs_sql(40) + f""", found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused)
 SELECT f.query_id, f.rank, f.chunk_id, round(f.score, 4) AS score, f.rank <= {TOP_N} AS selected, d.source || CASE WHEN d.lang <> '' THEN ' (' || d.lang || ')' ELSE '' END || ', p.' || f.chunk_id AS citation
 FROM found f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 20""")
-def inspect_candidates(spark, sf):
-    return search(spark, sf).inspect(questions(spark, sf)).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "selected", "citation")
+def inspect_candidates(spark, sf, terms=SPARSE_K):
+    return search(spark, sf, terms).inspect(questions(spark, sf)).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "selected", "citation")
 
 
 @query(legs_sql(DEPTH) + """, j AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
 SELECT b.query_id, sum(coalesce(j.quality, 0)) / 6::DOUBLE AS precision FROM best b LEFT JOIN j ON j.doc_id = b.chunk_id GROUP BY b.query_id""")
-def judged_precision(spark, sf):
+def judged_precision(spark, sf, terms=SPARSE_K):
     judged = read(spark, sf, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").alias("relevant"))
-    return ST.judged_precision(hybrid(spark, sf), judged, TOP_N)
+    return ST.judged_precision(hybrid(spark, sf, terms=terms), judged, TOP_N)
+
+
+# --- whole sparse vectors ---------------------------------------------------------------------------------------------------------
+def _whole(name: str):
+    """The query at the reference's ``SPARSE_TERMS``; the one of plain name keeps the ``SPARSE_K`` of its SQL."""
+    f, pruned = QUERIES[name], f"WHERE r <= {SPARSE_K})"
+    QUERIES[f"{name}_256"] = lambda spark, sf: f(spark, sf, terms=SPARSE_TERMS)
+    assert ORACLES[name].count(pruned) == 2
+    ORACLES[f"{name}_256"] = ORACLES[name].replace(pruned, f"WHERE r <= {SPARSE_TERMS})")
+
+
+for _name in ("sparse_leg", "sparse_prune", "hybrid_search", "rrf_filtered", "rrf_ablation", "leg_diagnostics", "metrics_by_case", "metrics_by_leg", "metrics_by_class", "worst_cases", "routing_eval", "prompt_sources", "inspect_candidates", "judged_precision"):
+    _whole(_name)
