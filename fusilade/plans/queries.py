@@ -255,7 +255,7 @@ def font_sections(spark, sf):
 WHERE regexp_replace(line, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') <> '' GROUP BY page_id""")
 def html_layout(spark, sf):
     tag = F.element_at(F.map_from_entries(F.array(*[F.struct(F.lit(v), F.lit(k)) for k, v in {"title": 20.0, "h1": 18.0, "h2": 16.0, "h3": 14.0}.items()])), F.col("size"))
-    return S.html_lines(read(spark, sf, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.max(F.coalesce(tag, F.lit("p"))).alias("last_tag"))
+    return S.opening_lines(read(spark, sf, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.max(F.coalesce(tag, F.lit("p"))).alias("last_tag"))
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------------------
@@ -433,6 +433,27 @@ b AS (SELECT *, first_value(size) OVER (PARTITION BY page_id ORDER BY chars DESC
 s AS (SELECT page_id, size, string_agg(substr(line, 1, 60), '|' ORDER BY i) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY page_id, size ORDER BY i) AS r FROM html) WHERE r <= 3 GROUP BY ALL)
 SELECT page_id, size, chars, size > body + 0.4 AS is_heading, samples FROM b JOIN s USING (page_id, size) WHERE chars >= 30""")
 def size_histogram(spark, sf):
+    h = ST.size_histogram(S.opening_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
+    return h.select("page_id", "size", "chars", "is_heading", F.array_join("samples", "|").alias("samples"))
+
+
+_TEXT = f"regexp_replace(coalesce(html, ''), '{S.HIDDEN}', '', 'g')"
+for _pattern, _mark in ((S.BLOCK, "chr(1) || '\\1' || chr(2)"), (S.BREAK, "chr(3)"), (S.TAG, "''")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', {_mark}, 'g')"
+PAGE_LINES = f"""blocks AS (SELECT page_id, i, x[i] AS b FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT page_id, string_split(chr(2) || {_TEXT}, chr(1)) AS x FROM pages))),
+parts AS (SELECT page_id, i, lower(split_part(b, chr(2), 1)) AS tag, string_split(split_part(b, chr(2), 2), chr(3)) AS y FROM blocks),
+html AS (SELECT * FROM (SELECT page_id, i * 1000000 + j AS i, CASE tag {' '.join(f"WHEN '{t}' THEN {n}" for t, n in S.HEADING_SIZES.items())} ELSE {S.BODY_SIZE} END::DOUBLE AS size, {STRIP.format('y[j]')} AS line
+  FROM (SELECT *, unnest(range(1, len(y) + 1)) AS j FROM parts)) WHERE line <> '')"""
+
+
+@query(f"WITH {PAGE_LINES} SELECT page_id, count(*) AS n, sum(length(line))::BIGINT AS chars, max(size) AS most, md5(string_agg(line, chr(10) ORDER BY i)) AS body FROM html GROUP BY page_id")
+def html_layout_whole(spark, sf):
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return S.html_lines(read(spark, sf, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.max("size").alias("most"), F.md5(body).alias("body"))
+
+
+@query(ORACLES["size_histogram"].replace(f"WITH {HTML}", f"WITH {PAGE_LINES}"))
+def size_histogram_whole(spark, sf):
     h = ST.size_histogram(S.html_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
     return h.select("page_id", "size", "chars", "is_heading", F.array_join("samples", "|").alias("samples"))
 

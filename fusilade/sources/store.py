@@ -23,8 +23,33 @@ def write_csv(df: DataFrame, path: str) -> None:
 HTML_SIZES = {"title": 20.0, "h1": 18.0, "h2": 16.0, "h3": 14.0, "p": 10.0, "li": 10.0}
 
 
+#: Pseudo font sizes of all headings; other text, bold too, has BODY_SIZE.
+HEADING_SIZES, BODY_SIZE = {"title": 20.0, "h1": 18.0, "h2": 16.0, "h3": 14.0, "h4": 13.0, "h5": 12.0, "h6": 11.0}, 10.0
+BLOCK_TAGS = (*HEADING_SIZES, *"p li div article section nav header footer main aside ul ol dl dt dd table caption thead tbody tfoot tr td th blockquote pre form fieldset legend figure figcaption address details summary option center hr html head body".split())
+#: Patterns of what is never text, block tags, line breaks and other tags; a page may end inside any of them.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)|[\x01-\x03]"
+BLOCK, BREAK, TAG = rf"(?is)<(/?(?:{'|'.join(BLOCK_TAGS)}))(?:[\s/][^>]*)?>", r"(?is)<br(?:[\s/][^>]*)?>", r"(?s)<[a-zA-Z/!?][^>]*(?:>|\z)"
+
+
 def html_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, line_no, line, size): text blocks of a page in order, scripts and styles left out, with a size by tag."""
+    """(key, line_no, line, size): all text of a page in order, cut at block tags and br, with the size of the tag before it.
+
+    Scripts, styles, comments and inline tags are left out; text after a closing tag has the body's size. Entities stay as written."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
+    for pattern, mark in ((BLOCK, "\x01$1\x02"), (BREAK, "\x03"), (TAG, "")):
+        text = F.regexp_replace(text, pattern, mark)
+    sizes = F.create_map(*[F.lit(x) for pair in HEADING_SIZES.items() for x in pair])
+
+    def block(x):
+        part = F.split(x, "\x02")
+        return F.transform(F.split(part[1], "\x03"), lambda y: F.struct(y.alias("line"), F.coalesce(sizes[F.lower(part[0])], F.lit(BODY_SIZE)).alias("size")))
+
+    rows = pages.select(key, F.posexplode(F.flatten(F.transform(F.split(F.concat(F.lit("\x02"), text), "\x01"), block))).alias("line_no", "b"))
+    return rows.select(key, "line_no", X.strip("b.line").alias("line"), F.col("b.size").alias("size")).where("line <> ''")
+
+
+def opening_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, line_no, line, size): only the text between an opening tag of HTML_SIZES and the next tag; ``html_lines`` has all text."""
     body = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)[^>]*>.*?</\\1>", "")
     pattern = F.lit(f"(?is)<({'|'.join(HTML_SIZES)})(?:\\s[^>]*)?>([^<]*)")
     zipped = F.arrays_zip(F.transform(F.regexp_extract_all(body, pattern, 1), F.lower).alias("tag"), F.regexp_extract_all(body, pattern, 2).alias("line"))

@@ -1,4 +1,5 @@
 from fusilade.plans import queries as P
+from fusilade.sources import store as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,10 @@ def test_sparse_match_on_a_term_beyond_64(spark, tmp_path):
     spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
     assert {r.chunk_id for r in P.QUERIES["sparse_leg"](spark, sf).collect()} == {3}
     assert {r.chunk_id for r in P.QUERIES["sparse_leg_256"](spark, sf).collect()} == {1, 3}
+
+
+def test_html_keeps_text_in_and_after_inline_tags(spark):
+    html = "<h4>Head</h4><ul><li><a href=x>link</a></li></ul><p><b>bold</b> and<br/>after <i>it</i>, 1 < 2<!-- <p>no --><div>box<p>in</div>out<footer>foot</footer><p clas"
+    got = S.html_lines(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("line_no").collect()
+    body = ["link", "bold and", "after it, 1 < 2", "box", "in", "out", "foot"]
+    assert [(r.line, r["size"]) for r in got] == [("Head", 13.0), *((x, 10.0) for x in body)]
