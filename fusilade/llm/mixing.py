@@ -76,28 +76,31 @@ def _block_columns(df: DataFrame, sources: DataFrame, source_col: str, id_col: s
     return df.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col("__blocks"))).withColumn("__key", F.xxhash64(F.lit(seed + 1), F.col(id_col)))
 
 
-def _fill(g, size_col: str, rounds: int = 5):
-    """Which rows of a block that is cut the last pass takes: those with key <= limits[i] and size <= gaps[i] for some i.
+def _fill(g, size_col: str):
+    """Which rows of a block that is cut the last pass takes: those with lows[i] <= key <= limits[i] and size <= gaps[i] for some i.
 
-    The first round goes up the permuted keys while the rows fit; each further one goes on with the rows that fit the gap left.
-    A block's size is bounded, so this never meets a hot group.
+    Up the permuted keys, each row that fits the gap left is taken (rows of one key and fitting sizes together), so at the end no row
+    left out fits. A round is a run of keys under one gap. A block's size is bounded, so this never meets a hot group.
     """
     ids = g[["__s", "__block"]].iloc[:1].reset_index(drop=True)
-    gap, at, limits, gaps = float(g["want"].iloc[0]), None, [], []
-    g = g.groupby("__key", as_index=False)[size_col].agg(["sum", "max"]).sort_values("__key")
-    key, size, most = g["__key"].to_numpy(), g["sum"].to_numpy(), g["max"].to_numpy()
-    for _ in range(rounds):
-        fits = (size <= gap) if at is None else (most <= gap) & (key > at)
-        total = np.cumsum(np.where(fits, size, 0)) if at is not None else np.cumsum(size)
-        ok = total <= gap
-        if not ok.any() or gap <= 0:
+    gap, lows, limits, gaps = float(g["want"].iloc[0]), [], [], []
+    g = g.sort_values("__key")
+    key, size = g["__key"].to_numpy(), g[size_col].to_numpy()
+    while gap > 0:
+        key, size = key[size <= gap], size[size <= gap]
+        if not len(key):
             break
-        last = int(np.flatnonzero(ok)[-1])
-        limits.append(int(key[last]))
-        gaps.append(float("inf") if at is None else gap)
-        gap -= float(total[last])
-        at = key[last]
-    return ids.assign(limits=[limits], gaps=[gaps])
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        total = np.cumsum(size)[ends]
+        n = int(np.searchsorted(total, gap, "right"))
+        if n:
+            lows.append(int(key[0]))
+            limits.append(int(key[ends[n - 1]]))
+            gaps.append(gap)
+            gap -= float(total[n - 1])
+        at = ends[max(n, 1) - 1] + 1
+        key, size = key[at:], size[at:]
+    return ids.assign(lows=[lows], limits=[limits], gaps=[gaps])
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights=WEIGHTS, cap=CAP, seed=SEED, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS) -> DataFrame:
@@ -127,7 +130,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
     whole, part = F.col("end") <= F.col("__rest"), (F.col("start") < F.col("__rest")) & (F.col("end") > F.col("__rest"))
     blocks = cut(blocks.select("__s", "__block", "__passes", whole.alias("whole"), part.alias("part"), (F.col("__rest") - F.col("start")).alias("want")))
     limit = small.join(blocks.where("part").select("__s", "__block", "want"), ["__s", "__block"]).groupBy("__s", "__block").applyInPandas(
-        lambda g: _fill(g, size_col), "__s int, __block long, limits array<long>, gaps array<double>")
+        lambda g: _fill(g, size_col), "__s int, __block long, lows array<long>, limits array<long>, gaps array<double>")
 
     # Block copies per source down the tree; each shard's run of the permuted copies.
     copies = blocks.withColumn("copy", F.explode(F.when(F.col("whole") | F.col("part"), F.sequence(F.lit(0), F.col("__passes"))).when(F.col("__passes") > 0, F.sequence(F.lit(0), F.col("__passes") - 1)).otherwise(F.array().cast("array<int>"))))
@@ -145,10 +148,10 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
     per_block = copies.groupBy("__s", "__block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("__all"), F.first("__passes").alias("__full"), F.max("part").alias("__part"))
     per_block = cut(per_block.join(limit, ["__s", "__block"], "left"))
     out = _block_columns(df, sources.drop("__passes", "__rest"), source_col, id_col, seed).join(per_block, ["__s", "__block"], "left")
-    taken = F.exists(F.arrays_zip("limits", "gaps"), lambda x: (F.col("__key") <= x["limits"]) & (F.col(size_col) <= x["gaps"]))
+    taken = F.exists(F.arrays_zip("lows", "limits", "gaps"), lambda x: (F.col("__key") >= x["lows"]) & (F.col("__key") <= x["limits"]) & (F.col(size_col) <= x["gaps"]))
     kept = F.filter("__all", lambda p: ~F.col("__part") | (p["copy"] < F.col("__full")) | F.coalesce(taken, F.lit(False)))
     out = out.withColumn("placements", F.coalesce(kept, F.array().cast("array<struct<copy:int,shard:int>>")))
-    return out.drop("__s", "__block", "__blocks", "__key", "__all", "__full", "__part", "limits", "gaps")
+    return out.drop("__s", "__block", "__blocks", "__key", "__all", "__full", "__part", "lows", "limits", "gaps")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
