@@ -5,8 +5,7 @@ lines before and after it. Weights are trained by gradient ascent of the chain's
 document carrying the document's label. A document's quality is the mean of its lines' forward-backward marginals weighted by
 length, followed by a logistic calibration against the labels.
 
-Fitting uses at most ``sample`` labelled rows taken by hash order, of which those above ``MOST_LINES`` lines are left out; scoring
-covers every row and whole texts.
+Fitting uses at most ``sample`` labelled rows taken by hash order, each with all its lines; scoring covers every row and whole texts.
 
 Behaviour: a null or empty text is one empty line and scored like one; rows without a label teach nothing; repeated rows score
 alike; an empty table gives an empty result; with one class or none to learn from, the score is that class's rate (1 without rows,
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_WORDS, crc_mod, mix64, spread, table, text_slices, words
 from .toxicity import sample_rows
 
-SAMPLE, MOST_LINES, STEPS, STEP, L2 = 4_000, 400, 150, 0.15, 1e-3
+SAMPLE, STEPS, STEP, L2 = 4_000, 150, 0.15, 1e-3
 BASE = 12
 
 
@@ -166,7 +165,8 @@ def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label="quality", id_col="doc_id", text_col="text", sample=SAMPLE) -> dict:
-    """The chain's weights and the calibration. The driver holds the line features of ``sample`` documents at most."""
+    """The chain's weights and the calibration. The driver holds the line features of ``sample`` documents at most;
+    its memory grows with their lines, its steps with the lines of the longest."""
     rows = sample_rows(docs, labels, label, id_col, text_col, sample).select(text_col, "y")
 
     def run(batches):
@@ -174,10 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality", id_col="doc_id", te
             for lo, hi, data, off in text_slices(b.column(0)):
                 f, length, per_row = line_features(data, off)
                 at = np.concatenate([[0], np.cumsum(per_row)])
-                out = [np.concatenate([f[p:q], length[p:q, None]], 1).astype(np.float32).tobytes() if q - p <= MOST_LINES else None for p, q in zip(at[:-1], at[1:], strict=True)]
+                out = [np.concatenate([f[p:q], length[p:q, None]], 1).astype(np.float32).tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["y", "x"])
 
-    got = sorted((int(r[0] > 0), bytes(r[1])) for r in rows.mapInArrow(run, "y int, x binary").where("x is not null").collect())
+    got = sorted((int(r[0] > 0), bytes(r[1])) for r in rows.mapInArrow(run, "y int, x binary").collect())
     y = np.array([r[0] for r in got])
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 1.0}

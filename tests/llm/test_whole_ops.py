@@ -1,6 +1,6 @@
 import pandas as pd
 
-from fusilade.llm import mixing
+from fusilade.llm import mixing, quality
 
 
 def taken(rows, want):
@@ -14,3 +14,11 @@ def test_cut_block_takes_rows_behind_one_that_is_too_long():
     assert taken([(-9, 1000), (1, 30), (2, 50), (3, 40), (4, 15)], 100) == [30, 50, 15]
     rows = [(2 * i + j, n) for i in range(12) for j, n in enumerate((1, 100 - i))]
     assert sum(taken(rows, 100)) == 12 and taken([(1, 60), (1, 60), (2, 5)], 100) == [5]
+
+
+def test_documents_of_many_lines_teach(spark):
+    good, bad = "\n".join(["A plain line of words."] * 450), "\n".join(["$$$ ### !!! ||| 000"] * 450)
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(8)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    assert "w" in model
+    assert {r.doc_id: r.predicted for r in quality.score(docs, model).collect()} == {i: i % 2 for i in range(8)}
