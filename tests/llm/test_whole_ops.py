@@ -1,5 +1,6 @@
 import pandas as pd
 
+import corpus_pipeline as cp
 from fusilade.llm import mixing, quality
 
 
@@ -22,3 +23,12 @@ def test_documents_of_many_lines_teach(spark):
     model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
     assert "w" in model
     assert {r.doc_id: r.predicted for r in quality.score(docs, model).collect()} == {i: i % 2 for i in range(8)}
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, near, b, c = " ".join(words), " ".join([*words[:99], "x"]), " ".join(words[::-1]), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, a, "en", "s", 1), (2, near, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "z", 2), (3, c, "en", "a", 2), (3, a, "en", "s", 1), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text, r.source) for r in cp.jaccard_stage(spark, docs, "").collect()}
+    assert got == {(1, a, "s"), (2, b, "s"), (3, c, "a"), (3, None, "s")}
