@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session gets its own; a cluster's executors could not
+    see a driver's folder, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's bytes (file sizes, for a scan); 0 where it has none."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else 0
+
+
+#: Bytes of input, as Catalyst estimates them, that share a group of a shuffle.
+GROUP_BYTES = 64 << 20
+
+
+def n_groups(df: DataFrame) -> int:
+    """Groups to deal an input's hashes to: by bytes, so that a group stays as small whatever the partition setting; two a partition at least."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // GROUP_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker, which lives on after its task, to the system; where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors.
 
@@ -26,8 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(cleanup)
     spark.conf.set(cleanup, "true")
     try:
@@ -156,8 +192,9 @@ def words(data: np.ndarray, offsets: np.ndarray):
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component = smallest node; only nodes with an edge.
 
-    Alternates large-star and small-star until nothing changes. Each step is a map-side combined ``min`` and an equi-join,
-    so that a hub is never gathered in a task; the lineage is cut each round. Self-loops and nulls are ignored.
+    Alternates large-star and small-star until nothing changes; nodes may be of any type with an order. Each step is a map-side combined
+    ``min`` and an equi-join: a hub's edges stream through one task of the join (two ids each, never held together), which adaptive
+    execution splits when it is large. The lineage is cut each round. Self-loops and nulls are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = cut(e)

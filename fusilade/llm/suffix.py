@@ -3,40 +3,46 @@
 Where two documents share a string of ``width`` bytes, both choose the same anchor in it: the leftmost smallest hash among its
 ``SEED``-byte substrings. Windows with the same anchor form a block. Anchors meet by their hash; equal blocks are settled at once (all
 but the smallest document lose the block's windows), locally first, so a passage that many documents hold is a row per batch. Where an
-anchor has several different blocks, the distinct blocks become the text of a shard. Its suffix array is built by induced sorting:
-suffixes are classified, leftmost-smaller (LMS) substrings sorted and named, the string of names sorted by repeatedly doubling the
-pairs of names until all differ or ``width`` bytes are covered, and the order induced to the L and then the S suffixes, a bucket at a
-time. Permuted common prefixes between neighbours in the array then group the windows that are equal; each group's smallest document
-keeps them.
+anchor has several different blocks that may share a window, the distinct blocks become the text of a shard. Its suffix array is built
+by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings sorted and named, the string of names sorted in the same
+way, and the order induced to the L and then the S suffixes. Permuted common prefixes between neighbours in the array then group the
+windows that are equal; each group's smallest document keeps them.
+
+With ``settle`` off nothing is decided by the hash of a block: all blocks of a shared anchor go into the shards. It is the same result
+at a price that grows with the size of a group of copies, hence not the default.
 
 An anchor with very many distinct blocks is spread over several shards; each gives the smallest document of every distinct window, and
 those meet by the window's hash.
 
-Behaviour: null texts are empty; texts shorter than ``width`` lose nothing; matches never cross rows; repeated rows with one id count
-as that id, so they don't remove each other; an empty table gives an empty result; extra columns are kept by ``dedup``, except that
-columns named as its results are replaced. Blocks are compared by 96 bits of hash, windows inside a shard bytewise.
+Behaviour: null texts are empty; texts shorter than ``width`` lose nothing; matches never cross rows; rows that share an id don't remove
+each other's strings, whether they repeat one text or hold several, and each loses what documents of smaller ids hold: a row is known by
+its id and a 64-bit hash of its text; rows without id lose and remove nothing; an empty table gives an empty result; extra columns are
+kept by ``dedup``, except that columns named as its results are replaced. Blocks are compared by 96 bits of hash, windows inside a shard
+bytewise, windows of a spread anchor by 128 bits between shards.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, ranges, spread, table, text_slices, window_hash
+from .common import cut, give_back, mix64, n_groups, ranges, spread, table, text_slices, window_hash
 from .jaccard import span_hashes
 
 WIDTH, SEED = 50, 20
-FLUSH, SHARD_BLOCKS, SHARD_BYTES = 600_000, 20_000, 1 << 20
-ANCHOR = np.dtype([("k", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
+FLUSH, MOST_FLUSH, SHARD_BLOCKS, SHARD_BYTES = 600_000, 4_000_000, 20_000, 1 << 20
+#: Bits of a seed's and of a block's hash that are compared and sent.
+SEED_BITS, BLOCK_BITS = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int = SEED):
-    """Blocks of each row: (seed hash, block hash, row, first window's offset in the row, number of windows)."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Blocks of each row: (seed hash, block hash, row, first window's offset in the row, number of windows, sides).
+
+    A window of two blocks of one seed has half of its other bytes or more on one side of the seed: ``sides`` are 16 bits of the hashes of
+    that many bytes before and after it, so blocks that agree on neither side share no window. A side that a block doesn't reach is 0."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros((0, 2), np.uint16)
     if len(data) < width:
         return none
     h = window_hash(data, seed)
@@ -48,10 +54,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int
         out = np.minimum(out[: len(out) - step], out[step:])
         done += step
     p = (out[: len(data) - width + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    i = ranges(offsets[:-1], np.maximum(np.diff(offsets) - width + 1, 0))
+    per_row = np.maximum(np.diff(offsets) - width + 1, 0)
+    i = ranges(offsets[:-1], per_row)
     if not len(i):
         return none
-    row = np.searchsorted(offsets, i, "right") - 1
+    row = np.repeat(np.arange(len(per_row)), per_row)
     pi = p[i]
     first = np.ones(len(i), bool)
     first[1:] = (pi[1:] != pi[:-1]) | (row[1:] != row[:-1])
@@ -59,7 +66,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int
     n = np.diff(np.append(head, len(i)))
     start, at = i[head], pi[head]
     block = mix64(span_hashes(data, start, start + n + width - 1) + (at - start).astype(np.uint64))
-    return h[at], block, row[head], start - offsets[row[head]], n
+    half = (width - seed + 1) // 2
+    near, sides = window_hash(data, half) if half else np.zeros(0, np.uint64), np.zeros((len(at), 2), np.uint16)
+    reach = (at - start >= half), (start + n + width - 1 - (at + seed) >= half)
+    for side, ok, place in ((0, reach[0], at - half), (1, reach[1], at + seed)):
+        sides[ok, side] = near[place[ok]] >> np.uint64(48) | np.uint64(1) if half else 1
+    return h[at], block, row[head], start - offsets[row[head]], n, sides
 
 
 # --- suffix array of a shard -------------------------------------------------------------------------------------------------
@@ -134,19 +146,51 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: int) ->
     return np.concatenate(out[::-1])
 
 
-def suffix_array(t: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """Suffix array of bytes, exact in the first ``depth`` bytes (suffixes equal so far stand together)."""
-    t = np.asarray(t, np.uint8)
+def _induce_names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
+    """As ``_induce``, an element at a time: for alphabets about as large as the string, whose buckets hold few."""
+    n, size = len(t), np.bincount(t, minlength=symbols)
+    ends = np.cumsum(size)
+    text, is_s, sa = t.tolist(), s_type.tolist(), [-1] * n
+    tail = ends.tolist()
+    for j in reversed(lms.tolist()):
+        c = text[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    head = (ends - size).tolist()
+    if not is_s[n - 1]:  # the suffix before the virtual end
+        c = text[n - 1]
+        sa[head[c]] = n - 1
+        head[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not is_s[j]:
+            c = text[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_s[j]:
+            c = text[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa)
+
+
+def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
+    """Suffix array of a string of numbers below ``symbols``."""
     n = len(t)
     if n < 2:
         return np.arange(n)
+    # Bytes are worked off a bucket at a time, names, whose alphabet is nearly as large as their string, an element at a time.
+    induce = _induce if symbols <= 256 else _induce_names
     s_type = _types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms)
     if not len(lms):
-        return _induce(t, s_type, lms, 256)
-    sa = _induce(t, s_type, lms, 256)
+        return induce(t, s_type, lms, symbols)
+    sa = induce(t, s_type, lms, symbols)
     order = sa[is_lms[sa]]
     # Names of LMS substrings, compared as far as the next LMS position.
     nxt = np.append(lms[1:], n - 1)
@@ -164,17 +208,12 @@ def suffix_array(t: np.ndarray, depth: int = WIDTH) -> np.ndarray:
         k += 1
         alive = alive[length[a[alive]] > k]
     rank = np.zeros(n, np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(differ)]) + 1
+    rank[order] = np.concatenate([[0], np.cumsum(differ)])
     name = rank[lms]
-    covered, step = int((nxt - lms).min()) if len(lms) > 1 else depth, 1
-    while name.max() < len(name) and covered < depth + 1:
-        ahead = np.zeros(len(name), np.int64)
-        if step < len(name):
-            ahead[:-step] = name[step:]
-        name = np.unique(name * (int(name.max()) + 1) + ahead, return_inverse=True)[1] + 1
-        step *= 2
-        covered = int((lms[step:] - lms[:-step]).min()) if step < len(lms) else depth + 1
-    return _induce(t, s_type, lms[np.argsort(name, kind="stable")], 256)
+    names = int(name.max()) + 1
+    if names < len(name):
+        order = lms[suffix_array(name, max(names, 257))]
+    return induce(t, s_type, order, symbols)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int = WIDTH) -> np.ndarray:
@@ -199,12 +238,12 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int = WIDTH) -> np.ndarray
 
 
 def smallest_owner(blocks: list[bytes], owner: np.ndarray, width: int = WIDTH):
-    """For every window of the blocks, in order: number of its block, offset, smallest owner of an equal window, first equal window."""
+    """For every window of the blocks, in order: number of its block, offset, smallest owner of an equal window, and two hashes of it."""
     lengths = np.array([len(b) for b in blocks], np.int64)
     # 0 stands between blocks; bytes that are 0 in the text stay 0 too, which the lengths of windows tell apart.
     joined = np.frombuffer(b"\0".join(blocks) + b"\0", np.uint8)
     start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    sa = suffix_array(joined, width)
+    sa = suffix_array(joined)
     plcp = permuted_lcp(joined, sa, width)
     window = ranges(start, lengths - width + 1)
     block = np.repeat(np.arange(len(blocks)), lengths - width + 1)
@@ -217,65 +256,77 @@ def smallest_owner(blocks: list[bytes], owner: np.ndarray, width: int = WIDTH):
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(group)))
     low = np.repeat(np.minimum.reduceat(owner[block[member]], head), size) if len(head) else np.zeros(0, np.int64)
-    result, first = np.empty(len(window), np.int64), np.empty(len(window), np.int64)
+    result = np.empty(len(window), np.int64)
     result[member] = low
-    first[member] = np.repeat(member[head], size) if len(head) else 0
-    return block, window - start[block], result, first
+    return block, window - start[block], result, joined[: len(joined) - 1], window
 
 
 # --- the dataflow --------------------------------------------------------------------------------------------------------------
 
 
-def _settle(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors: those of the smallest document of each (seed, block), and those of larger ones, which lose the block."""
-    a = a[np.lexsort((a["at"], a["doc"], a["b"], a["k"]))]
-    head = np.ones(len(a), bool)
-    head[1:] = (a["k"][1:] != a["k"][:-1]) | (a["b"][1:] != a["b"][:-1])
-    at = np.flatnonzero(head)
-    low = np.repeat(a["doc"][at], np.diff(np.append(at, len(a))))
-    return a[a["doc"] == low], a[a["doc"] > low]
-
-
-def _lost(a: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte runs (document, start, end) that anchors lose, joined where they touch."""
-    if not len(a):
-        return (np.zeros(0, np.int64),) * 3
-    a = a[np.lexsort((a["at"], a["doc"]))]
-    doc, lo = a["doc"], a["at"].astype(np.int64)
-    return merge(doc, lo, lo + a["n"] + width - 1)
-
-
-def merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """Joins overlapping or touching runs of each document; input in (document, start) order."""
+def _settle(k: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of anchors (seed, block, document): which are of the smallest document of their seed and block. The others lose the block."""
+    if not len(k):
+        return np.zeros(0, bool)
+    key = (k & SEED_BITS) | (b >> np.uint64(40))
+    order = np.argsort(key)
+    new = np.ones(len(k), bool)
+    ks, bs = key[order], b[order]
+    new[1:] = ks[1:] != ks[:-1]
+    if ((bs[1:] != bs[:-1]) & ~new[1:]).any():  # two blocks that agree in the first bits
+        order = np.lexsort((b, k))
+        ks, bs = k[order], b[order]
+        new[1:] = (ks[1:] != ks[:-1]) | (bs[1:] != bs[:-1])
+    head = np.flatnonzero(new)
+    docs = doc[order]
+    kept = np.empty(len(k), bool)
+    kept[order] = docs == np.repeat(np.minimum.reduceat(docs, head), np.diff(np.append(head, len(k))))
+    return kept
+
+
+def _lost(doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Byte runs (document, row, start, end) that anchors lose, joined where they touch."""
+    lo = at.astype(np.int64)
+    return merge(doc, row, lo, lo + n + width - 1)
+
+
+def merge(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Joins overlapping or touching runs of each row; the result is in (document, row, start) order."""
     if not len(doc):
-        return doc, lo, hi
-    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+        return doc, row, lo, hi
+    o = np.lexsort((lo, row, doc))
+    doc, row, lo, hi = doc[o], row[o], lo[o], hi[o]
+    number = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
     far = int(hi.max()) + 2
     reach = np.maximum.accumulate(hi + number * far)
     head = np.ones(len(doc), bool)
     head[1:] = (lo[1:] + number[1:] * far) > reach[:-1]
     at = np.flatnonzero(head)
     ends = np.append(at[1:], len(doc)) - 1
-    return doc[at], lo[at], reach[ends] - number[ends] * far
+    return doc[at], row[at], lo[at], reach[ends] - number[ends] * far
 
 
-_RUNS = "kind int, doc long, lo long, hi long, k long, b long"
+_RUNS = "kind int, doc long, row long, lo long, hi long, k long, b long"
 
 
-def _runs(kind: int, doc, lo, hi, k=None, b=None) -> pa.RecordBatch:
+def _runs(kind: int, doc, row, lo, hi, k=None, b=None) -> pa.RecordBatch:
     n = len(doc)
     zero = np.zeros(n, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.ascontiguousarray(doc)), pa.array(np.ascontiguousarray(lo).astype(np.int64)), pa.array(np.ascontiguousarray(hi).astype(np.int64)), pa.array(zero if k is None else k.astype(np.uint64).view(np.int64)), pa.array(zero if b is None else b.astype(np.uint64).view(np.int64))], names=["kind", "doc", "lo", "hi", "k", "b"])
+    words = [zero if x is None else np.ascontiguousarray(x).view(np.int64) for x in (k, b)]
+    cols = [np.full(n, kind, np.int32), *(np.ascontiguousarray(x).astype(np.int64) for x in (doc, row, lo, hi)), *words]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc", "row", "lo", "hi", "k", "b"])
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Anchors column by column, narrow: 40 bits of seed, 56 of block, document by table, offset, windows."""
-    docs, which = np.unique(a["doc"], return_inverse=True)
-    parts = [np.array([len(a), len(docs)], "<i8"), docs.astype("<i8"), which.astype("<u4" if len(docs) > 65535 else "<u2"), a["k"].copy().view("u1").reshape(-1, 8)[:, 3:], a["b"].copy().view("u1").reshape(-1, 8)[:, 1:], a["at"], a["n"]]
+def _pack(doc, row, own, k, b, at, n, sides) -> bytes:
+    """Anchors column by column, narrow: 40 bits of seed, 56 of block, document and row by table, offset, windows, sides."""
+    used, which = np.unique(own, return_inverse=True)
+    parts = [np.array([len(own), len(used)], "<i8"), doc[used], row[used], which.astype("<u4" if len(used) > 65535 else "<u2"),
+             k.view("u1").reshape(-1, 8)[:, 3:], b.view("u1").reshape(-1, 8)[:, 1:], at.astype("<u4"), n.astype("<u2"), sides.T.astype("<u2")]
     return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
 
-def _unpack(buf) -> np.ndarray:
+def _unpack(buf) -> tuple[np.ndarray, ...]:
+    """(doc, row, k, b, at, n, sides) of a blob."""
     raw = np.frombuffer(buf, np.uint8)
     n, m = (int(x) for x in raw[:16].view("<i8"))
     p = 16
@@ -287,155 +338,189 @@ def _unpack(buf) -> np.ndarray:
         p += size
         return out
 
-    docs = take("<i8", m)
-    out = np.zeros(n, ANCHOR)
-    out["doc"] = docs[take("<u4" if m > 65535 else "<u2", n)]
-    for f, w in (("k", 5), ("b", 7)):
+    docs, rows = take("<i8", m), take("<i8", m)
+    which = take("<u4" if m > 65535 else "<u2", n)
+    hashes = []
+    for w in (5, 7):
         wide = np.zeros((n, 8), np.uint8)
         wide[:, 8 - w :] = take("u1", n * w).reshape(n, w)
-        out[f] = wide.view("<u8")[:, 0]
-    out["at"], out["n"] = take("<u4", n), take("u1", n)
-    return out
+        hashes.append(wide.view("<u8")[:, 0])
+    return docs[which], rows[which], *hashes, take("<u4", n), take("<u2", n), take("<u2", 2 * n).reshape(2, n).T
 
 
-def shared_blocks(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Rows of kind 0: runs [lo, hi) that a document loses; kind 1: blocks to be told apart, with seed k and block b."""
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shared_blocks(docs: DataFrame, width: int, seed: int, settle: bool = True) -> DataFrame:
+    """Rows of kind 0: runs [lo, hi) that a row loses; kind 1: blocks to be told apart, with seed k and block b."""
+    n_buckets = n_groups(docs)
+    most = min(max(FLUSH, 4 * n_buckets), MOST_FLUSH)
 
     def out(buckets, blobs):
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    def flush(held):
-        a, lost = _settle(np.concatenate(held))
-        bucket = (a["k"] >> np.uint64(24)) % np.uint64(n_buckets)
+    def flush(texts, held):
+        # In the order of the texts, so that columns of a blob ascend and compress.
+        doc, row = (np.concatenate(c) for c in zip(*texts, strict=True))
+        k, b, own, at, n, sides = (np.concatenate(c) for c in zip(*held, strict=True))
+        kept = _settle(k, b, doc[own]) if settle else np.ones(len(k), bool)
+        lost = _lost(doc[own[~kept]], row[own[~kept]], at[~kept], n[~kept], width)
+        k, b, own, at, n, sides = (c[kept] for c in (k, b, own, at, n, sides))
+        bucket = ((k >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-        ids = [i for i in range(n_buckets) if ends[i] < ends[i + 1]]
-        # By document and place inside a blob: such columns compress.
-        blobs = [_pack(np.sort(a[order[ends[i] : ends[i + 1]]], order=["doc", "at"])) for i in ids]
-        yield out(ids, blobs)
-        runs = _lost(lost, width)
-        if len(runs[0]):
-            side = (mix64(runs[0].view(np.uint64)) % np.uint64(n_buckets)).astype(int)
-            ids = [int(s) for s in np.unique(side)]
-            yield out([-1 - s for s in ids], [np.stack([r[side == s] for r in runs]).tobytes() for s in ids])
+        ids, ends = np.unique(bucket[order], return_index=True)
+        k, b, own, at, n, sides = (c[order] for c in (k, b, own, at, n, sides))
+        spans = zip(ends, np.append(ends[1:], len(order)), strict=True)
+        yield out(ids.astype(np.int32), [_pack(doc, row, *(c[i:j] for c in (own, k, b, at, n, sides))) for i, j in spans])
+        if len(lost[0]):
+            side = (mix64(lost[0].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            ids = np.unique(side)
+            yield out([-1 - int(s) for s in ids], [np.stack([r[side == s] for r in lost]).tobytes() for s in ids])
 
     def map_side(batches):
-        held, n = [], 0
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in text_slices(b.column(1)):
-                k, block, row, at, windows = anchors(data, off, width, seed)
-                a = np.zeros(len(k), ANCHOR)
+        texts, held, n, rows = [], [], 0, 0
+        for batch in batches:
+            doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for lo, hi, data, off in text_slices(batch.column(2)):
+                k, b, r, at, windows, sides = anchors(data, off, width, seed)
+                texts.append((doc[lo:hi], row[lo:hi]))
                 # The bits that are sent are those that are compared, here and there.
-                a["k"], a["b"] = k & np.uint64(0xFFFFFFFFFF000000), block & np.uint64(0xFFFFFFFFFFFFFF00)
-                a["doc"], a["at"], a["n"] = ids[lo:hi][row], at, windows
-                held.append(a)
-                n += len(a)
-                if n > FLUSH:
-                    yield from flush(held)
-                    held, n = [], 0
+                held.append((k & SEED_BITS, b & BLOCK_BITS, (r + rows).astype(np.int32), at.astype(np.uint32), windows.astype(np.uint16), sides))
+                n, rows = n + len(k), rows + hi - lo
+                if n > most:
+                    yield from flush(texts, held)
+                    texts, held, n, rows = [], [], 0, 0
         if n:
-            yield from flush(held)
+            yield from flush(texts, held)
+        give_back()
 
     def reduce_side(t: pa.Table) -> pa.Table:
         blobs = [x.as_buffer() for x in t.column("blob").combine_chunks()]
         if t.column("bucket")[0].as_py() < 0:
-            parts = [np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs]
-            doc, lo, hi = np.concatenate(parts, 1)
-            o = np.lexsort((lo, doc))
-            return pa.Table.from_batches([_runs(0, *merge(doc[o], lo[o], hi[o]))])
-        a, lost = _settle(np.concatenate([_unpack(x) for x in blobs]))
-        new_seed = np.concatenate([[True], a["k"][1:] != a["k"][:-1]])
-        head = np.flatnonzero(new_seed)
-        new_block = new_seed | np.concatenate([[True], a["b"][1:] != a["b"][:-1]])
-        many = a[np.repeat(np.add.reduceat(new_block, head, dtype=np.int64) > 1, np.diff(np.append(head, len(a))))]
-        return pa.Table.from_batches([_runs(0, *_lost(lost, width)), _runs(1, many["doc"], many["at"], many["at"].astype(np.int64) + many["n"] + width - 1, many["k"], many["b"])])
+            parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in blobs]
+            return pa.Table.from_batches([_runs(0, *merge(*np.concatenate(parts, 1)))])
+        doc, row, k, b, at, n, sides = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
+        kept = _settle(k, b, doc) if settle else np.ones(len(k), bool)
+        gone = _runs(0, *_lost(doc[~kept], row[~kept], at[~kept], n[~kept], width))
+        doc, row, k, b, at, n, sides = (c[kept] for c in (doc, row, k, b, at, n, sides))
+        # Blocks that another document's block of the seed agrees with on one side or the other.
+        many = np.zeros(len(k), bool)
+        for side in sides.T:
+            reach = np.flatnonzero(side)
+            key = k[reach] | side[reach]
+            order = np.argsort(key)
+            key, reach = key[order], reach[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else reach
+            if len(head):
+                several = np.maximum.reduceat(doc[reach], head) != np.minimum.reduceat(doc[reach], head)
+                if settle:
+                    several &= np.maximum.reduceat(b[reach], head) != np.minimum.reduceat(b[reach], head)
+                many[reach] |= np.repeat(several, np.diff(np.append(head, len(key))))
+        doc, row, k, b, lo, n = (c[many] for c in (doc, row, k, b, at.astype(np.int64), n))
+        return pa.Table.from_batches([gone, _runs(1, doc, row, lo, lo + n + width - 1, k, b)])
 
     return spread(docs).mapInArrow(map_side, "bucket int, blob binary").groupBy("bucket").applyInArrow(reduce_side, _RUNS)
 
 
 def tell_apart(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
-    """Runs (doc, lo, hi) lost because a block's window also stands in another block of the same seed."""
+    """Runs (doc, row, lo, hi) lost because a block's window also stands in another block of the same seed."""
     per_seed = blocks.groupBy("k").count().select("k", F.ceil(F.col("count") / SHARD_BLOCKS).alias("pieces"))
-    n_shards = F.greatest(F.lit(1), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n_shards = n_groups(docs) // 2
     # Nearly every seed has few blocks and lies in one shard; the few that are larger are spread, and their windows meet again below.
     large = cut(per_seed.where("pieces > 1"))
-    blocks = blocks.join(large, "k", "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("b"), F.col("pieces"))).otherwise(-1))
-    wanted = blocks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "k", "piece")).alias("wanted"))
+    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("b", "doc", "row", "lo"), F.col("pieces"))).otherwise(-1)
+    blocks = blocks.join(large, "k", "left").withColumn("piece", piece)
+    wanted = blocks.groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi", "k", "piece")).alias("wanted"))
+    names = ["doc", "row", "lo", "k", "piece"]
 
     def slice_out(batches):
+        seen: set[tuple[int, int]] = set()  # repeated rows, which stand together after a join
         for b in batches:
-            t = b.column(1)
-            cols: list[list] = [[] for _ in range(5)]
-            for doc, text, want in zip(b.column(0).to_pylist(), t, b.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                for w in want:
-                    for c, v in zip(cols, (doc, w["lo"], w["k"], w["piece"], raw[w["lo"] : w["hi"]]), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc", "lo", "k", "piece", "block"])
-
-    # Rows that share an id could differ in text; what is sliced must be the block that was asked for, which its length and the shard check.
-    found = docs.join(wanted, "doc").mapInArrow(slice_out, "doc long, lo long, k long, piece long, block binary")
-    found = found.withColumn("shard", F.when(F.col("piece") < 0, F.pmod(F.xxhash64("k"), n_shards)).otherwise(F.xxhash64("k", "piece")))
+            ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            wants, texts = b.column(3), b.column(2)
+            if len(seen) > 1 << 16:
+                seen.clear()
+            cols: list[list] = [[] for _ in names]
+            parts: list[bytes] = []
+            for i, own in enumerate(ids):
+                if own in seen:
+                    continue
+                seen.add(own)
+                raw, want = (texts[i].as_py() or "").encode(), wants[i].values
+                lo, hi, k, piece = (want.field(f).to_pylist() for f in ("lo", "hi", "k", "piece"))
+                for c, v in zip(cols, ([own[0]] * len(lo), [own[1]] * len(lo), lo, k, piece), strict=True):
+                    c += v
+                parts += [raw[p:q] for p, q in zip(lo, hi, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(parts, pa.binary())], names=[*names, "block"])
+
+    found = docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
+    found = found.mapInArrow(slice_out, "doc long, row long, lo long, k long, piece long, block binary")
+    found = found.withColumn("shard", F.when(F.col("piece") < 0, F.pmod(F.xxhash64("k"), F.lit(n_shards))).otherwise(F.xxhash64("k", "piece")))
 
     def run(t: pa.Table) -> pa.Table:
-        doc, lo, k, piece = (t.column(c).to_numpy() for c in ("doc", "lo", "k", "piece"))
-        blocks = [x.as_py() for x in t.column("block").combine_chunks()]
-        pick = [i for i, b in enumerate(blocks) if len(b) >= width]
-        doc, lo, k, piece, blocks = doc[pick], lo[pick], k[pick], piece[pick], [blocks[i] for i in pick]
+        doc, row, lo, k, piece = (t.column(c).to_numpy() for c in names)
+        blocks = t.column("block").combine_chunks().to_pylist()
         parts, at, size = [], 0, 0
         order = np.argsort(k, kind="stable")
         for i in range(len(blocks) + 1):  # groups of whole seeds, about 1 MB each
             if i == len(blocks) or (size > SHARD_BYTES and k[order[i]] != k[order[i - 1]]):
-                rows = order[at:i]
-                if len(rows):
-                    # A text that repeats itself has a block many times: once is enough for the array.
-                    seen: dict[tuple, int] = {}
-                    which = np.array([seen.setdefault((doc[r], blocks[r]), len(seen)) for r in rows])
-                    block, offset, low, _ = smallest_owner([x for _, x in seen], np.array([d for d, _ in seen], np.int64), width)
-                    starts = np.searchsorted(block, np.arange(len(seen) + 1))
-                    n = (starts[1:] - starts[:-1])[which]
-                    w = ranges(starts[which], n)  # the windows of every occurrence
-                    row = np.repeat(np.asarray(rows), n)
-                    d, x, least = doc[row], lo[row] + offset[w], low[w]
-                    spread_out = piece[row] >= 0
-                    gone = np.flatnonzero((least < d) & ~spread_out)
-                    gone = gone[np.lexsort((x[gone], d[gone]))]
-                    m = merge(d[gone], x[gone], x[gone] + width)
-                    parts.append((np.zeros(len(m[0]), np.int64), *m, np.zeros(len(m[0]), np.int64), np.zeros(len(m[0]), np.int64)))
-                    if spread_out.any():
-                        o = np.flatnonzero(spread_out)
-                        h = np.array([int.from_bytes(hashlib.blake2b(blocks[r][p : p + width], digest_size=8).digest(), "little", signed=True) for r, p in zip(row[o], offset[w[o]], strict=True)], np.int64)
-                        parts.append((np.ones(len(h), np.int64), d[o], x[o], x[o] + width, least[o], h))
+                if len(rows := order[at:i]):
+                    parts += _shard(doc, row, lo, piece, blocks, rows, width)
                 at, size = i, 0
             if i < len(blocks):
                 size += len(blocks[order[i]])
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
-        return pa.table(dict(zip(("open", "doc", "lo", "hi", "low", "h"), map(pa.array, cols), strict=True)))
-
-    return found.groupBy("shard").applyInArrow(run, "open long, doc long, lo long, hi long, low long, h long")
-
-
-def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """Per document that loses bytes: doc, runs = array of (lo, hi), which may overlap."""
-    found = cut(shared_blocks(docs, width, seed))
-    windows = cut(tell_apart(docs, found.where("kind = 1").select("doc", "lo", "hi", "k", "b"), width))
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 8
+        return pa.table(dict(zip(_WINDOWS, map(pa.array, cols), strict=True)))
+
+    return found.groupBy("shard").applyInArrow(run, ", ".join(f"{c} long" for c in _WINDOWS))
+
+
+_WINDOWS = ("open", "doc", "row", "lo", "hi", "low", "h1", "h2")
+
+
+def _shard(doc, row, lo, piece, blocks, rows, width: int):
+    """One suffix array over the blocks of ``rows``: runs that are lost (open 0) and, of spread seeds, every window with its smallest
+    document in this shard and its hash (open 1)."""
+    # A text that repeats itself has a block many times: once is enough for the array.
+    seen: dict[tuple, int] = {}
+    which = np.array([seen.setdefault((doc[r], blocks[r]), len(seen)) for r in rows])
+    block, offset, low, text, window = smallest_owner([x for _, x in seen], np.array([d for d, _ in seen], np.int64), width)
+    starts = np.searchsorted(block, np.arange(len(seen) + 1))
+    n = (starts[1:] - starts[:-1])[which]
+    w = ranges(starts[which], n)  # the windows of every occurrence
+    own = np.repeat(rows, n)
+    d, x, least = doc[own], lo[own] + offset[w], low[w]
+    spread_out = piece[own] >= 0
+    gone = np.flatnonzero((least < d) & ~spread_out)
+    m = merge(d[gone], row[own[gone]], x[gone], x[gone] + width)
+    none = np.zeros(len(m[0]), np.int64)
+    yield none, *m, none, none, none
+    if spread_out.any():
+        o = np.flatnonzero(spread_out)
+        h = [window_hash(text, width, base)[window[w[o]]].view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+        yield np.ones(len(o), np.int64), d[o], row[own[o]], x[o], x[o] + width, least[o], *h
+
+
+def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, settle: bool = True) -> DataFrame:
+    """Per row (doc, row) that loses bytes: runs = array of (lo, hi), which may overlap."""
+    if not seed <= width <= seed + 60_000:
+        raise ValueError("width must hold a seed, and a block's windows must fit 16 bits")
+    found = cut(shared_blocks(docs, width, seed, settle))
+    windows = cut(tell_apart(docs, found.where("kind = 1").select("doc", "row", "lo", "hi", "k", "b"), width))
     open_ = windows.where("open = 1")
-    lowest = open_.groupBy("h").agg(F.min("low").alias("lowest"))
-    parts = (found.where("kind = 0"), windows.where("open = 0"), open_.join(lowest, "h").where("lowest < doc"))
-    all_runs = parts[0].select("doc", "lo", "hi").unionByName(parts[1].select("doc", "lo", "hi")).unionByName(parts[2].select("doc", "lo", "hi"))
-    return all_runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    lowest = open_.groupBy("h1", "h2").agg(F.min("low").alias("lowest"))
+    parts = (found.where("kind = 0"), windows.where("open = 0"), open_.join(lowest, ["h1", "h2"]).where("lowest < doc"))
+    runs = [p.select("doc", "row", "lo", "hi") for p in parts]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, as_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, as_text: bool = False, settle: bool = True) -> DataFrame:
     """All columns of ``df`` with ``kept`` (binary: the bytes that remain; with ``as_text`` a string without the characters that a cut
     leaves in part), n_bytes, n_removed, n_spans and spans (array of (lo, hi))."""
     added = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
     keep = [f for f in df.schema.fields if f.name not in added]
     df = df.select([F.col(f"`{f.name}`") for f in keep])
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    joined = df.join(lost_runs(docs, width, seed).withColumnRenamed("runs", "__runs").withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
+    lost = lost_runs(docs, width, seed, settle).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs"))
+    here = (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__row"))
+    joined = df.join(lost, here, "left").drop("__doc", "__row")
     span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches):
@@ -453,8 +538,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                     t = raw[off[i] : off[i + 1]]
                     lo, hi = lo_all[ends[i] : ends[i + 1]], hi_all[ends[i] : ends[i + 1]]
                     if len(lo):
-                        o = np.argsort(lo, kind="stable")
-                        _, lo, hi = merge(np.zeros(len(lo), np.int64), lo[o], hi[o])
+                        zero = np.zeros(len(lo), np.int64)
+                        _, _, lo, hi = merge(zero, zero, lo, hi)
                     spans, at, parts = list(zip(lo.tolist(), hi.tolist(), strict=True)), 0, []
                     for p, q in spans:
                         parts.append(t[at:p])
@@ -467,6 +552,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 arrays = [b.column(b.schema.get_field_index(n)).slice(first, last - first) for n in names]
                 kinds = (pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64(), span_type)
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], names=[*names, *added])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     return joined.mapInArrow(run, f"{fields}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>")
