@@ -6,13 +6,15 @@ sets meet. Pairs that share enough tokens, and all sets that share a token of ma
 sets share is reduced to a star, locally first, so that it is a few rows per batch and never gives all its pairs.
 
 Candidates are verified in leaves: sets of a candidate component, ordered by size, of at most ``LEAF`` sets each, and each pair of
-leaves whose sizes allow a link is a task. In a task an R-tree indexes the vectors of group counts: a node holds the coordinate-wise
-maxima, the overlap of a pair is at most the sum over coordinates of the smaller count, first node against node, then set
-against set. Pairs that survive are verified on the sets themselves; pairs already connected are skipped, which loses no component.
+leaves whose sizes allow a link is a task. In a task an R-tree indexes the vectors of group counts: it is loaded in bulk, each node split
+at the median of the coordinate that varies most, and a node holds the coordinate-wise maxima and the range of sizes. The overlap of a
+pair is at most the sum over coordinates of the smaller count: both trees are descended together, node against node, and what is left
+is bounded set against set. Pairs that survive are verified on the sets themselves; pairs already connected are skipped, which loses no
+component.
 
 Behaviour: null texts and texts without words have no shingles and link with nothing; texts shorter than ``width`` words have one
-shingle; repeated rows are in the class of their text; an empty table gives an empty result; extra columns are dropped. Shingles are
-compared by 48-bit hashes.
+shingle; repeated rows are in the class of their text; texts that share an id are sets of their own, told apart by class; an empty table
+gives an empty result; extra columns are dropped. Shingles are compared by 64-bit hashes, classes by their size and 128 bits.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BYTE_WORDS, components, cut, mix64, ranges, spread, table, text_slices, words
+from .common import BYTE_WORDS, components, cut, give_back, mix64, n_groups, ranges, spread, table, text_slices, words
 
 WIDTH, PERCENT = 4, 85
-DIMS, NODE, LEAF, FLUSH = 64, 64, 4096, 600_000
+DIMS, NODE, LEAST_LEAF, LEAF, FLUSH, MOST_FLUSH = 64, 32, 512, 4096, 600_000, 4_000_000
+#: Classes of at least this share of all rows, 1 / COMMON at most, are broadcast with their results.
+COMMON = 0.001
 #: Cells of the frequency sketch; shared tokens that a light pair needs; classes of a light token.
 CELLS, SKETCH_CHUNKS, SHARED, LIGHT = 1 << 22, 64, 4, 16
 POLY = 0xD6E8FEB86659FD93
@@ -56,33 +60,37 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit shingle hashes of every row, ascending inside the row, and how many each row has."""
+    """Distinct 64-bit shingle hashes of every row, ascending inside the row, and how many each row has."""
     n = len(offsets) - 1
     data = LOWER[data]
     start, end, row = words(data, offsets)
     wh = span_hashes(data, start, end)
     per = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64)
-    heads = ranges(first, np.where(per >= width, per - width + 1, 0))
+    counts = np.where(per >= width, per - width + 1, np.minimum(per, 1))
+    heads = ranges(first, counts)
     h = np.zeros(len(heads), np.uint64)
+    whole = (per >= width)[row[heads]]
+    at = heads if whole.all() else heads[whole]
+    g = np.zeros(len(at), np.uint64)
     for k in range(width):
-        h = mix64(h * np.uint64(3) + wh[heads + k] + np.uint64(k + 1))
-    rows = row[heads]
-    short = np.flatnonzero((per > 0) & (per < width))
-    if len(short):
+        g = mix64(g * np.uint64(3) + wh[at + k] + np.uint64(k + 1))
+    h[whole] = g
+    if len(at) < len(heads):
+        short = row[heads[~whole]]
         s = np.zeros(len(short), np.uint64)
         for k in range(width - 1):
             has = per[short] > k
             s[has] = mix64(s[has] * np.uint64(5) + wh[first[short][has] + k] + np.uint64(k + 77))
-        h, rows = np.concatenate([h, s]), np.concatenate([rows, short])
-    out, counts = [], np.zeros(n, np.int64)
-    for a in range(0, n, 1 << 16):  # 16 bits of row, 48 of hash
-        pick = (rows >= a) & (rows < a + (1 << 16)) if n > 1 << 16 else slice(None)
-        key = np.unique((rows[pick] - a).astype(np.uint64) << np.uint64(48) | h[pick] >> np.uint64(16))
-        m = np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=min(n - a, 1 << 16))
-        counts[a : a + len(m)] = m
-        out.append(key & np.uint64((1 << 48) - 1))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+        h[~whole] = s
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
+    keep = np.ones(len(h), bool)
+    keep[1:] = h[1:] != h[:-1]
+    keep[(ends - counts)[counts > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return h[keep], kept[ends] - kept[ends - counts]
 
 
 def cell_sums(cell: np.ndarray, value: np.ndarray, cells: int) -> np.ndarray:
@@ -92,10 +100,12 @@ def cell_sums(cell: np.ndarray, value: np.ndarray, cells: int) -> np.ndarray:
     return lo + (hi << np.uint64(32))
 
 
-def classes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit name of every row's set."""
+def classes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of every row's set, as two words."""
     row = np.repeat(np.arange(len(counts)), counts)
-    return mix64(mix64(cell_sums(row, mix64(h), len(counts))) ^ cell_sums(row, mix64(h ^ np.uint64(0x5BD1E995)), len(counts)) + counts.astype(np.uint64)).view(np.int64)
+    sums = [cell_sums(row, mix64(h ^ np.uint64(salt)), len(counts)) for salt in (0, 0x5BD1E995)]
+    size = counts.astype(np.uint64)
+    return mix64(mix64(sums[0]) ^ sums[1] + size).view(np.int64), mix64(mix64(sums[1] + np.uint64(1)) ^ sums[0] + size).view(np.int64)
 
 
 def least_overlap(n, percent: int):
@@ -159,7 +169,7 @@ def prefixes(h: np.ndarray, counts: np.ndarray, levels: np.ndarray, percent: int
         x = h[start[a] : start[b]]
         level = levels[(x & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
         row = np.repeat(np.arange(b - a, dtype=np.uint64), counts[a:b])
-        key = np.sort(row << np.uint64(48) | level << np.uint64(40) | x >> np.uint64(8))
+        key = np.sort(row << np.uint64(48) | level << np.uint64(40) | x >> np.uint64(24))
         at = ranges(start[a:b] - start[a], length[a:b])
         tokens.append(key[at] & np.uint64((1 << 40) - 1))
         rows.append(np.repeat(np.arange(a, b), length[a:b]))
@@ -202,7 +212,8 @@ def candidates(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
     A token of at most ``LIGHT`` classes gives its pairs of fitting sizes; pairs count if they share as many tokens as linked sets must.
     A token of more classes gives a star; whoever shares such a token is in one candidate component with the others."""
     spark = docs.sparkSession
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_groups(docs)
+    most = min(max(FLUSH, 4 * n_buckets), MOST_FLUSH)
     shared = spark.sparkContext.broadcast(levels)  # CELLS bytes
 
     def out(buckets, blobs):
@@ -237,13 +248,14 @@ def candidates(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
             for _, _, data, off in text_slices(b.column(0)):
                 h, counts = shingles(data, off, width)
                 token, row = prefixes(h, counts, shared.value, percent)
-                held.append((token, classes(h, counts)[row], counts[row]))
+                held.append((token, classes(h, counts)[0][row], counts[row]))
                 n += len(token)
-                if n > FLUSH:
+                if n > most:
                     yield flush(held)
                     held, n = [], 0
         if n:
             yield flush(held)
+        give_back()
 
     def reduce_side(t: pa.Table) -> pa.Table:
         blobs = [x.as_buffer() for x in t.column("blob").combine_chunks()]
@@ -286,19 +298,31 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class Tree:
-    """Two levels of an R-tree over count vectors: sets in size order, NODE sets to a node, coordinate-wise maxima per node."""
+    """An R-tree over count vectors, loaded in bulk: level k has 2 ** k nodes, those of the last level hold NODE sets at most.
+
+    ``sets``, ``size``, ``count`` and ``full`` are in the tree's order, ``order`` says where a set came from. A level is its nodes' first
+    sets, coordinate-wise maxima, sizes and whether they hold a full coordinate."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets])
-        self.count = np.stack([np.minimum(np.bincount((mix64(s) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 65535) for s in sets]).astype(np.uint16)
+        count = np.stack([np.minimum(np.bincount((mix64(s) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 65535) for s in sets]).astype(np.uint16)
+        order, starts, levels = np.arange(len(sets)), np.array([0, len(sets)]), [np.array([0, len(sets)])]
+        while np.diff(starts).max() > NODE:
+            cuts = [0]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                mid = (i + j) // 2
+                part = count[order[i:j]]
+                widest = int(part.var(0).argmax())
+                order[i:j] = order[i:j][np.argpartition(part[:, widest], mid - i)] if 0 < mid - i < j - i else order[i:j]
+                cuts += [int(mid), int(j)]
+            starts = np.array(cuts)
+            levels.append(starts)
+        self.order, self.sets = order, [sets[i] for i in order]
+        self.size = np.array([len(s) for s in self.sets])
+        self.count = count[order]
         # A coordinate that is full could be larger than it says; the bound is then taken as met.
         self.full = (self.count == 65535).any(1)
-        at = np.arange(0, len(sets), NODE)
-        self.nodes = [(int(i), int(min(i + NODE, len(sets)))) for i in at]
-        self.top = np.stack([self.count[i:j].max(0) for i, j in self.nodes])
-        self.lo = np.array([self.size[i:j].min() for i, j in self.nodes])
-        self.hi = np.array([self.size[i:j].max() for i, j in self.nodes])
+        self.levels = [(at[:-1], np.maximum.reduceat(self.count, at[:-1]).astype(np.int64), np.minimum.reduceat(self.size, at[:-1]), np.maximum.reduceat(self.size, at[:-1]), np.logical_or.reduceat(self.full, at[:-1])) for at in levels]
+        self.starts = starts
 
 
 def needed(a, b, percent: int):
@@ -306,45 +330,69 @@ def needed(a, b, percent: int):
     return np.ceil((np.asarray(a) + np.asarray(b)) * percent / (100 + percent) - 1e-9)
 
 
-def tree_join(left: Tree, right: Tree, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect what links: node bounds, set bounds, then the sets; pairs already connected are skipped."""
-    nl = len(left.sets)
+def node_pairs(left: Tree, right: Tree, same: bool, percent: int, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of last-level nodes whose bounds allow a link, by descending both trees together."""
+    p = q = np.zeros(1, np.int64)
+    at = [0, 0]
+    while True:
+        (_, top_p, lo_p, hi_p, full_p), (_, top_q, lo_q, hi_q, full_q) = left.levels[at[0]], right.levels[at[1]]
+        ok = (hi_p[p] * 100 >= lo_q[q] * percent) & (hi_q[q] * 100 >= lo_p[p] * percent)
+        p, q = p[ok], q[ok]
+        bound = np.concatenate([np.minimum(top_p[p[k : k + step]], top_q[q[k : k + step]]).sum(1) for k in range(0, len(p), step)]) if len(p) else np.zeros(0)
+        ok = (bound >= needed(lo_p[p], lo_q[q], percent)) | full_p[p] | full_q[q]
+        p, q = p[ok], q[ok]
+        down = [at[0] + 1 < len(left.levels), at[1] + 1 < len(right.levels)]
+        if not any(down):
+            return p, q
+        if down[0]:
+            p, q, at[0] = np.concatenate([2 * p, 2 * p + 1]), np.concatenate([q, q]), at[0] + 1
+        if down[1]:
+            p, q, at[1] = np.concatenate([p, p]), np.concatenate([2 * q, 2 * q + 1]), at[1] + 1
+        if same:
+            p, q = p[p <= q], q[p <= q]
+
+
+def tree_join(left: Tree, right: Tree, same: bool, percent: int, tally: dict[str, int] | None = None) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect what links, by the sets' places before loading: node bounds, set bounds, then the sets; pairs already
+    connected are skipped. ``tally`` counts the pairs that each step leaves."""
+    nl, tally = len(left.sets), {} if tally is None else tally
     root = np.arange(nl if same else nl + len(right.sets))
     shift, edges = 0 if same else nl, []
-    for p, (i0, i1) in enumerate(left.nodes):
-        for q, (j0, j1) in enumerate(right.nodes):
-            if same and q < p:
-                continue
-            if left.hi[p] * 100 < right.lo[q] * percent or right.hi[q] * 100 < left.lo[p] * percent:
-                continue
-            full = left.full[i0:i1].any() or right.full[j0:j1].any()
-            if not full and np.minimum(left.top[p], right.top[q]).sum(dtype=np.int64) < needed(left.lo[p], right.lo[q], percent):
-                continue
-            a, b = left.count[i0:i1], right.count[j0:j1]
-            bound = np.minimum(a[:, None, :], b[None, :, :]).sum(2, dtype=np.int64)
-            size_a, size_b = left.size[i0:i1, None], right.size[None, j0:j1]
-            ok = (bound >= needed(size_a, size_b, percent)) | left.full[i0:i1, None] | right.full[None, j0:j1]
-            ok &= (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
-            for i in np.flatnonzero(ok.any(1)):
-                js = np.flatnonzero(ok[i]) + j0
-                i = int(i) + i0
-                js = js[js > i] if same else js
-                while len(js := js[root[js + shift] != root[i]]):
-                    j, js = int(js[0]), js[1:]
-                    if linked(left.sets[i], right.sets[j], percent):
-                        edges.append((i, j))
-                        root[root == root[j + shift]] = root[i]
+    tally["pairs"] = tally.get("pairs", 0) + (nl * (nl - 1) // 2 if same else nl * len(right.sets))
+    for p, q in zip(*node_pairs(left, right, same, percent), strict=True):
+        (i0, i1), (j0, j1) = left.starts[p : p + 2], right.starts[q : q + 2]
+        a, b = left.count[i0:i1], right.count[j0:j1]
+        bound = np.minimum(a[:, None, :], b[None, :, :]).sum(2, dtype=np.int64)
+        size_a, size_b = left.size[i0:i1, None], right.size[None, j0:j1]
+        ok = (bound >= needed(size_a, size_b, percent)) | left.full[i0:i1, None] | right.full[None, j0:j1]
+        ok &= (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
+        if same and p == q:
+            ok = np.triu(ok, 1)
+        tally["nodes"] = tally.get("nodes", 0) + ((i1 - i0) * (i1 - i0 - 1) // 2 if same and p == q else ok.size)
+        tally["bounds"] = tally.get("bounds", 0) + int(ok.sum())
+        for i in np.flatnonzero(ok.any(1)):
+            js = np.flatnonzero(ok[i]) + j0
+            i = int(i) + i0
+            while len(js := js[root[js + shift] != root[i]]):
+                j, js = int(js[0]), js[1:]
+                tally["verified"] = tally.get("verified", 0) + 1
+                if linked(left.sets[i], right.sets[j], percent):
+                    edges.append((int(left.order[i]), int(right.order[j])))
+                    root[root == root[j + shift]] = root[i]
     return edges
 
 
 def leaf_tasks(chosen: DataFrame, percent: int) -> DataFrame:
-    """Adds to rows (comp, rep, n, ...) the leaf of each set and its tasks, array of (p, q): the pairs of leaves to be joined."""
+    """Adds to rows (comp, c1, n, ...) the leaf of each set and its tasks, array of (p, q): the pairs of leaves to be joined.
+
+    A leaf has a sixteenth of its component's sets, between LEAST_LEAF and LEAF."""
     counts = cut(chosen.groupBy("comp", "n").agg(F.count("*").alias("k")))
     by_size = Window.partitionBy("comp").orderBy("n")
-    at = counts.select("comp", "n", "k", (F.sum("k").over(by_size) - F.col("k")).alias("before"))
-    leaf = F.floor((F.col("before") + F.pmod(F.xxhash64("rep"), F.col("k"))) / LEAF).cast("int").alias("leaf")
+    most = F.least(F.lit(LEAF), F.greatest(F.lit(min(LEAST_LEAF, LEAF)), F.ceil(F.sum("k").over(Window.partitionBy("comp")) / 16))).cast("long")
+    at = counts.select("comp", "n", "k", (F.sum("k").over(by_size) - F.col("k")).alias("before"), most.alias("most"))
+    leaf = F.expr("cast((before + pmod(xxhash64(c1), k)) div most as int)").alias("leaf")
     placed = chosen.join(at, ["comp", "n"]).select(*chosen.columns, leaf)
-    bounds = at.withColumn("leaf", F.explode(F.expr(f"sequence(cast(before div {LEAF} as int), cast((before + k - 1) div {LEAF} as int))")))
+    bounds = at.withColumn("leaf", F.explode(F.expr("sequence(cast(before div most as int), cast((before + k - 1) div most as int))")))
     bounds = bounds.groupBy("comp", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = bounds.alias("x"), bounds.alias("y")
     tasks = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.leaf") <= F.col("y.leaf")) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent))
@@ -353,30 +401,36 @@ def leaf_tasks(chosen: DataFrame, percent: int) -> DataFrame:
     return placed.join(sides.groupBy("comp", "leaf").agg(F.collect_list(F.struct("p", "q")).alias("tasks")), ["comp", "leaf"])
 
 
+_NODE = ("rep", "c1", "c2")
+
+
 def verified_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of document ids from rows (comp, leaf, p, q, doc, n, shingles binary)."""
+    """Edges (a, b) of classes, structs of _NODE, from rows (comp, leaf, p, q, rep, c1, c2, n, shingles binary)."""
 
     def run(t: pa.Table) -> pa.Table:
         leaf, q = t.column("leaf").to_numpy(), t.column("q")[0].as_py()
-        p, doc = t.column("p")[0].as_py(), t.column("doc").to_numpy()
+        p, names = t.column("p")[0].as_py(), [t.column(c).to_numpy() for c in _NODE]
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("shingles").combine_chunks()]
-        order = np.lexsort((doc, t.column("n").to_numpy()))
-        i, j = [k for k in order if leaf[k] == p], [k for k in order if leaf[k] == q]
+        order = np.lexsort((names[2], names[1], t.column("n").to_numpy()))
+        i, j = order[leaf[order] == p], order[leaf[order] == q]
+        edges = []
         if p == q:
-            left = right = Tree([sets[k] for k in i])
-        else:
-            left, right = (Tree([sets[k] for k in i]), Tree([sets[k] for k in j])) if i and j else (None, None)
-        edges = tree_join(left, right, p == q, percent) if left else []
-        return pa.table({"a": pa.array([int(doc[i[u]]) for u, _ in edges], pa.int64()), "b": pa.array([int(doc[(i if p == q else j)[v]]) for _, v in edges], pa.int64())})
+            tree = Tree([sets[k] for k in i])
+            edges = tree_join(tree, tree, True, percent)
+        elif len(i) and len(j):
+            edges = tree_join(Tree([sets[k] for k in i]), Tree([sets[k] for k in j]), False, percent)
+        ends = [i[[u for u, _ in edges]], (i if p == q else j)[[v for _, v in edges]]] if edges else [i[:0]] * 2
+        return pa.table({f"{side}_{c}": pa.array(v[e].astype(np.int64)) for side, e in zip("ab", ends, strict=True) for c, v in zip(_NODE, names, strict=True)})
 
-    return sets.groupBy("comp", "p", "q").applyInArrow(run, "a long, b long")
+    found = sets.groupBy("comp", "p", "q").applyInArrow(run, ", ".join(f"{side}_{c} long" for side in "ab" for c in _NODE))
+    return found.select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in _NODE]).alias(side) for side in "ab"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
-    names = ["doc", "n", "cls", "chunk", "blob"]
+    names = ["doc", "n", "c1", "c2", "chunk", "blob"]
 
     def describe(batches):
         sketch = Sketch()
@@ -384,35 +438,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for lo, hi, data, off in text_slices(b.column(1)):
                 h, counts = shingles(data, off, width)
                 sketch.add(h)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(classes(h, counts)), pa.array([-1] * (hi - lo), pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), *map(pa.array, classes(h, counts)), pa.array([-1] * (hi - lo), pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
         for k, blob in sketch.rows():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([0], pa.int64()),) * 2, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([0], pa.int64()),) * 3, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+        give_back()
 
-    described = cut(spread(docs).mapInArrow(describe, "doc long, n long, cls long, chunk int, blob binary"))
-    sets = described.where("chunk < 0").select("doc", "n", "cls")
+    described = cut(spread(docs).mapInArrow(describe, "doc long, n long, c1 long, c2 long, chunk int, blob binary"))
+    sets = described.where("chunk < 0").select("doc", "n", "c1", "c2")
     levels = sketch_levels(described)
-    reps = sets.where("n > 0").groupBy("cls", "n").agg(F.min("doc").alias("rep"))
+    reps = sets.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows"))
     comps = components(candidates(docs, levels, width, percent))
     # Leaves and tasks are settled on ids and sizes alone, so that the sets themselves are shuffled once.
-    chosen = cut(reps.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls").select("rep", "comp", "cls", "n"))
-    placed = cut(leaf_tasks(chosen, percent).select("rep", "comp", "cls", "leaf", "tasks"))
+    chosen = cut(reps.join(comps.select(F.col("node").alias("c1"), F.col("component").alias("comp")), "c1").select("rep", "comp", "c1", "c2", "n"))
+    placed = cut(leaf_tasks(chosen, percent).select("rep", "comp", "c1", "c2", "n", "leaf", "tasks"))
+    head = ["comp", "leaf", "tasks", "rep", "c1", "c2", "n"]
 
     def shingle_rows(batches):
+        seen: set[tuple] = set()  # repeated rows of one id, of which a join brings all, stand together
         for b in batches:
             text = b.schema.get_field_index("text")
+            want = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("n", "c1", "c2")), strict=True))
             for lo, hi, data, off in text_slices(b.column(text)):
                 h, counts = shingles(data, off, width)
                 at = np.concatenate([[0], np.cumsum(counts)])
-                kept = [c.slice(lo, hi - lo) for c in b.columns[:text]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(classes(h, counts)), pa.array([h[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=[*b.schema.names[:text], "n", "found", "shingles"])
-
-    texts = docs.join(placed, docs["doc"] == placed["rep"]).select("comp", "leaf", "tasks", "doc", "cls", "text")
-    again = texts.mapInArrow(shingle_rows, "comp long, leaf int, tasks array<struct<p:int,q:int>>, doc long, cls long, n long, found long, shingles binary")
-    # An id that several texts share would bring in a set of another class: the class decides.
-    again = again.where("cls = found").select("comp", "leaf", F.explode("tasks").alias("task"), "doc", "n", "shingles").select("comp", "leaf", "task.*", "doc", "n", "shingles")
+                # An id that several texts share brings in sets of other classes: the class decides.
+                keep = []
+                for i, got in enumerate(zip(counts.tolist(), *(c.tolist() for c in classes(h, counts)), strict=True)):
+                    if got == want[lo + i] and got not in seen:
+                        seen.add(got)
+                        keep.append(i)
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                taken = b.slice(lo, hi - lo).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns[:text], pa.array([h[at[i] : at[i + 1]].tobytes() for i in keep], pa.binary())], names=[*b.schema.names[:text], "shingles"])
+        give_back()
+
+    texts = docs.join(placed, docs["doc"] == placed["rep"]).select(*head, "text")
+    again = texts.mapInArrow(shingle_rows, "comp long, leaf int, tasks array<struct<p:int,q:int>>, rep long, c1 long, c2 long, n long, shingles binary")
+    again = again.withColumn("task", F.explode("tasks")).select("comp", "leaf", "task.*", *_NODE, "n", "shingles")
     linked_reps = components(verified_edges(again, percent))
-    named = reps.join(linked_reps, reps["rep"] == linked_reps["node"], "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
+    linked_reps = linked_reps.select(*[F.col(f"node.{c}") for c in ("c1", "c2")], F.col("component.rep").alias("component"))
+    named = cut(reps.join(linked_reps, ["c1", "c2"], "left").select("n", "c1", "c2", "rows", F.coalesce("component", "rep").alias("component")))
+    # Rows of common classes don't meet in one task of a join.
+    is_common = F.col("rows") >= max(2.0, COMMON * (named.agg(F.sum("rows")).first()[0] or 0))
+    by = ["n", "c1", "c2"]
+    out = sets.join(F.broadcast(named.where(is_common).drop("rows")), by, "left")
+    rare = out.where("component IS NULL").drop("component").join(named.where(~is_common).drop("rows"), by, "left")
+    out = out.where("component IS NOT NULL").select("doc", "n", "component").unionByName(rare.select("doc", "n", "component"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
