@@ -6,17 +6,19 @@ second permutation. The resulting exact block quotas go down a binary tree over
 remaining blocks per source between its halves by a multivariate-hypergeometric draw, so the leaves' quotas add up exactly. Each leaf
 then draws the next disjoint run of each source's permuted blocks, and rows are shuffled inside the shard by a hash.
 
-Only per-source sums and block tables reach the driver or a broadcast; rows meet their block by an equi-join on (source, block), and a
-hot source has as many blocks as its size asks for.
+Only per-source sums reach the driver, which splits the top of the tree; tasks split the subtrees. Rows meet their block by an equi-join
+on (source, block), and a hot source has as many blocks as its size asks for, ``MOST_BLOCKS`` at most: above 13 billion words of a source
+its blocks grow, and the one that the target cuts, whose keys and sizes a task holds, is a 65,536th of it.
 
 Behaviour: a null text has size 0; a null source is a source of its own, ordered last; rows of size 0 are taken as their block is;
-repeated rows are placed alike; an empty table gives an empty result; a source without words has target 0; extra columns are kept by
+rows without id are dealt by their size (by their text, in ``mixed``); repeated rows are placed alike; an empty table gives an empty result; a source without words has target 0; extra columns are kept by
 ``mixed``. The seed decides every draw, so reruns agree.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from pyspark.sql import Window
 from .common import cut, table
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3.0, 20240601
-BLOCK_WORDS, SHARD_WORDS, MOST_BLOCKS = 200_000, 5_000_000, 1 << 16
+BLOCK_WORDS, SHARD_WORDS, MOST_BLOCKS, NODES = 200_000, 5_000_000, 1 << 16, 256
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -51,36 +53,52 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float =
     return out
 
 
-def split_tree(blocks: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
-    """Exact quotas [shard, source]: at each node the halves share the blocks by a multivariate-hypergeometric draw."""
-    out = np.zeros((n_shards, len(blocks)), np.int64)
-    todo = [(0, n_shards, blocks.astype(np.int64))]
+def split_tree(lo: int, hi: int, have: np.ndarray, start: np.ndarray, seed: int, stop: int = 1):
+    """Splits the blocks ``have`` [source] of shards lo .. hi - 1 down to nodes of ``stop`` shards: yields (lo, hi, have, start).
+
+    At each node the halves share the blocks by a multivariate-hypergeometric draw, of which a node's seed and place are the only input;
+    ``start`` counts the blocks of each source that belong to the shards before."""
+    todo = [(lo, hi, have.astype(np.int64), start.astype(np.int64))]
     while todo:
-        lo, hi, have = todo.pop()
-        if hi - lo == 1:
-            out[lo] = have
+        lo, hi, have, start = todo.pop()
+        if hi - lo <= stop:
+            yield lo, hi, have, start
             continue
-        mid = (lo + hi) // 2
-        total = int(have.sum())
+        mid, total = (lo + hi) // 2, int(have.sum())
         take = total * (mid - lo) // (hi - lo)
         rng = np.random.default_rng([seed, lo, hi])
-        method = "marginals"
-        left = rng.multivariate_hypergeometric(have, take, method=method) if 0 < take < total else (have if take else have * 0)
-        todo += [(lo, mid, left), (mid, hi, have - left)]
-    return out
+        left = rng.multivariate_hypergeometric(have, take, method="marginals") if 0 < take < total else (have if take else have * 0)
+        todo += [(mid, hi, have - left, start + left), (lo, mid, left, start)]
+
+
+def quotas(spark: SparkSession, blocks: np.ndarray, n_shards: int, seed: int) -> DataFrame:
+    """(__s, shard, lo, hi): each shard's run of every source's permuted blocks. The driver holds ``NODES`` nodes of the tree."""
+    stop = max(1, -(-n_shards // NODES))
+    nodes = [(lo, hi, have.tolist(), start.tolist()) for lo, hi, have, start in split_tree(0, n_shards, blocks, blocks * 0, seed, stop)]
+    top = spark.createDataFrame(nodes, "lo long, hi long, have array<long>, start array<long>")
+
+    def run(frames):
+        for g in frames:
+            for lo, hi, have, start in g.itertuples(index=False):
+                for shard, _, n, at in split_tree(lo, hi, np.asarray(have), np.asarray(start), seed):
+                    s = np.flatnonzero(n)
+                    yield pd.DataFrame({"__s": s.astype(np.int32), "shard": np.full(len(s), shard, np.int32), "lo": at[s], "hi": at[s] + n[s]})
+
+    return top.repartition(min(len(nodes), 64)).mapInPandas(run, "__s int, shard int, lo long, hi long")
 
 
-def _block_columns(df: DataFrame, sources: DataFrame, source_col: str, id_col: str, seed: int) -> DataFrame:
+def _block_columns(df: DataFrame, sources: DataFrame, source_col: str, id_col: str, size_col: str, seed: int) -> DataFrame:
     """Adds the source's numbers, the row's block and the key of the second permutation."""
     df = df.join(sources, F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
-    return df.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col("__blocks"))).withColumn("__key", F.xxhash64(F.lit(seed + 1), F.col(id_col)))
+    own = lambda n: F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(n), F.col(id_col))).otherwise(F.xxhash64(F.lit(n), F.col(size_col)))
+    return df.withColumn("__block", F.pmod(own(seed), F.col("__blocks"))).withColumn("__key", own(seed + 1))
 
 
 def _fill(g, size_col: str):
     """Which rows of a block that is cut the last pass takes: those with lows[i] <= key <= limits[i] and size <= gaps[i] for some i.
 
     Up the permuted keys, each row that fits the gap left is taken (rows of one key and fitting sizes together), so at the end no row
-    left out fits. A round is a run of keys under one gap. A block's size is bounded, so this never meets a hot group.
+    left out fits. A round is a run of keys under one gap. One block of a source is cut, so a hot source is never gathered.
     """
     ids = g[["__s", "__block"]].iloc[:1].reset_index(drop=True)
     gap, lows, limits, gaps = float(g["want"].iloc[0]), [], [], []
@@ -120,7 +138,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
     sources = spark.createDataFrame(rows, schema)
     if len(rows) <= 20_000:
         sources = F.broadcast(sources)
-    small = _block_columns(stats, sources, source_col, id_col, seed)
+    small = _block_columns(stats, sources, source_col, id_col, size_col, seed)
 
     # Blocks in permuted order; which of them the last pass takes whole, and which one it cuts.
     order = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 2), "__s", "__block"), "__block")
@@ -139,15 +157,12 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
     for s, n in copies.groupBy("__s").count().collect():
         count[s] = n
     n_shards = max(1, round(total / shard_words))
-    quota = split_tree(count, n_shards, seed) if len(rows) else np.zeros((1, 0), np.int64)
-    ends = np.cumsum(quota, axis=0)
-    runs = [(int(s), int(i), int(ends[i, s] - quota[i, s]), int(ends[i, s])) for i, s in zip(*np.nonzero(quota), strict=True)]
-    runs = spark.createDataFrame(runs, "__s int, shard int, lo long, hi long")
+    runs = quotas(spark, count, n_shards, seed)
     shards = runs.select("__s", "shard", F.explode(F.transform(F.sequence("lo", F.col("hi") - 1), lambda x: x.cast("int"))).alias("rank"))
     copies = copies.join(shards, ["__s", "rank"])
     per_block = copies.groupBy("__s", "__block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("__all"), F.first("__passes").alias("__full"), F.max("part").alias("__part"))
     per_block = cut(per_block.join(limit, ["__s", "__block"], "left"))
-    out = _block_columns(df, sources.drop("__passes", "__rest"), source_col, id_col, seed).join(per_block, ["__s", "__block"], "left")
+    out = _block_columns(df, sources.drop("__passes", "__rest"), source_col, id_col, size_col, seed).join(per_block, ["__s", "__block"], "left")
     taken = F.exists(F.arrays_zip("lows", "limits", "gaps"), lambda x: (F.col("__key") >= x["lows"]) & (F.col("__key") <= x["limits"]) & (F.col(size_col) <= x["gaps"]))
     kept = F.filter("__all", lambda p: ~F.col("__part") | (p["copy"] < F.col("__full")) | F.coalesce(taken, F.lit(False)))
     out = out.withColumn("placements", F.coalesce(kept, F.array().cast("array<struct<copy:int,shard:int>>")))
@@ -157,7 +172,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of ``df``, a row per time taken, sorted by a hash inside each shard."""
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))  # whole, so that no name of it can clash
-    rows = row.select("__row", F.col(f"__row.`{id_col}`").alias("__id"), F.col(f"__row.`{source_col}`").alias("__src"), n_words(F.col(f"__row.`{text_col}`")).alias("__size"))
+    rows = row.select("__row", F.coalesce(F.col(f"__row.`{id_col}`"), F.xxhash64(F.col(f"__row.`{text_col}`")).cast(df.schema[id_col].dataType)).alias("__id"), F.col(f"__row.`{source_col}`").alias("__src"), n_words(F.col(f"__row.`{text_col}`")).alias("__size"))
     p = plan(rows, "__id", "__src", "__size", **options).select("__row", "__id", F.explode("placements").alias("__p"))
     p = p.withColumn("__order", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "__id", "__p.copy"))
     return p.repartition("__p.shard", F.pmod("__order", F.lit(16))).sortWithinPartitions("__p.shard", "__order").select("__row.*")
@@ -165,4 +180,5 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"), F.size("placements").alias("copies"))
+    taken = (F.col("size") * F.size("placements")).alias("taken")
+    return plan(docs).select("doc_id", "size", "source_size", "target", taken, F.size("placements").alias("copies"), F.col("placements.shard").alias("shards"))
