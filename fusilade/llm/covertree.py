@@ -11,8 +11,9 @@ A task returns link counts and a spanning forest of what it connected, never the
 
 Behaviour: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are their own component;
 vectors of different lengths don't link; repeated rows count as links of each other; an empty table gives an empty result; extra
-columns are dropped. In data without structure (distances that concentrate) bounds prune little and the work is that of all pairs of
-blocks; it stays exact.
+columns are dropped. Components of any finite size are fine: vectors are scaled by their largest one first. In data without structure
+(distances that concentrate) bounds prune little and the work is that of all pairs of blocks; it stays exact. There are ``MOST_CELLS``
+cells at most, whose net every task and the driver hold; beyond about 25 million vectors cells have several blocks.
 """
 
 from __future__ import annotations
@@ -24,11 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, table
 
-THRESHOLD, SAMPLE, PER_CELL, BLOCK, MOST_CELLS, NODES, CHUNK = 0.9, 2048, 6144, 8192, 512, 256, 512
+THRESHOLD, SAMPLE, BLOCK, MOST_BLOCK, MOST_CELLS, NODES, CHUNK = 0.9, 2048, 8192, 1 << 16, 512, 256, 512
+#: Vectors held by at least this share of all rows, 1 / COMMON at most, are broadcast with their results.
+COMMON = 0.001
+
+
+def block_size(n: int) -> int:
+    """Vectors of a block: more of them in larger tables, as each block travels once per block that it can meet; bounded by memory."""
+    return min(max(BLOCK, n // 16), MOST_BLOCK)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, initial=0)[:, None]
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -174,12 +184,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     spark = df.sparkSession
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(valid(vec_col), F.lit(False)).alias("ok"))
     reps = cut(df.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).withColumn("dim", F.size("v")))
-    dims = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
+    got = reps.groupBy("dim").agg(F.count("*").alias("n"), F.sum("w").alias("rows")).collect()
+    dims, n_rows = {r["dim"]: r["n"] for r in got}, sum(r["rows"] for r in got)
+    block = {dim: block_size(n) for dim, n in dims.items()}
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dim", "rep", "v").collect()
     nets: dict[int, np.ndarray] = {}
     for dim, n in dims.items():
         rows = sorted((r["rep"], r["v"]) for r in sample if r["dim"] == dim)
-        cells = min(MOST_CELLS, max(1, n // PER_CELL))
+        cells = min(MOST_CELLS, max(1, 4 * n // (3 * block[dim])))
         x = unit(np.array([v for _, v in rows])) if rows else None
         # Without a sampled vector the zero point is the only centre: at distance 1 from every unit vector.
         nets[dim] = x[farthest_first(x, cells, 0.0)[0]] if rows and cells > 1 else np.zeros((1, dim))
@@ -200,18 +212,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("near").alias("r")).collect()  # at most MOST_CELLS a dimension
     pairs = []
     t = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    for u in cells:
-        for v in cells:
-            if u["dim"] == v["dim"] and u["cell"] <= v["cell"]:
-                d = float(np.linalg.norm(nets[u["dim"]][u["cell"]] - nets[v["dim"]][v["cell"]]))
-                if d - u["r"] - v["r"] <= t + 1e-9:
-                    pairs.append((u["dim"], u["cell"], -(-u["n"] // BLOCK), v["cell"], -(-v["n"] // BLOCK)))
+    for dim in dims:
+        own = sorted((u for u in cells if u["dim"] == dim), key=lambda u: u["cell"])
+        centre, r = nets[dim][[u["cell"] for u in own]], np.array([u["r"] for u in own])
+        for i, u in enumerate(own):
+            d = np.sqrt(((centre[i:] - centre[i]) ** 2).sum(1))
+            for j in np.flatnonzero(d - r[i:] - r[i] <= t + 1e-9) + i:
+                pairs.append((dim, u["cell"], -(-u["n"] // block[dim]), own[j]["cell"], -(-own[j]["n"] // block[dim])))
     tasks = spark.createDataFrame(pairs, "dim int, c int, nc long, d int, nd long")
     tasks = tasks.select("dim", "c", F.explode(F.sequence(F.lit(0), F.col("nc").cast("int") - 1)).alias("p"), "d", "nd")
     tasks = tasks.select("dim", "c", "p", "d", F.explode(F.sequence(F.lit(0), F.col("nd").cast("int") - 1)).alias("q")).where("c < d or p <= q")
     sides = tasks.select("dim", F.col("c").alias("cell"), F.col("p").alias("piece"), "c", "p", "d", "q", F.lit(0).alias("side"))
     sides = sides.unionByName(tasks.where("c < d or p < q").select("dim", F.col("d").alias("cell"), F.col("q").alias("piece"), "c", "p", "d", "q", F.lit(1).alias("side")))
-    pieces = spark.createDataFrame([(u["dim"], u["cell"], -(-u["n"] // BLOCK)) for u in cells], "dim int, cell int, pieces long")
+    pieces = spark.createDataFrame([(u["dim"], u["cell"], -(-u["n"] // block[u["dim"]])) for u in cells], "dim int, cell int, pieces long")
     blocks = placed.join(F.broadcast(pieces), ["dim", "cell"]).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     sent = blocks.select("rep", "w", "v", "dim", "cell", "piece").join(sides, ["dim", "cell", "piece"])
 
@@ -240,8 +253,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     comps = components(found.where("a <> b"))
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     named = reps.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("v", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    fine = df.where("ok").join(named, "v").select("id", "n_links", "component")
+    named = cut(named.select("v", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    # Rows of common vectors don't meet in one task of a join.
+    is_common = F.col("w") >= max(2.0, COMMON * n_rows)
+    fine = df.where("ok").join(F.broadcast(named.where(is_common).drop("w")), "v", "left")
+    rare = fine.where("component IS NULL").select("id", "v").join(named.where(~is_common).drop("w"), "v")
+    fine = fine.where("component IS NOT NULL").select("id", "n_links", "component").unionByName(rare.select("id", "n_links", "component"))
     rest = df.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = fine.unionByName(rest)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
