@@ -7,8 +7,9 @@ a fold of the labelled sample that the trees don't see, the calibration from a f
 Fitting uses at most ``sample`` labelled rows taken by hash order; scoring covers every row and whole texts.
 
 Behaviour: a null text is empty and scored like one; rows without a label teach nothing, several labels of a document are all used;
-repeated rows score alike; an empty table gives an empty result; with one class or none to learn from, the score is that class's
-rate (0 without rows); other columns are never inputs.
+repeated rows score alike; an empty table gives an empty result; where the fold of the trees lacks a class (few labels, or one class
+alone), the score is the rate of toxic rows in the whole sample (0 without rows); rows that share an id all count towards ``sample``;
+other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import crc_mod, spread, table, text_slices
 
@@ -166,9 +168,15 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled rows by hash order: id, text, y. The ids are a bounded broadcast."""
-    ids = labels.where(F.col(label).isNotNull()).select(F.col(id_col), F.col(label).cast("int").alias("y")).join(docs.select(id_col), id_col, "left_semi")
-    ids = ids.orderBy(F.xxhash64(id_col), id_col, "y").limit(sample)
+    """At most ``sample`` labelled rows by hash order: id, text, y. The ids are a bounded broadcast.
+
+    An id of several rows or labels counts as often as it has pairs of them, so the bound holds for rows; one of more than is left ends
+    the sample."""
+    own = docs.groupBy(id_col).agg(F.count("*").alias("__n"))
+    ids = labels.where(F.col(label).isNotNull()).select(F.col(id_col), F.col(label).cast("int").alias("y")).join(own, id_col)
+    first = (F.xxhash64(id_col), F.col(id_col), F.col("y"))
+    upto = F.sum("__n").over(Window.orderBy(*first).rowsBetween(Window.unboundedPreceding, 0))  # over ``sample`` rows at most
+    ids = ids.orderBy(*first).limit(sample).withColumn("__upto", upto).where(F.col("__upto") <= sample).select(id_col, "y")
     return docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, text_col, "y")
 
 
@@ -187,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, label="toxic", id_col="doc_id", text
                     t[1 if y else 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array([t[0] for t in tally.values()], pa.int64()), pa.array([t[1] for t in tally.values()], pa.int64())], names=["w", "clean", "toxic"])
 
-    sizes = {r[0]: r[1] for r in rows.where("fold = 0").groupBy("y").count().collect()}
-    clean, toxic = float(sizes.get(0, 0)) + 1, float(sizes.get(1, 0)) + 1
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy(F.col("y") > 0, F.col("fold") == 0).count().collect()}
+    clean, toxic = float(sizes.get((False, True), 0)) + 1, float(sizes.get((True, True), 0)) + 1
     odds = F.log((F.col("toxic") + 0.1) / F.lit(toxic)) - F.log((F.col("clean") + 0.1) / F.lit(clean))
     tally = rows.where("fold = 0").select(text_col, "y").mapInArrow(word_rows, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     top = tally.where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "w").limit(LEXICON).collect()
@@ -205,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, label="toxic", id_col="doc_id", text
     x = np.frombuffer(b"".join(r[2] for r in got)).reshape(-1, len(NAMES))
     y, f = np.array([float(r[0] > 0) for r in got]), np.array([r[1] for r in got])
     train, hold = f == 1, f == 2
-    if not len(y) or y[train].min(initial=1) == y[train].max(initial=0):
-        return {"lexicon": lexicon, "constant": float(y.mean()) if len(y) else 0.0}
+    if len(np.unique(y[train])) < 2:
+        known, bad = sum(sizes.values()), sum(n for (hit, _), n in sizes.items() if hit)
+        return {"lexicon": lexicon, "constant": bad / known if known else 0.0}
     trees = boost(x[train], y[train])
     if not hold.any():
         hold = train
