@@ -6,14 +6,17 @@ pre-tokens of the left chunk and the first of the right one are encoded again; t
 at which both encodings agree. Pre-tokenisation looks at most three characters ahead and never behind, hence agreement at one
 border is agreement up to the chunk's own end, and the result equals that of encoding the whole text.
 
-Behaviour: a null text is empty (no ids); the special token's string in a text becomes its id, as the library does by default;
+Behaviour: a null text is empty (no ids); strings of the file's added tokens in a text become their ids, as the library does by default;
 repeated rows give repeated results; an empty table gives an empty result; extra columns are dropped by ``digests`` and kept by
-``encode``. Chunk and word caches are bounded, so a worker's memory does not grow with the input.
+``encode``. Chunk and word caches are bounded, so a worker's memory does not grow with the input. ``path`` names the tokenizer's file on
+the workers; None is the public byte-level file, looked up there. A file of another kind (normalised text, other pre-tokens, added tokens
+that take spaces with them) has no borders that can be relied on: its texts are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -22,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table, text_slices, window_hash
+from .common import give_back, spread, table, text_slices, window_hash
 
 HASH_BYTES, CHUNK_MASK, HEAD, LOOK = 16, 255, 6, 3
 CHUNK_CACHE_CHARS, WORD_CACHE, CACHED_WORD = 8 << 20, 400_000, 64
-SPECIAL = "<|endoftext|>"
 # Below U+0250 without control separators, NEL and NBSP, the character classes of Python and of the library are the same.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
@@ -48,10 +50,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.tok = Tokenizer.from_str(json.dumps(made))
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = self.tok.token_to_id(SPECIAL)
+        pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.by_chunks = plain and not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.special = {t["content"].encode(): t["id"] for t in added}
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.ready: dict[bytes, tuple[str, list[str]]] = {}
@@ -175,14 +183,17 @@ class Encoder:
         ids: list[str] = []
         texts: list[str] = []
         raw = b"".join(pieces)
-        if SPECIAL.encode() not in raw:
+        if not self.by_chunks:
+            got = self.tok.encode(raw.decode(), add_special_tokens=False).ids
+            return ",".join(map(str, got)), self.tok.decode(got, skip_special_tokens=False)
+        if not self.cuts or not self.cuts.search(raw):
             self.segment(pieces, ids, texts)
         else:
-            for k, part in enumerate(raw.split(SPECIAL.encode())):
-                if k:
-                    ids.append(str(self.special))
-                    texts.append(self.tok.decode([self.special], skip_special_tokens=False))
-                if part:
+            for k, part in enumerate(self.cuts.split(raw)):
+                if k % 2:
+                    ids.append(str(self.special[part]))
+                    texts.append(self.tok.decode([self.special[part]], skip_special_tokens=False))
+                elif part:
                     data = np.frombuffer(part, np.uint8)
                     self.segment([part[a:b] for a, b in borders(data, np.array([0, len(data)]))[0]], ids, texts)
         return ",".join(ids), "".join(texts)
@@ -206,7 +217,9 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str | None) -> Encoder:
+    """This worker's encoder of a file; None is looked up here, since the place may differ between machines."""
+    path = path or default_path()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -219,16 +232,17 @@ def _encoded(batches, path, make, pick):
             for lo, hi, data, off in text_slices(b.column(pick(b))):
                 raw = data.tobytes()
                 pieces = [[raw[p:q] for p, q in spans] for spans in borders(data, off)]
-                enc.prepare([x for row in pieces for x in row])
+                if enc.by_chunks:
+                    enc.prepare([x for row in pieces for x in row])
                 rows = [enc.encode(row) for row in pieces]
                 yield make(b.slice(lo, hi - lo), rows)
     finally:
         enc.forget()  # the worker process lives on and runs other tasks
+        give_back()
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """Adds ``token_ids`` array<int> and ``n_tokens`` long; columns of these names are replaced."""
-    path = path or default_path()
     keep = [f for f in df.schema.fields if f.name not in ("token_ids", "n_tokens")]
     df = df.select([F.col(f"`{f.name}`") for f in keep])
 
@@ -244,7 +258,6 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
 
 def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """Adds ``decoded`` string, the library's decoding of an id array; null ids give null."""
-    path = path or default_path()
 
     def run(batches):
         tok = encoder(path).tok
@@ -259,7 +272,6 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
-    path = path or default_path()
 
     def make(b, rows):
         n = [r[0].count(",") + 1 if r[0] else 0 for r in rows]
