@@ -87,7 +87,8 @@ def test_forward_backward_is_exact():
 
 # --- 2 -----------------------------------------------------------------------------------------------------------------------------
 def brute_suffix(rows, width=50):
-    first, out = {}, {}
+    """Per row, in order: bytes, bytes removed, runs, digest of what is kept."""
+    first, out = {}, []
     for i, t in sorted(rows):
         for k in range(len(t) - width + 1):
             first.setdefault(t[k : k + width], i)
@@ -97,27 +98,53 @@ def brute_suffix(rows, width=50):
             if first[t[k : k + width]] < i:
                 gone[k : k + width] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out[i] = (len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
-    return out
+        out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out)
+
 
+def removed(df, **options):
+    return sorted(tuple(r) for r in suffix.dedup(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
 
-@pytest.mark.parametrize("pieces", [20_000, 1])
-def test_suffix_equals_brute_force(spark, docs, awkward, monkeypatch, pieces):
+
+@pytest.mark.parametrize(("pieces", "settle"), [(20_000, True), (1, True), (20_000, False)])
+def test_suffix_equals_brute_force(spark, docs, awkward, monkeypatch, pieces, settle):
     monkeypatch.setattr(suffix, "SHARD_BLOCKS", pieces)  # 1: every seed is spread, windows meet by hash
     for df in (docs, awkward.where("doc_id is not null")):
-        got = suffix.dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-        want = brute_suffix(texts_of(df))
-        assert len(got) == df.count()
-        assert all(want[r[0]] == tuple(r[1:]) for r in got)
+        assert removed(df, settle=settle) == brute_suffix(texts_of(df))
     assert suffix.dedup(awkward).count() == len(AWKWARD)
     assert suffix.dedup(awkward.limit(0)).count() == 0
 
 
+def test_suffix_with_ids_that_texts_share(spark):
+    a, b = f"{PASSAGE} and then alpha beta gamma delta", " ".join(f"word{k}" for k in range(40))
+    rows = [(3, a), (5, a), (5, b), (5, b), (5, f"{b} {a}"), (7, b[40:] + a), (7, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [(i, (t or "").encode()) for i, t in rows if i is not None]
+    assert removed(df.where("doc_id is not null")) == brute_suffix(plain)
+    assert suffix.dedup(df).where("doc_id is null and n_removed = 0").count() == 1
+
+
+@pytest.mark.parametrize(("width", "seed"), [(50, 20), (51, 20), (400, 20), (30, 30), (31, 30)])
+def test_suffix_of_other_widths(spark, width, seed):
+    rng, words = random.Random(8), [f"w{k}" for k in range(30)]
+    long = " ".join(rng.choice(words) for _ in range(400))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)) + long[rng.randrange(600) :][: rng.randrange(900)] + "tail" * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(df, width=width, seed=seed) == brute_suffix([(i, t.encode()) for i, t in rows], width)
+
+
+def test_suffix_widths_that_cannot_be(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for width in (10, 70_000):
+        with pytest.raises(ValueError, match="width"):
+            suffix.dedup(df, width=width)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
-    for n, a in ((1, 1), (60, 1), (200, 2), (700, 4), (2000, 250)):
+    for n, a in ((1, 1), (60, 1), (200, 2), (700, 4), (2000, 250), (5000, 3)):
         t = rng.integers(0, a, n).astype(np.uint8)
-        b, sa = t.tobytes(), suffix.suffix_array(t, 10**9)
+        b, sa = t.tobytes(), suffix.suffix_array(t)
         assert list(sa) == sorted(range(n), key=lambda i: b[i:])
         plcp = suffix.permuted_lcp(t, sa)
         for i, j in zip(sa[1:], sa[:-1], strict=True):
@@ -141,6 +168,21 @@ def test_bpe_equals_library(monkeypatch):
         assert got == (",".join(map(str, ids)), e.tok.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_with_another_file(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    texts = ["Some Words <|startoftext|> here", "", "don't <a><ab> stop"]
+    more = Tokenizer.from_file(bpe.default_path())
+    more.add_tokens([AddedToken("<a>", normalized=False), AddedToken("<ab>", normalized=False)])
+    more.save(str(tmp_path / "more.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "more.json")):
+        tok = Tokenizer.from_file(path)
+        got = {r.doc_id: list(r.token_ids) for r in bpe.encode(df, path=path).collect()}
+        assert got == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_bpe_frames(spark, awkward):
     from tokenizers import Tokenizer
 
@@ -159,9 +201,8 @@ def test_bpe_frames(spark, awkward):
 
 
 # --- 4 -----------------------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize(("per_cell", "block"), [(6144, 8192), (40, 25)])
-def test_embeddings_equal_brute_force(spark, monkeypatch, per_cell, block):
-    monkeypatch.setattr(covertree, "PER_CELL", per_cell)
+@pytest.mark.parametrize("block", [8192, 25])
+def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(covertree, "BLOCK", block)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 8))
@@ -241,6 +282,11 @@ def test_chat_reads_back(spark, budget, history):
     for r in w.collect():
         assert r.n_tokens <= budget or r.first_turn == r.last_turn or r.first_turn == 0
     assert chat.digest(chat.format_chat(df.limit(0))).count() == 0
+    shuffled = w.repartition(5, "window")
+    assert {r.conv_id: r for r in chat.digest(shuffled).collect()} == got == {r.conv_id: r for r in chat.digest(w, in_order=True).collect()}
+    if w.where("window > 0").count():
+        with pytest.raises(Exception, match="should be"):
+            chat.digest(w.where("window > 0")).collect()
 
 
 # --- 8 -----------------------------------------------------------------------------------------------------------------------------
@@ -262,11 +308,66 @@ def test_targets():
     assert sum(t) == pytest.approx(1120) and t[0] == 30 and t[1] == 30 and all(a <= 3 * n for a, n in zip(t, [10, 10, 1000, 100], strict=True))
 
 
-def test_splitting_tree_is_exact():
+def test_splitting_tree_is_exact(spark):
     blocks = np.array([1000, 3, 0, 250])
-    q = mixing.split_tree(blocks, 7, 1)
+    leaves = list(mixing.split_tree(0, 7, blocks, blocks * 0, 1))
+    q = np.array([have for _, _, have, _ in sorted(leaves, key=lambda x: x[0])])
     assert (q.sum(0) == blocks).all() and (q >= 0).all() and np.ptp(q.sum(1)) <= 3
-    assert (q == mixing.split_tree(blocks, 7, 1)).all()
+    assert all((start == q[:lo].sum(0)).all() for lo, _, _, start in leaves)
+    # Subtrees give what the whole tree gives, wherever it is cut.
+    parts = [leaf for lo, hi, have, start in mixing.split_tree(0, 7, blocks, blocks * 0, 1, 3) for leaf in mixing.split_tree(lo, hi, have, start, 1)]
+    assert str(sorted(parts, key=lambda x: x[0])) == str(sorted(leaves, key=lambda x: x[0]))
+    got = {(r["__s"], r.shard): (r.lo, r.hi) for r in mixing.quotas(spark, blocks, 7, 1).collect()}
+    assert got == {(s, i): (int(q[:i, s].sum()), int(q[: i + 1, s].sum())) for i in range(7) for s in range(4) if q[i, s]}
+    # The draws follow the multivariate hypergeometric law: the mean share of a source is its share of all.
+    left = [next(iter(mixing.split_tree(0, 2, np.array([60, 40]), np.zeros(2), seed)))[2][0] for seed in range(2000)]
+    assert np.mean(left) == pytest.approx(30, abs=0.3) and np.var(left) == pytest.approx(50 * 0.6 * 0.4 * 50 / 99, rel=0.15)
+
+
+def test_mix_equals_a_plain_computation(spark, docs):
+    """Passes, cut blocks, quotas and placements once more, with dictionaries, from the same hashes."""
+    words, shard_words, seed = 500, 3000, mixing.SEED
+    rows = docs.select("doc_id", "source", mixing.n_words("text").alias("size"))
+    hashed = rows.select("*", *[F.xxhash64(F.lit(seed + k), "doc_id").alias(f"h{k}") for k in (0, 1)]).collect()
+    names = sorted({r.source for r in hashed}, key=lambda n: (n is None, (n or "").encode()))
+    sizes = [sum(r.size for r in hashed if r.source == n) for n in names]
+    aims = mixing.targets(sizes)
+    n_shards, copies, cut_rows = max(1, round(sum(sizes) / shard_words)), {}, {}
+    spot = {}
+    for s, (name, n, aim) in enumerate(zip(names, sizes, aims, strict=True)):
+        n_blocks, passes = max(1, n // words), int(aim // n) if n else 0
+        own = {}
+        for r in hashed:
+            if r.source == name:
+                own.setdefault(r.h0 % n_blocks, []).append(r)
+                spot[r.doc_id] = (s, r.h0 % n_blocks)
+        keys = spark.createDataFrame([(s, b) for b in own], "s int, b long").select("b", F.xxhash64(F.lit(seed + 2), "s", "b").alias("h")).collect()
+        left = aim - passes * n
+        for b, _ in sorted(((k.b, k.h) for k in keys), key=lambda x: (x[1], x[0])):
+            total = sum(r.size for r in own[b])
+            times = passes + (1 if left > 0 else 0)
+            if left > 0 and total > left:
+                gap, taken = left, set()
+                for r in sorted(own[b], key=lambda r: r.h1):
+                    if r.size <= gap:
+                        taken.add(r.doc_id)
+                        gap -= r.size
+                cut_rows[s, b] = (passes, taken)
+            left -= total
+            copies.update({(s, b, c): None for c in range(times)})
+    listed = spark.createDataFrame(list(copies), "s int, b long, c int").select("s", "b", "c", F.xxhash64(F.lit(seed + 3), "s", "b", "c").alias("h")).collect()
+    blocks = np.array([sum(r.s == s for r in listed) for s in range(len(names))])
+    runs = {lo: (have, start) for lo, _, have, start in mixing.split_tree(0, n_shards, blocks, blocks * 0, seed)}
+    for s in range(len(names)):
+        order = sorted((r for r in listed if r.s == s), key=lambda r: (r.h, r.b, r.c))
+        for shard, (have, start) in runs.items():
+            for r in order[start[s] : start[s] + have[s]]:
+                copies[r.s, r.b, r.c] = shard
+    got = {r.doc_id: {p.copy: p.shard for p in r.placements} for r in mixing.plan(rows, block_words=words, shard_words=shard_words).collect()}
+    for r in hashed:
+        s, b = spot[r.doc_id]
+        want = {c: shard for (i, j, c), shard in copies.items() if (i, j) == (s, b) and not ((s, b) in cut_rows and c >= cut_rows[s, b][0] and r.doc_id not in cut_rows[s, b][1])}
+        assert got[r.doc_id] == want
 
 
 def test_mixing(spark, docs, awkward):
@@ -284,18 +385,75 @@ def test_mixing(spark, docs, awkward):
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------------------------
+def plain_features(codes):
+    """The stated features, a sample at a time."""
+    x = []
+    for c in codes:
+        u = ~c & 0xFF
+        m = ((((u & 15) << 3) + 132) << (u >> 4 & 7)) - 132
+        x.append(-m if u & 128 else m)
+    crossed = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    rms = (sum(v * v for v in x) / len(x)) ** 0.5
+    return f"rms={rms:.3f};peak={max(map(abs, x))};zcr={crossed / len(x):.6f};mean={sum(x) / len(x):.3f};n={len(x)}"
+
+
+def plain_wave(payload):
+    """The bytes of a mu-law file, field by field."""
+    n = lambda v, k: v.to_bytes(k, "little")
+    fmt = n(7, 2) + n(1, 2) + n(8000, 4) + n(8000, 4) + n(1, 2) + n(8, 2) + n(0, 2)
+    return b"RIFF" + n(4 + 8 + 18 + 8 + len(payload), 4) + b"WAVEfmt " + n(18, 4) + fmt + b"data" + n(len(payload), 4) + payload
+
+
+def plain_ima(block):
+    """One channel of a block of the format, a nibble at a time."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), block[2]
+    out = [value]
+    for byte in block[4:]:
+        for nib in (byte & 15, byte >> 4):
+            step = int(media.IMA_STEPS[index])
+            d = (step >> 3) + (step if nib & 4 else 0) + (step >> 1 if nib & 2 else 0) + (step >> 2 if nib & 1 else 0)
+            value = max(-32768, min(32767, value + (-d if nib & 8 else d)))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[nib & 7]))
+            out.append(value)
+    return out
+
+
 def test_audio_round_trip(spark, awkward):
-    got = media.digest(media.to_audio(awkward)).collect()
-    want = {}
+    stored = media.to_audio(awkward, derived=True)
+    got = media.digest(stored).collect()
+    sha, want = lambda x: hashlib.sha256(x).hexdigest(), {}
     for r in AWKWARD:
         t = (r[1] or "").encode()
         p = t + b" " * ((-len(t)) % 192 or 192 * (not t))
-        want.setdefault(r[0], (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+        w = plain_wave(p)
+        want.setdefault(r[0], (len(t), len(p), sha(p), zlib.crc32(p[-16:]), len(w), sha(w), plain_features(p)))
     assert len(got) == len(AWKWARD)
-    assert all(want[r.doc_id] == (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
-    assert media.digest(media.to_audio(awkward.limit(0))).count() == 0
-    pcm = media.store_pcm(media.to_audio(awkward).withColumn("pcm", F.lit("clash"))).select("n_bytes", F.length("pcm").alias("n")).collect()
-    assert all(r.n == 4 * (-(-max(r.n_bytes, 1) // 192) * 192) for r in pcm)
+    assert all(want[r.doc_id] == tuple(r)[1:8] for r in got)
+    for r in stored.collect():
+        sound = media.read_wav(bytes(r.adpcm))
+        blocks = [sound.data[k : k + sound.align] for k in range(0, len(sound.data), sound.align)]
+        heard = [v for b in blocks for v in plain_ima(b)][: sound.samples]
+        own = media.MULAW_PCM[np.frombuffer(media.read_wav(bytes(r.media)).data, np.uint8)]
+        assert sound.samples == len(own) == len(heard)
+        pcm = np.frombuffer(r.pcm, "<i2")
+        assert list(pcm[::2]) == heard and len(pcm) == 2 * len(heard)
+        assert all(v in (pytest.approx((a + b) / 2, abs=0.5),) for v, a, b in zip(pcm[1:-1:2].tolist(), heard, heard[1:], strict=False))
+    assert media.digest(media.to_audio(awkward.limit(0), derived=True)).count() == 0
+    for kind in (media.MULAW, media.ALAW, media.IMA):
+        pcm = media.store_pcm(media.to_audio(awkward, kind=kind).withColumn("pcm", F.lit("clash"))).select("n_bytes", F.length("pcm").alias("n"), "pcm_rate").collect()
+        assert all(r.n == 4 * (-(-max(r.n_bytes, 1) // 192) * 192) and r.pcm_rate == 16000 for r in pcm)
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.wav(b"abc", media.MULAW)
+    broken = [None, b"", b"RIFF", b"not a wave file at all", media.wav(b"abc", rate=0), media.wav(b"abc", align=0), media.wav(b"abc", kind=85), media.wav(b"abcdefgh", media.IMA, align=0), good[:30], good[:40]]
+    rows = [(i, 3, None if m is None else bytearray(m)) for i, m in enumerate([*broken, good])]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.digest(df).collect()}
+    pcm = {r.doc_id: r for r in media.store_pcm(df).collect()}
+    for i in range(len(broken)):
+        assert got[i].payload_bytes is None and got[i].feature is None and pcm[i].pcm is None and pcm[i].pcm_rate is None
+    assert got[len(broken)].payload_bytes == 3 and len(pcm[len(broken)].pcm) == 12
 
 
 def test_companding_and_adpcm():
@@ -305,8 +463,19 @@ def test_companding_and_adpcm():
     blocks = media.ima_encode(x)
     y = media.ima_decode(blocks).reshape(-1)
     assert np.abs(y.astype(int) - x)[100:].mean() < 400
-    pcm, rate = media.decode(media.wav(blocks.tobytes(), media.IMA, 8000, blocks.shape[1]))
+    assert y.tolist() == [v for b in blocks for v in plain_ima(b.tobytes())]
+    whole = media.wav(blocks.tobytes(), media.IMA, 8000, blocks.shape[1])
+    pcm, rate = media.decode(whole)
     assert (pcm == y).all() and len(media.resample(pcm, rate, 16000)) == 2 * len(pcm)
+    cut = media.wav(blocks.tobytes()[:-100], media.IMA, 8000, blocks.shape[1], len(x))
+    assert (media.decode(cut)[0] == y[: len(y) - 200]).all()
+    # Two channels: heads, then four bytes of each in turn; what is read is their mean.
+    left, right = blocks[0], blocks[1]
+    body = np.stack([left[4:].reshape(-1, 4), right[4:].reshape(-1, 4)], 1).reshape(-1)
+    both = media.Wave(media.IMA, 2, 8000, 512, np.concatenate([left[:4], right[:4], body]).tobytes())
+    assert (media.pcm_of([both])[0] == np.rint((y[:505].astype(float) + y[505:1010]) / 2)).all()
+    stereo = media.Wave(media.PCM, 2, 8000, 4, np.array([1, 3, -5, 5], "<i2").tobytes())
+    assert media.pcm_of([stereo])[0].tolist() == [2, 0]
 
 
 # --- kernels -----------------------------------------------------------------------------------------------------------------------
