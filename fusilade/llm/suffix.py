@@ -8,8 +8,8 @@ by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings s
 way, and the order induced to the L and then the S suffixes. Permuted common prefixes between neighbours in the array then group the
 windows that are equal; each group's smallest document keeps them.
 
-With ``settle`` off nothing is decided by the hash of a block: all blocks of a shared anchor go into the shards. It is the same result
-at a price that grows with the size of a group of copies, hence not the default.
+``copies`` is how many documents of equal blocks, those of the smallest ids, go on to the shards; only the others are settled by the hash
+of the block. Any number gives the same result; without a bound (None) a shard holds a group of copies whole.
 
 An anchor with very many distinct blocks is spread over several shards; each gives the smallest document of every distinct window, and
 those meet by the window's hash.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, mix64, n_groups, ranges, spread, table, text_slices, window_hash
 from .jaccard import span_hashes
 
-WIDTH, SEED = 50, 20
+WIDTH, SEED, COPIES = 50, 20, 1
 FLUSH, MOST_FLUSH, SHARD_BLOCKS, SHARD_BYTES = 600_000, 4_000_000, 20_000, 1 << 20
 #: Bits of a seed's and of a block's hash that are compared and sent.
 SEED_BITS, BLOCK_BITS = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFFFFFFFFFF00)
@@ -264,10 +264,11 @@ def smallest_owner(blocks: list[bytes], owner: np.ndarray, width: int = WIDTH):
 # --- the dataflow --------------------------------------------------------------------------------------------------------------
 
 
-def _settle(k: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of anchors (seed, block, document): which are of the smallest document of their seed and block. The others lose the block."""
-    if not len(k):
-        return np.zeros(0, bool)
+def _settle(k: np.ndarray, b: np.ndarray, doc: np.ndarray, copies: int | None) -> np.ndarray:
+    """Of anchors (seed, block, document): which are of the ``copies`` smallest documents of their seed and block. The others lose the
+    block, since a smaller document keeps it."""
+    if copies is None or not len(k):
+        return np.ones(len(k), bool)
     key = (k & SEED_BITS) | (b >> np.uint64(40))
     order = np.argsort(key)
     new = np.ones(len(k), bool)
@@ -279,8 +280,12 @@ def _settle(k: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
         new[1:] = (ks[1:] != ks[:-1]) | (bs[1:] != bs[:-1])
     head = np.flatnonzero(new)
     docs = doc[order]
+    size, left, most = np.diff(np.append(head, len(k))), docs, np.iinfo(np.int64).max
+    for _ in range(copies):
+        low = np.repeat(np.minimum.reduceat(left, head), size)
+        left = np.where(left == low, most, left)
     kept = np.empty(len(k), bool)
-    kept[order] = docs == np.repeat(np.minimum.reduceat(docs, head), np.diff(np.append(head, len(k))))
+    kept[order] = left == most
     return kept
 
 
@@ -348,7 +353,7 @@ def _unpack(buf) -> tuple[np.ndarray, ...]:
     return docs[which], rows[which], *hashes, take("<u4", n), take("<u2", n), take("<u2", 2 * n).reshape(2, n).T
 
 
-def shared_blocks(docs: DataFrame, width: int, seed: int, settle: bool = True) -> DataFrame:
+def shared_blocks(docs: DataFrame, width: int, seed: int, copies: int | None = COPIES) -> DataFrame:
     """Rows of kind 0: runs [lo, hi) that a row loses; kind 1: blocks to be told apart, with seed k and block b."""
     n_buckets = n_groups(docs)
     most = min(max(FLUSH, 4 * n_buckets), MOST_FLUSH)
@@ -360,7 +365,7 @@ def shared_blocks(docs: DataFrame, width: int, seed: int, settle: bool = True) -
         # In the order of the texts, so that columns of a blob ascend and compress.
         doc, row = (np.concatenate(c) for c in zip(*texts, strict=True))
         k, b, own, at, n, sides = (np.concatenate(c) for c in zip(*held, strict=True))
-        kept = _settle(k, b, doc[own]) if settle else np.ones(len(k), bool)
+        kept = _settle(k, b, doc[own], copies)
         lost = _lost(doc[own[~kept]], row[own[~kept]], at[~kept], n[~kept], width)
         k, b, own, at, n, sides = (c[kept] for c in (k, b, own, at, n, sides))
         bucket = ((k >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
@@ -397,7 +402,7 @@ def shared_blocks(docs: DataFrame, width: int, seed: int, settle: bool = True) -
             parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in blobs]
             return pa.Table.from_batches([_runs(0, *merge(*np.concatenate(parts, 1)))])
         doc, row, k, b, at, n, sides = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
-        kept = _settle(k, b, doc) if settle else np.ones(len(k), bool)
+        kept = _settle(k, b, doc, copies)
         gone = _runs(0, *_lost(doc[~kept], row[~kept], at[~kept], n[~kept], width))
         doc, row, k, b, at, n, sides = (c[kept] for c in (doc, row, k, b, at, n, sides))
         # Blocks that another document's block of the seed agrees with on one side or the other.
@@ -410,7 +415,7 @@ def shared_blocks(docs: DataFrame, width: int, seed: int, settle: bool = True) -
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else reach
             if len(head):
                 several = np.maximum.reduceat(doc[reach], head) != np.minimum.reduceat(doc[reach], head)
-                if settle:
+                if copies == 1:
                     several &= np.maximum.reduceat(b[reach], head) != np.minimum.reduceat(b[reach], head)
                 many[reach] |= np.repeat(several, np.diff(np.append(head, len(key))))
         doc, row, k, b, lo, n = (c[many] for c in (doc, row, k, b, at.astype(np.int64), n))
@@ -498,11 +503,11 @@ def _shard(doc, row, lo, piece, blocks, rows, width: int):
         yield np.ones(len(o), np.int64), d[o], row[own[o]], x[o], x[o] + width, least[o], *h
 
 
-def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, settle: bool = True) -> DataFrame:
+def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, copies: int | None = COPIES) -> DataFrame:
     """Per row (doc, row) that loses bytes: runs = array of (lo, hi), which may overlap."""
     if not seed <= width <= seed + 60_000:
         raise ValueError("width must hold a seed, and a block's windows must fit 16 bits")
-    found = cut(shared_blocks(docs, width, seed, settle))
+    found = cut(shared_blocks(docs, width, seed, copies))
     windows = cut(tell_apart(docs, found.where("kind = 1").select("doc", "row", "lo", "hi", "k", "b"), width))
     open_ = windows.where("open = 1")
     lowest = open_.groupBy("h1", "h2").agg(F.min("low").alias("lowest"))
@@ -511,14 +516,14 @@ def lost_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, settle: boo
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, as_text: bool = False, settle: bool = True) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, as_text: bool = False, copies: int | None = COPIES) -> DataFrame:
     """All columns of ``df`` with ``kept`` (binary: the bytes that remain; with ``as_text`` a string without the characters that a cut
     leaves in part), n_bytes, n_removed, n_spans and spans (array of (lo, hi))."""
     added = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
     keep = [f for f in df.schema.fields if f.name not in added]
     df = df.select([F.col(f"`{f.name}`") for f in keep])
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    lost = lost_runs(docs, width, seed, settle).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs"))
+    lost = lost_runs(docs, width, seed, copies).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs"))
     here = (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__row"))
     joined = df.join(lost, here, "left").drop("__doc", "__row")
     span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))

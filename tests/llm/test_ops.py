@@ -106,11 +106,11 @@ def removed(df, **options):
     return sorted(tuple(r) for r in suffix.dedup(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
 
 
-@pytest.mark.parametrize(("pieces", "settle"), [(20_000, True), (1, True), (20_000, False)])
-def test_suffix_equals_brute_force(spark, docs, awkward, monkeypatch, pieces, settle):
+@pytest.mark.parametrize(("pieces", "copies"), [(20_000, 1), (1, 1), (20_000, 2), (20_000, None)])
+def test_suffix_equals_brute_force(spark, docs, awkward, monkeypatch, pieces, copies):
     monkeypatch.setattr(suffix, "SHARD_BLOCKS", pieces)  # 1: every seed is spread, windows meet by hash
     for df in (docs, awkward.where("doc_id is not null")):
-        assert removed(df, settle=settle) == brute_suffix(texts_of(df))
+        assert removed(df, copies=copies) == brute_suffix(texts_of(df))
     assert suffix.dedup(awkward).count() == len(AWKWARD)
     assert suffix.dedup(awkward.limit(0)).count() == 0
 
