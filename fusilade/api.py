@@ -38,18 +38,21 @@ class Settings:
 
 
 class HybridSearch:
-    def __init__(self, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, settings: Settings = Settings()):
-        self.chunks, self.vectors, self.documents, self.settings = chunks, vectors, documents, settings
+    def __init__(self, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, settings: Settings = Settings(), terms: DataFrame | None = None):
+        """``terms`` is the chunks' stored term table (``retrieval.postings``), for which no text is read again; without it each search makes it."""
+        self.chunks, self.vectors, self.documents, self.settings, self.terms = chunks, vectors, documents, settings, terms
 
     def legs(self, questions: DataFrame, depth: int, wanted: dict | None = None) -> dict[str, DataFrame]:
         """The ranked legs; lexical and sparse ones read the focused question, the dense one its vector."""
-        c, most = H.metadata_filter(self.chunks, wanted or {}), self.settings.sparse_terms
-        terms = lambda df, text, key: df.select(key, F.explode(X.tokens(text)).alias("term"))
+        s = self.settings
+        c = H.metadata_filter(self.chunks, wanted or {})
         vectors = self.vectors.join(c.select("chunk_id"), "chunk_id", "left_semi")
-        words = terms(c, "content", "chunk_id")
-        idf = H.idf(words, c.count())
-        asked = H.sparse_vectors(terms(questions, X.focus_query("question"), "query_id"), idf, "query_id", most)
-        return {"fts": H.fts_leg(questions, H.postings(c, english=self.settings.english), depth, self.settings.english), "dense": H.dense_leg(questions, vectors, depth), "sparse": H.sparse_leg(asked, H.sparse_vectors(words, idf, "chunk_id", most), depth)}
+        posts = H.postings(c) if self.terms is None else self.terms.join(c.select("chunk_id"), "chunk_id", "left_semi") if wanted else self.terms
+        tf = H.body_terms(posts)
+        idf = H.idf(tf, c)
+        asked = H.sparse_vectors(H.term_counts(questions, X.focus_query("question"), "query_id"), idf, "query_id", s.sparse_terms)
+        lexical = H.fts_leg(questions, H.english_postings(posts) if s.english else posts, depth, s.english)
+        return {"fts": lexical, "dense": H.dense_leg(questions, vectors, depth), "sparse": H.sparse_leg(asked, H.sparse_vectors(tf, idf, "chunk_id", s.sparse_terms), depth)}
 
     def candidates(self, questions: DataFrame, m: int, wanted: dict | None = None) -> DataFrame:
         """Top ``m`` per question with each leg's rank and score; legs are ranked to twice that depth."""

@@ -54,9 +54,25 @@ def toc_offset(toc: DataFrame, page_lines: DataFrame, key: str, from_page: int =
     return toc.select(key).distinct().join(found, key, "left").select(key, F.coalesce("offset", F.lit(default)).alias("offset"))
 
 
-def range_sections(starts: DataFrame, items: DataFrame, start: str, at: str, title: str) -> DataFrame:
-    """Items with the section whose half-open range [start, next start) holds them. The bounds are a small table and broadcast if
-    Spark's own size check allows; the open end of the last range is the largest long."""
+def page_range(pages: DataFrame, key: str, first: int, last: int, page: str = "page", text: str = "text") -> DataFrame:
+    """(key, text): the text of the pages ``first`` to ``last`` of each document, in order, joined by line ends."""
+    some = pages.where(F.col(page).between(first, last))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+    return some.groupBy(key).agg(joined.alias("text"))
+
+
+def range_sections(starts: DataFrame, items: DataFrame, start: str, at: str, title: str, by: list[str] | None = None) -> DataFrame:
+    """Items with the section whose half-open range [start, next start) holds them; the last range is open.
+
+    With ``by`` (document keys) sections and items of a document are merged in order and each item takes the last start before it: one
+    shuffle by document, no range join. Without, the bounds are a small table of one document, broadcast if Spark's size check allows."""
+    if by:
+        own = [c for c in starts.columns if c not in by]
+        marks = starts.select(*by, F.struct(F.col(start).cast("long").alias("__at"), F.lit(0).alias("__kind")).alias("__o"), F.struct(*own).alias("__s"), F.lit(None).cast(items.select(F.struct("*").alias("i")).schema["i"].dataType).alias("__i"))
+        rows = items.select(*by, F.struct(F.col(at).cast("long").alias("__at"), F.lit(1).alias("__kind")).alias("__o"), F.lit(None).cast(starts.select(F.struct(*own).alias("s")).schema["s"].dataType).alias("__s"), F.struct("*").alias("__i"))
+        last = F.last("__s", True).over(Window.partitionBy(*by).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))
+        both = marks.unionByName(rows).withColumn("__s", last).where("__i IS NOT NULL AND __s IS NOT NULL")
+        return both.select("__i.*", *[F.col(f"__s.`{c}`").alias(c) for c in own])
     bounds = starts.withColumn("__end", F.lead(start, 1, (1 << 63) - 1).over(Window.orderBy(start)))
     return items.join(bounds, (F.col(at) >= F.col(start)) & (F.col(at) < F.col("__end"))).drop("__end")
 

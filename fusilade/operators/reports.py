@@ -29,3 +29,25 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 def chunk_report(df: DataFrame, columns: list[str], content: str = "content", chars: int = 300) -> DataFrame:
     """Fixed columns as strings, missing ones empty, and a one-line preview."""
     return df.select(*[F.coalesce(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string"), F.lit("")).alias(c) for c in columns], X.preview(content, chars).alias("preview"))
+
+
+def ordered_counts(df: DataFrame, by: str, untyped: str | None = None) -> DataFrame:
+    """(by, n, place, untyped): counts, the most common first, ties by value; ``untyped`` is the number of rows without a kind (null, or
+    the kind of that name)."""
+    none = F.col(by).isNull() if untyped is None else F.col(by).isNull() | (F.col(by) == untyped)
+    counts = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(none).alias("none"))  # a row a kind
+    return counts.select(by, "n", F.row_number().over(Window.orderBy(F.desc("n"), by)).alias("place"), F.sum("none").over(Window.partitionBy()).alias("untyped"))
+
+
+def inspect_chunks(df: DataFrame, by: str, key: str, content: str, value: str, pattern: str | None = None, n: int = 3, chars: int = 500) -> DataFrame:
+    """Per document (``by``): size statistics of its chunks and the first ``n`` of those that ``pattern`` finds, cut at ``chars``."""
+    shown = df.where(F.col(content).rlike(pattern)) if pattern else df
+    w = Window.partitionBy(by).orderBy(key)
+    shown = shown.select(by, F.row_number().over(w).alias("r"), F.substring(content, 1, chars).alias("s")).where(F.col("r") <= n)
+    samples = shown.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]).alias("samples"))
+    return size_stats(df, by, value).join(samples, by, "left")
+
+
+def inspect_results(found: DataFrame, content: str = "content", chars: int = 160) -> DataFrame:
+    """Adds ``shown``: the text of selected results, a one-line preview of the others."""
+    return found.withColumn("shown", F.when(F.col("selected"), F.col(content)).otherwise(X.preview(content, chars)))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -29,20 +29,43 @@ def ranked(scored: DataFrame, depth: int, digits: int = 9) -> DataFrame:
 
 
 def _english(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("lexeme", EN.lexeme("lexeme")).where("lexeme IS NOT NULL")
+    """Tokens as stems, without stop words. The vocabulary is stemmed, each token once, and joined; not the occurrences."""
+    stems = rows.select("lexeme").distinct().select("lexeme", EN.lexeme("lexeme").alias("stem")).where("stem IS NOT NULL")
+    return rows.join(stems, "lexeme").drop("lexeme").withColumnRenamed("stem", "lexeme")
 
 
 def postings(chunks: DataFrame, head: str = "head", content: str = "content", english: bool = False) -> DataFrame:
-    """(chunk_id, lexeme, tf_head, tf_body); English lexemes are stems without stop words, made from a chunk's distinct tokens."""
-    one = lambda c, h, b: chunks.select("chunk_id", F.explode(X.tokens(c)).alias("lexeme"), F.lit(h).alias("h"), F.lit(b).alias("b"))
-    rows = one(head, 1, 0).unionByName(one(content, 0, 1)).groupBy("chunk_id", "lexeme").agg(F.sum("h").cast("long").alias("tf_head"), F.sum("b").cast("long").alias("tf_body"))
-    if not english:
-        return rows
-    return _english(rows).groupBy("chunk_id", "lexeme").agg(F.sum("tf_head").alias("tf_head"), F.sum("tf_body").alias("tf_body"))
+    """The term table (chunk_id, lexeme, tf_head, tf_body), of which the lexical leg, the terms' idf and the sparse vectors are made.
+
+    Texts are shuffled once, by chunk; counts per chunk and term, scores per chunk and a vector's cut need no other shuffle. English
+    lexemes are stems without stop words."""
+    own = chunks.select("chunk_id", head, content).repartition("chunk_id")
+    one = lambda c, h, b: F.transform(X.tokens(c), lambda t: F.struct(t.alias("lexeme"), F.lit(h).alias("h"), F.lit(b).alias("b")))
+    rows = own.select("chunk_id", F.explode(F.concat(one(head, 1, 0), one(content, 0, 1))).alias("t")).select("chunk_id", "t.*")
+    rows = rows.groupBy("chunk_id", "lexeme").agg(F.sum("h").cast("long").alias("tf_head"), F.sum("b").cast("long").alias("tf_body"))
+    return english_postings(rows) if english else rows
+
+
+def english_postings(posts: DataFrame) -> DataFrame:
+    """The term table by stems."""
+    return _english(posts).groupBy("chunk_id", "lexeme").agg(F.sum("tf_head").alias("tf_head"), F.sum("tf_body").alias("tf_body"))
+
+
+def body_terms(posts: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf) of the contents, from the term table."""
+    return posts.where("tf_body > 0").select("chunk_id", F.col("lexeme").alias("term"), F.col("tf_body").alias("tf"))
+
+
+def term_counts(df: DataFrame, text: Column, key: str) -> DataFrame:
+    """(key, term, tf) of a text."""
+    return df.select(key, F.explode(X.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fts_leg(queries: DataFrame, posts: DataFrame, depth: int, english: bool = False) -> DataFrame:
-    """Chunks with any of the focused query's lexemes, by weighted occurrences; ``english`` as the postings were made."""
+    """Chunks with any of the focused query's lexemes, by weighted occurrences; ``english`` as the postings were made.
+
+    Where the queries' lexemes can be broadcast, a chunk's score is summed where its terms are and each task cuts its own ranking, so a
+    shuffle carries ``depth`` rows a query and task, however common a lexeme is."""
     terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(X.focus_query("question")))).alias("lexeme"))
     if english:
         terms = _english(terms).distinct()
@@ -51,13 +74,14 @@ def fts_leg(queries: DataFrame, posts: DataFrame, depth: int, english: bool = Fa
 
 
 def _unit(rows: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the usable vectors among ``rows`` and these vectors at length 1; null, zero and non-finite ones are not usable."""
+    """Positions of the usable vectors among ``rows`` and these vectors at length 1; null, zero and non-finite ones and those of another
+    length than ``dims`` are not usable."""
     flat = rows.flatten()
     if dims and not rows.null_count and not flat.null_count and len(flat) == dims * len(rows):
         whole, m = np.arange(len(rows)), flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
     else:
         values = rows.to_pylist()
-        whole = np.array([i for i, v in enumerate(values) if v and None not in v], np.int64)
+        whole = np.array([i for i, v in enumerate(values) if v and None not in v and (dims is None or len(v) == dims)], np.int64)
         m = np.array([values[i] for i in whole], np.float64).reshape(len(whole), -1 if len(whole) else 0)
     norm = np.sqrt((m * m).sum(1))
     ok = np.isfinite(norm) & (norm > 0)
@@ -105,18 +129,20 @@ def _dense_block(vectors: DataFrame, ids: list, unit: np.ndarray, depth: int, st
 
 def dense_leg(queries: DataFrame, vectors: DataFrame, depth: int, block: int = 4096, step: int = 1024) -> DataFrame:
     """Exact cosine top ``depth``, on scores of nine digits. Queries go in blocks of about ``block`` (told apart by hash, so none is
-    left out), each sent to the tasks once as a matrix; a task holds ``block`` x (``step`` + ``depth``) scores at most. Ids are whole
-    numbers. Vectors that are null, zero, or hold null or non-finite components have no rank."""
+    left out), each sent to the tasks once as a matrix; a task holds ``block`` x (``step`` + ``depth``) scores at most. The driver holds
+    the vectors of all queries. Ids are whole numbers. Vectors that are null, zero, or hold null or non-finite components have no rank;
+    a query is compared with the vectors of its own length."""
     q = queries.where("query_vec IS NOT NULL").select("query_id", "query_vec")
     kind = queries.schema["query_id"].dataType.simpleString()
-    n_blocks = max(1, -(-q.count() // block))
     v, out = vectors.where("vec IS NOT NULL").select("chunk_id", "vec"), None
-    for k in range(n_blocks):
-        rows = (q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k)).collect()
-        usable, unit = _unit(pa.array([r.query_vec for r in rows], pa.list_(pa.float64())))
-        part = _dense_block(v, [rows[i].query_id for i in usable], unit, depth, step) if len(usable) else None
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
+    for dims, n in q.groupBy(F.size("query_vec")).count().collect():
+        own, n_blocks = q.where(F.size("query_vec") == dims), max(1, -(-n // block))
+        for k in range(n_blocks):
+            rows = (own if n_blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k)).collect()
+            usable, unit = _unit(pa.array([r.query_vec for r in rows], pa.list_(pa.float64())), dims)
+            part = _dense_block(v, [rows[i].query_id for i in usable], unit, depth, step) if len(usable) else None
+            if part is not None:
+                out = part if out is None else out.unionByName(part)
     if out is None:
         out = v.where("false").select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
     return ranked(out.withColumn("query_id", F.col("query_id").cast(kind)), depth)
@@ -128,19 +154,32 @@ def prune(weights: DataFrame, most: int = 256, key: str = "chunk_id") -> DataFra
     return weights.where("w > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
-def sparse_vectors(texts: DataFrame, idf: DataFrame, key: str = "chunk_id", most: int = 256) -> DataFrame:
-    """(key, term, w): log1p(tf) * idf, pruned."""
-    tf = texts.groupBy(key, "term").agg(F.count("*").alias("tf"))
+def sparse_vectors(tf: DataFrame, idf: DataFrame, key: str = "chunk_id", most: int = 256) -> DataFrame:
+    """(key, term, w) from (key, term, tf): log1p(tf) * idf, pruned."""
     return prune(tf.join(idf, "term").select(key, "term", F.round(F.log1p("tf") * F.col("idf"), 6).alias("w")), most, key)
 
 
-def idf(texts: DataFrame, n: int, key: str = "chunk_id") -> DataFrame:
-    return texts.groupBy("term").agg(F.countDistinct(key).alias("df")).select("term", F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)).alias("idf"))
+def idf(tf: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, idf) from (chunk_id, term, tf), one row a chunk and term, over all ``chunks``; their number is counted in the same plan."""
+    n = chunks.agg((F.count("*") + 1.0).alias("n"))  # one row
+    return tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
 
 
 def max_pool(logits: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Term weights of an encoder's (key, term, logit): max of log1p(relu(logit)) over a text's positions."""
-    return logits.groupBy(key, "term").agg(F.max(F.log1p(F.greatest("logit", F.lit(0.0)))).alias("w"))
+    """Term weights of an encoder's (key, term, logit): max of log1p(relu(logit)) over a text's positions; padding has null logits."""
+    return logits.where("logit IS NOT NULL").groupBy(key, "term").agg(F.max(F.log1p(F.greatest("logit", F.lit(0.0)))).alias("w"))
+
+
+def to_storage(weights: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, sparse): a vector as one map of term to weight, of the terms above 0."""
+    pairs = F.array_sort(F.collect_list(F.struct("term", "w")))  # as many as a vector keeps
+    return weights.where("w > 0").groupBy(key).agg(F.map_from_entries(pairs).alias("sparse"))
+
+
+def vector_literal(vec: str | Column, digits: int = 8) -> Column:
+    """``[x,...]`` with that many decimals; null for a null vector."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
 
 
 def sparse_leg(query_terms: DataFrame, chunk_terms: DataFrame, depth: int) -> DataFrame:
@@ -179,11 +218,30 @@ def ablate(fused: DataFrame, m: int, runs: dict[str, dict[str, float]] = ABLATIO
     return top(rows, m, ("leg", "query_id")).select("leg", "query_id", "chunk_id", "rank", "score")
 
 
+def _holds(value):
+    return lambda x: contains_value(x, value)
+
+
+def contains_value(c: Column, value) -> Column:
+    """Containment of ``value`` in a column: structs and maps hold each named field, arrays hold all that is asked for, scalars are equal."""
+    if isinstance(value, dict):
+        out = c.isNotNull()
+        for k, v in value.items():
+            out = out & contains_value(c[k], v)
+        return out
+    if isinstance(value, list | tuple):
+        out = c.isNotNull()
+        for v in value:
+            out = out & F.exists(c, _holds(v))
+        return out
+    return c == F.lit(value)
+
+
 def metadata_filter(chunks: DataFrame, wanted: dict) -> DataFrame:
-    """Containment: scalars are equal, arrays hold all that is asked for; applied before any leg is ranked."""
+    """Rows that contain ``wanted``, nested as deep as it is; an empty one is in all. Applied before any leg is ranked; conditions on
+    plain columns reach the scan."""
     for key, value in wanted.items():
-        c = F.col(key)
-        chunks = chunks.where(F.size(F.array_except(F.array(*[F.lit(v) for v in value]), c)) == 0 if isinstance(value, list | tuple) else c == F.lit(value))
+        chunks = chunks.where(F.coalesce(contains_value(F.col(key), value), F.lit(False)) if isinstance(value, dict | list | tuple) else contains_value(F.col(key), value))
     return chunks
 
 

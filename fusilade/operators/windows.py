@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions import text as X
@@ -24,24 +25,32 @@ def bounds(counts: np.ndarray, target: int, overlap: int) -> list[tuple[int, int
     return out
 
 
-def token_windows(df: DataFrame, keys: list[str], order: str, line: str = "line", head: str | None = None, page: str | None = None, target: int = 450, overlap: int = 60) -> DataFrame:
-    """Per section (``keys``): window_no, content (heading, blank line, reflowed lines), first and last page, token_count."""
-    rows = df.select(*keys, F.col(order).alias("__o"), F.col(line).alias("__l"), X.n_tokens(line).alias("__n"), (F.col(head) if head else F.lit(None)).cast("string").alias("__h"), (F.col(page) if page else F.lit(0)).cast("long").alias("__p"))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _spans(counts: pd.Series, target: pd.Series, overlap: pd.Series) -> pd.Series:
+    """``bounds`` of a batch of sections; only the token counts travel to Python, the lines stay in the JVM."""
+    return pd.Series([bounds(np.asarray(c), t, o) for c, t, o in zip(counts, target, overlap, strict=True)])
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__o", kind="stable")
-        spans = bounds(g["__n"].to_numpy(), target, overlap)
-        ls, p = g["__l"].tolist(), g["__p"].to_numpy()
-        out = pd.DataFrame({"window_no": range(len(spans)), "lines": [ls[s : e + 1] for s, e in spans], "page_start": [int(p[s : e + 1].min()) for s, e in spans], "page_end": [int(p[s : e + 1].max()) for s, e in spans], "head": g["__h"].iloc[0]})
-        for k in keys:
-            out.insert(0, k, g[k].iloc[0])
-        return out[[*keys, "window_no", "lines", "page_start", "page_end", "head"]]
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    out = rows.groupBy(*keys).applyInPandas(pack, f"{kinds}, window_no int, lines array<string>, page_start long, page_end long, head string")
-    body = X.reflow(F.col("lines"))
+def _value(v: int | Column) -> Column:
+    return (v if isinstance(v, Column) else F.lit(v)).cast("int")
+
+
+def token_windows(df: DataFrame, keys: list[str], order: str | Column, line: str = "line", head: str | None = None, page: str | None = None, target: int | Column = 450, overlap: int | Column = 60) -> DataFrame:
+    """Per section (``keys``): window_no, content (heading, blank line, reflowed lines), first and last page, token_count.
+
+    ``target`` and ``overlap`` may be columns that are the same in all rows of a section. A section's lines are gathered in one row."""
+    first = order if isinstance(order, Column) else F.col(order)
+    row = F.struct(first.alias("o"), F.col(line).alias("l"), X.n_tokens(line).alias("n"), (F.col(page) if page else F.lit(0)).cast("long").alias("p"))
+    shared = [F.first(c, True).alias(n) for c, n in (((F.col(head) if head else F.lit(None)).cast("string"), "head"), (_value(target), "__t"), (_value(overlap), "__v"))]
+    own = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"), *shared)
+    own = own.withColumn("__spans", _spans(F.col("__rows.n"), F.col("__t"), F.col("__v")))
+    one = own.select(*keys, "head", "__rows", F.posexplode("__spans").alias("window_no", "__span"))
+    part = F.slice("__rows", F.col("__span")[0] + 1, F.col("__span")[1] - F.col("__span")[0] + 1)
+    one = one.select(*keys, "head", "window_no", part.alias("part"))
+    body = X.reflow(F.col("part.l"))
     content = F.when(F.col("head").isNotNull(), F.concat("head", F.lit("\n\n"), body)).otherwise(body)
-    return out.select(*keys, "window_no", content.alias("content"), "page_start", "page_end", X.n_tokens(content).alias("token_count"))
+    out = one.select(*keys, "window_no", content.alias("content"), F.array_min("part.p").alias("page_start"), F.array_max("part.p").alias("page_end"))
+    return out.select("*", X.n_tokens("content").alias("token_count"))
 
 
 def numbered(df: DataFrame, doc: list[str], order: list[str], **options) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import retrieval as H
 from ..operators import structure as ST
 from ..operators import windows as TW
 from ..sources import store as S
+from . import ingest as IN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,17 +100,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).join(v, "query_id", "left")
 
 
-def term_rows(df: DataFrame, text, key: str) -> DataFrame:
-    return df.select(key, F.explode(X.tokens(text)).alias("term"))
-
-
 def three_legs(spark: SparkSession, sf: str, depth: int = DEPTH, wanted: dict | None = None, terms: int = SPARSE_K) -> dict[str, DataFrame]:
-    c, q = H.metadata_filter(chunks(spark, sf), wanted or {}), questions(spark, sf)
-    vec = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")).join(c.select("chunk_id"), "chunk_id", "left_semi")
-    ct = term_rows(c, "content", "chunk_id")
-    idf = H.idf(ct, c.count())
-    qt = H.sparse_vectors(term_rows(q, X.focus_query("question"), "query_id"), idf, "query_id", terms)
-    return {"fts": H.fts_leg(q, H.postings(c), depth), "dense": H.dense_leg(q, vec, depth), "sparse": H.sparse_leg(qt, H.sparse_vectors(ct, idf, "chunk_id", terms), depth)}
+    return search(spark, sf, terms).legs(questions(spark, sf), depth, wanted)
 
 
 def hybrid(spark: SparkSession, sf: str, wanted: dict | None = None, top_n: int = TOP_N, terms: int = SPARSE_K) -> DataFrame:
@@ -244,12 +236,6 @@ def toc_range_join(spark, sf):
     return L.range_sections(starts, read(spark, sf, "documents"), "start", "doc_id", "start").groupBy("start").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
 
 
-@query()
-def font_sections(spark, sf):
-    s = L.font_sections(S.html_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
-    return s.groupBy("page_id", "section_no").agg(F.first("head", True).alias("head"), F.count("*").alias("n_lines"), F.max("size").alias("size"))
-
-
 @query("""SELECT page_id, count(*) AS n, max(tag) AS last_tag FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<(title|h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 1))) AS tag,
   unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<(title|h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 2)) AS line FROM pages)
 WHERE regexp_replace(line, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') <> '' GROUP BY page_id""")
@@ -284,9 +270,9 @@ def fts_leg_english(spark, sf):
 
 @query(legs_sql(DEPTH) + " SELECT id AS chunk_id, count(*) AS terms, round(max(w), 6) AS most FROM dw GROUP BY id")
 def sparse_prune(spark, sf, terms=SPARSE_K):
-    ct = term_rows(chunks(spark, sf), "content", "chunk_id")
-    w = H.sparse_vectors(ct, H.idf(ct, chunks(spark, sf).count()), "chunk_id", terms)
-    return w.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("most"))
+    c = chunks(spark, sf)
+    tf = H.body_terms(H.postings(c))
+    return H.sparse_vectors(tf, H.idf(tf, c), "chunk_id", terms).groupBy("chunk_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("most"))
 
 
 @query(legs_sql(DEPTH) + " SELECT b.query_id, b.rank, b.chunk_id, b.score, d.lang, d.source, md5(d.text) AS content FROM best b JOIN documents d ON d.doc_id = b.chunk_id")
@@ -316,7 +302,12 @@ def leg_diagnostics(spark, sf, terms=SPARSE_K):
     return hybrid(spark, sf, terms=terms).select("query_id", "chunk_id", "rank", *[F.col(f"{n}_rank").cast("double").alias(f"{n}_rank") for n in H.WEIGHTS], "fts_score", "dense_score", "sparse_score", "score")
 
 
-@query()
+_TERMS = f"""list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda t: NOT list_contains({quoted(V.DIAGNOSTIC_STOP_WORDS)}, t) AND length(t) > 2)"""
+
+
+@query(legs_sql(DEPTH).replace(f"r <= {SPARSE_K})", f"r <= {SPARSE_TERMS})") + f""", t AS (SELECT query_id, {_TERMS} AS t FROM (SELECT query_id, regexp_extract_all(lower(question), '[a-z]+') AS w FROM q)),
+x AS (SELECT b.query_id, b.chunk_id, b.rank, t.t, lower(coalesce(c.head, '')) AS head, lower(coalesce(c.content, '')) AS content FROM best b JOIN t ON t.query_id = b.query_id JOIN chunks c ON c.chunk_id = b.chunk_id)
+SELECT query_id, chunk_id, rank, array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms, array_to_string(list_filter(t, lambda y: contains(content, y) AND NOT contains(head, y)), ' ') AS body_terms FROM x""")
 def explain_terms(spark, sf):
     r = hybrid(spark, sf, terms=SPARSE_TERMS).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
     return H.explain(r).select("query_id", "chunk_id", "rank", "head_terms", "body_terms")
@@ -324,10 +315,10 @@ def explain_terms(spark, sf):
 
 # --- evaluation -------------------------------------------------------------------------------------------------------------------
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a question's text. Questions are a small table; Spark broadcasts it if it is."""
-    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("t"))
+    """Documents that hold a question's text."""
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), "text")
-    return d.join(q, F.contains("text", "t")).select("query_id", "section", "chunk_id")
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
+    return E.holders(d, q, "chunk_id", "text", "query_id", "phrase").join(d.select("chunk_id", "section"), "chunk_id").select("query_id", "section", "chunk_id")
 
 
 @query("SELECT b.item_id AS query_id, d.source AS section, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -377,6 +368,43 @@ def routing_eval(spark, sf, terms=SPARSE_K):
     return r.groupBy("query_id").agg(F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("source") == F.col("book"))), F.lit(False)).alias("book_first"), F.coalesce(F.bool_or(F.col("source") == F.col("book")), F.lit(False)).alias("book_any"), F.max("score").alias("most"), (F.max("score") < 0.04).alias("out_of_scope"))
 
 
+ROUTED = """, g AS (SELECT b.item_id AS query_id, min(d.source) AS book FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+cs AS (SELECT q.query_id, q.query_id % 4 <> 3 AS in_scope, g.book, list_filter(string_split(q.focused, ' '), lambda t: length(t) > 9)[1:2] AS terms FROM q LEFT JOIN g ON g.query_id = q.query_id),
+rt AS (SELECT c.query_id, any_value(c.in_scope) AS in_scope, any_value(c.book) AS book, coalesce(bool_or(b.rank = 1 AND d.source = c.book), false) AS book_first, coalesce(bool_or(d.source = c.book), false) AS book_any,
+  any_value(c.terms) AS terms, coalesce(string_agg(lower(d.text), ' ' ORDER BY b.rank), '') AS txt, coalesce(max(b.score), 0) AS most
+  FROM cs c LEFT JOIN best b ON b.query_id = c.query_id LEFT JOIN documents d ON d.doc_id = b.chunk_id GROUP BY c.query_id),
+rc AS (SELECT query_id, in_scope, book, book_first, book_any, len(terms) = 0 OR len(list_filter(terms, lambda t: contains(txt, lower(t)))) > 0 AS term_hit, most FROM rt),
+ru AS (SELECT *, CASE WHEN in_scope THEN (book IS NULL OR book_any) AND term_hit ELSE most < 0.04 END AS passed FROM rc)"""
+
+
+def _routing(spark: SparkSession, sf: str, terms: int) -> DataFrame:
+    book = gold(spark, sf).groupBy("query_id").agg(F.min("section").alias("book"))
+    long = F.slice(F.filter(F.split(X.focus_query("question"), " "), lambda t: F.length(t) > 9), 1, 2)
+    cases = questions(spark, sf).select("query_id", (F.col("query_id") % 4 != 3).alias("in_scope"), long.alias("terms")).join(book, "query_id", "left")
+    found = hybrid(spark, sf, terms=terms).join(chunks(spark, sf).select("chunk_id", F.col("source").alias("book"), "content"), "chunk_id")
+    return E.routing(found, cases)
+
+
+@query(legs_sql(DEPTH) + ROUTED + " SELECT query_id, in_scope, book, book_first, book_any, term_hit, most, passed FROM ru")
+def routing_cases(spark, sf, terms=SPARSE_K):
+    return _routing(spark, sf, terms)
+
+
+@query(legs_sql(DEPTH) + ROUTED + """ SELECT count(*) AS cases, round(100 * avg(CASE WHEN in_scope AND book IS NOT NULL THEN book_first::INTEGER END)) AS book_first, round(100 * avg(CASE WHEN in_scope AND book IS NOT NULL THEN book_any::INTEGER END)) AS book_any,
+round(100 * avg(CASE WHEN in_scope THEN term_hit::INTEGER END)) AS term_hit, round(100 * avg(CASE WHEN NOT in_scope THEN passed::INTEGER END)) AS rejected, round(100 * avg(passed::INTEGER)) AS passed FROM ru""")
+def routing_summary(spark, sf, terms=SPARSE_K):
+    return E.routing_summary(_routing(spark, sf, terms))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT b.item_id AS query_id, d.source, {HEAD} AS head FROM (SELECT item_id, text AS t FROM benchmark) b JOIN documents d ON contains(d.text, b.t)), {CHUNKS}
+SELECT g.query_id, g.source, md5(g.head) AS head, c.chunk_id FROM g JOIN chunks c ON c.source = g.source AND c.head = g.head""")
+def gold_by_section(spark, sf):
+    """Labels name a book and a section; all chunks of that section are gold. A label without a chunk fails."""
+    c = chunks(spark, sf)
+    labels = gold(spark, sf).join(c.select("chunk_id", "source", "head"), "chunk_id").select("query_id", "source", "head").distinct()
+    return E.resolve_gold(labels, c, ["source", "head"]).select("query_id", "source", F.md5("head").alias("head"), "chunk_id")
+
+
 # --- reports, store ---------------------------------------------------------------------------------------------------------------
 @query("""SELECT lang, count(*) AS n, min(v) AS least, (list_sort(list(v)))[(count(*) // 2) + 1] AS middle, max(v) AS most, floor(sum(v) / count(*))::BIGINT AS mean,
 """ + ", ".join(f"(list_sort(list(v)))[floor({p}::DOUBLE * (count(*) - 1))::BIGINT + 1] AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95)) + " FROM (SELECT lang, n_chars AS v FROM documents) GROUP BY lang")
@@ -420,6 +448,18 @@ def toc_indicator(spark, sf):
     return read(spark, sf, "documents").select(X.toc_indicator("text").alias("indicator")).groupBy("indicator").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH f AS ({ORACLES["toc_indicator"]}) SELECT indicator, n, row_number() OVER (ORDER BY n DESC, indicator)::INTEGER AS place, (SELECT coalesce(sum(n), 0) FROM f WHERE indicator = 'section')::BIGINT AS untyped FROM f""")
+def indicator_counts(spark, sf):
+    return R.ordered_counts(read(spark, sf, "documents").select(X.toc_indicator("text").alias("indicator")), "indicator", "section")
+
+
+@query(f"""WITH st AS ({ORACLES["chunk_stats"]}), sm AS (SELECT lang, md5(string_agg(substr(text, 1, 500), chr(1) ORDER BY r)) AS samples FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')) WHERE r <= 3 GROUP BY lang)
+SELECT st.*, sm.samples FROM st LEFT JOIN sm ON sm.lang = st.lang""")
+def chunk_inspector(spark, sf):
+    got = R.inspect_chunks(read(spark, sf, "documents"), "lang", "doc_id", "text", "n_chars", "(?i)licen[sc]e")
+    return got.withColumn("samples", F.md5(F.array_join("samples", "\x01")))
+
+
 # --- structure of the corpus ------------------------------------------------------------------------------------------------------
 _TAGS = "(?is)<(title|h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)"
 _BODY = "regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
@@ -458,6 +498,17 @@ def size_histogram_whole(spark, sf):
     return h.select("page_id", "size", "chars", "is_heading", F.array_join("samples", "|").alias("samples"))
 
 
+@query(f"""WITH {PAGE_LINES}, k AS (SELECT page_id, size, count(*) AS n FROM html GROUP BY ALL),
+m AS (SELECT page_id, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, size) AS r FROM k) WHERE r = 1),
+h AS (SELECT html.*, size >= body + 1.5 AND length(line) >= 3 AND len(regexp_split_to_array(line, '[ \\t\\r\\n\\f\\x0B]+')) <= 12 AS is_head FROM html JOIN m USING (page_id)
+  WHERE NOT regexp_matches(line, '^[0-9]+[ \\t]*[•·]') AND NOT regexp_matches(line, '[•·][ \\t]*[0-9]+$')),
+s AS (SELECT *, sum(is_head::INTEGER) OVER (PARTITION BY page_id ORDER BY i) AS section_no FROM h)
+SELECT page_id, section_no::INTEGER AS section_no, max(CASE WHEN is_head THEN line END) AS head, count(*) AS n_lines, max(size) AS size FROM s GROUP BY page_id, section_no""")
+def font_sections(spark, sf):
+    s = L.font_sections(S.html_lines(read(spark, sf, "pages")), ["page_id"], ["line_no"])
+    return s.groupBy("page_id", "section_no").agg(F.first("head", True).alias("head"), F.count("*").alias("n_lines"), F.max("size").alias("size"))
+
+
 SCANNED = "^[A-Z][a-z]+ [a-z]+ [a-z]+"
 
 
@@ -528,3 +579,51 @@ def _whole(name: str):
 
 for _name in ("sparse_leg", "sparse_prune", "hybrid_search", "rrf_filtered", "rrf_ablation", "leg_diagnostics", "metrics_by_case", "metrics_by_leg", "metrics_by_class", "worst_cases", "routing_eval", "prompt_sources", "inspect_candidates", "judged_precision"):
     _whole(_name)
+
+
+@query(ORACLES["inspect_candidates"].replace("AS citation\n", "AS citation, md5(CASE WHEN f.rank <= 6 THEN d.text WHEN length(d.text) > 160 THEN substr(translate(d.text, chr(10), ' '), 1, 160) || '…' ELSE translate(d.text, chr(10), ' ') END) AS shown\n"))
+def retrieval_inspector(spark, sf, terms=SPARSE_K):
+    got = R.inspect_results(search(spark, sf, terms).inspect(questions(spark, sf)))
+    return got.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "selected", "citation", F.md5("shown").alias("shown"))
+
+
+@query(ORACLES["explain_terms"].replace("array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms", "fts_rank::DOUBLE AS fts_rank, dense_rank::DOUBLE AS dense_rank, sparse_rank::DOUBLE AS sparse_rank, score, preview, array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms").replace("SELECT b.query_id, b.chunk_id, b.rank, t.t,", "SELECT b.query_id, b.chunk_id, b.rank, t.t, b.fts_rank, b.dense_rank, b.sparse_rank, b.score, CASE WHEN length(c.content) > 260 THEN substr(translate(c.content, chr(10), ' '), 1, 260) || '…' ELSE translate(c.content, chr(10), ' ') END AS preview,"))
+def diagnostic_bench(spark, sf):
+    """Per question and result: each leg's rank, the fused score, the terms found in heading and body, a preview."""
+    r = hybrid(spark, sf, terms=SPARSE_TERMS).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
+    ranks = [F.col(f"{n}_rank").cast("double").alias(f"{n}_rank") for n in H.WEIGHTS]
+    return H.explain(r).select("query_id", "chunk_id", "rank", *ranks, "score", X.preview("content", 260).alias("preview"), "head_terms", "body_terms")
+
+
+# --- ingestion --------------------------------------------------------------------------------------------------------------------
+_SECTIONED = f"""{LINES}, k AS (SELECT doc_id, line_no, line, doc_id % 3 AS kind FROM ls WHERE line <> '' AND NOT regexp_matches(line, '^[ \\t]*[ivxlcdmIVXLCDM0-9]{{1,6}}[ \\t]*$') AND doc_id % 3 < 2),
+hd AS (SELECT *, kind = 1 AND length(line) BETWEEN 3 AND 60 AS is_head FROM k),
+se AS (SELECT *, sum(is_head::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM hd),
+sh AS (SELECT doc_id, sec, max(CASE WHEN is_head THEN line END) AS head FROM se GROUP BY ALL),
+l AS (SELECT doc_id, sec, row_number() OVER (PARTITION BY doc_id, sec ORDER BY line_no) AS i, len({TOK.format('line')}) AS n, line FROM se WHERE NOT is_head),
+c AS (SELECT doc_id, sec, list(n ORDER BY i) AS n, list(line ORDER BY i) AS lines FROM l GROUP BY ALL),
+w AS (SELECT doc_id, sec, n, lines, 0 AS k, 1::BIGINT AS s, greatest(1, (SELECT max(j) FROM range(1, len(n) + 1) t(j) WHERE list_sum(n[1:j]) <= 120))::BIGINT AS e FROM c
+  UNION ALL SELECT doc_id, sec, n, lines, k + 1, s2, greatest(e + 1, coalesce((SELECT max(j) FROM range(s2, len(n) + 1) t(j) WHERE list_sum(n[s2:j]) <= 120), 0)) FROM (
+    SELECT *, greatest(s, (SELECT min(x) FROM range(1, e + 2) t(x) WHERE coalesce(list_sum(n[x:e]), 0) <= 20)) AS s2 FROM w WHERE e < len(n))),
+b AS (SELECT w.doc_id, w.sec, w.k, sh.head, CASE WHEN sh.head IS NOT NULL THEN sh.head || chr(10) || chr(10) ELSE '' END || {STRIP.format("regexp_replace(regexp_replace(array_to_string(lines[s:e], chr(10)), '(\\p{L})-\\n', '\\1', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')")} AS content FROM w JOIN sh ON sh.doc_id = w.doc_id AND sh.sec = w.sec),
+u AS (SELECT *, list_filter(regexp_split_to_array(content, '[ \\t\\r\\n\\f]+'), lambda t: t <> '') AS x FROM b)"""
+
+
+@query(f"""WITH RECURSIVE {_SECTIONED} SELECT 'd' || doc_id AS slug, (row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1)::INTEGER AS chunk_index, head AS section, len({TOK.format('content')})::INTEGER AS token_count, md5(content) AS content
+FROM u WHERE len(x) >= 12 AND len(list_filter(x, lambda t: NOT regexp_matches(t, '\\p{{Ll}}')))::DOUBLE / greatest(len(x), 1) <= 0.5""")
+def ingest_chunks(spark, sf):
+    """Each document is a source of one page: a third are windows, a third sections at short lines, a third not in the registry."""
+    d = read(spark, sf, "documents")
+    slug = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug")
+    strategy = F.when(F.col("doc_id") % 3 == 0, "token_windows").otherwise("line_sections").alias("strategy")
+    sources = d.where("doc_id % 3 < 2").select(slug, strategy, F.lit(120).alias("target"), F.lit(20).alias("overlap"))
+    short = lambda clean: IN.line_sections(clean, F.length("line").between(3, 60))
+    got = IN.chunk_sources(d.select(slug, F.lit(1).alias("page"), "text"), sources, strategies={"line_sections": short})
+    return got.select("slug", "chunk_index", "section", "token_count", F.md5("content").alias("content"))
+
+
+@query(f"""WITH b AS (SELECT source, doc_id AS start, lead(doc_id, 1, 9223372036854775807) OVER (PARTITION BY source ORDER BY doc_id) AS until FROM documents WHERE doc_id % 50 = 7)
+SELECT d.doc_id, d.source, b.start FROM documents d JOIN b ON d.source = b.source AND d.doc_id >= b.start AND d.doc_id < b.until""")
+def toc_sections_by_source(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "source")
+    return L.range_sections(d.where("doc_id % 50 = 7").select("source", F.col("doc_id").alias("start")), d, "start", "doc_id", "start", by=["source"])

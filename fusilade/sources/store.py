@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], pattern: str | None = None) -> DataFrame:
+    """(path, page from 1, text) of binary documents. ``parse`` gives a file's page texts; a file is read and parsed by one task.
+
+    No parser is included. A file that ``parse`` fails on fails the query."""
+    files = spark.read.format("binaryFile")
+    files = (files.option("pathGlobFilter", pattern) if pattern else files).load(path).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                texts = parse(bytes(content))
+                yield pd.DataFrame({"path": name, "page": range(1, len(texts) + 1), "text": texts})
+
+    return files.mapInPandas(run, "path string, page int, text string")
+
+
+def connect(url: str | None, table: str, **options: str) -> Callable[[SparkSession], DataFrame]:
+    """A reader of a table behind a JDBC address; without an address it is an error, before any session is needed."""
+    if not url:
+        raise ValueError("no database address is set")
+    return lambda spark: spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
