@@ -10,11 +10,11 @@ title, author. Questions: query_id, question, query_vec (null: no dense leg). En
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -99,3 +99,61 @@ def answers(asked: DataFrame, generate: Callable[[list[str]], list[str]]) -> Dat
             yield b[["query_id", "answer"]]
 
     return asked.mapInPandas(run, "query_id long, answer string")
+
+
+@dataclass(frozen=True)
+class Gateway:
+    """Generators by model name, with one temperature and length for all; ``generate`` goes to ``answers``.
+
+    A model takes (prompts, temperature, max_tokens) and gives a text, or an iterable of its pieces, for each; empty pieces are skipped."""
+
+    models: dict[str, Callable[[list[str], float, int], Iterable]]
+    model: str
+    temperature: float = 0.2
+    max_tokens: int = 1024
+
+    def stream(self, asked: list[str]) -> Iterator[Iterator[str]]:
+        if self.model not in self.models:
+            raise KeyError(f"no model {self.model}")
+        for got in self.models[self.model](asked, self.temperature, self.max_tokens):
+            yield iter([got]) if isinstance(got, str) else (piece for piece in got if piece)
+
+    def generate(self, asked: list[str]) -> list[str]:
+        return ["".join(pieces) for pieces in self.stream(asked)]
+
+
+def traced(df: DataFrame, name: str | None) -> tuple[DataFrame, Observation | None]:
+    """The plan with its number of rows and of questions, and its scores' range, observed as it runs; the plan as it was without a name."""
+    if not name:
+        return df, None
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("score").alias("least"), F.max("score").alias("most")), seen
+
+
+def judge(found: DataFrame, questions: DataFrame, replies: DataFrame, ask: Callable[[list[str]], list[str]], top_n: int = 4) -> DataFrame:
+    """(query_id, faithfulness, relevancy, precision): what a judge, given as a generator, says of an answer and its first ``top_n`` sources.
+
+    It must reply with a JSON array of three numbers; anything else gives nulls."""
+    used = prompts(questions, found.where(F.col("rank") <= top_n)).join(replies, "query_id")
+    text = F.concat("prompt", F.lit("\n\nAnswer:\n"), "answer", F.lit("\n\nReply with [faithfulness, relevancy, precision], each from 0 to 1."))
+    said = answers(used.select("query_id", text.alias("prompt")), ask).withColumnRenamed("answer", "reply")
+    scores = F.from_json(F.regexp_extract("reply", "\\[[^\\]]*\\]", 0), "array<double>")
+    ok = F.when(F.size(scores) == 3, scores)
+    return said.select("query_id", *[ok[k].alias(n) for k, n in enumerate(("faithfulness", "relevancy", "precision"))])
+
+
+def register_sql(spark: SparkSession, legs: dict[str, DataFrame], name: str = "hybrid_search") -> None:
+    """A table function over ranked legs, for SQL: ``SELECT * FROM hybrid_search(match_count => 6)``. Weights and the constant have the
+    same defaults as ``Settings``; scores of 0 are left out."""
+    rows = None
+    for leg, df in legs.items():
+        part = df.select("query_id", "chunk_id", F.lit(leg).alias("leg"), "rank")
+        rows = part if rows is None else rows.unionByName(part)
+    rows.createOrReplaceTempView(f"{name}_legs")
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    weight = " ".join(f"WHEN '{n}' THEN {n}_weight" for n in H.WEIGHTS)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(match_count INT DEFAULT 6, rrf_k DOUBLE DEFAULT {float(H.K)}, {", ".join(f"{n}_weight DOUBLE DEFAULT {w}" for n, w in H.WEIGHTS.items())})
+      RETURNS TABLE (query_id {rows.schema["query_id"].dataType.simpleString()}, chunk_id {kind}, score DOUBLE, rank INT)
+      RETURN SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+        SELECT query_id, chunk_id, round(sum(part), 9) AS score FROM (SELECT query_id, chunk_id, CASE leg {weight} END / (rrf_k + rank) AS part FROM {name}_legs WHERE rank <= 2 * match_count)
+        GROUP BY query_id, chunk_id) WHERE score > 0) WHERE rank <= match_count""")
