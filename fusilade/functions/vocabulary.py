@@ -7,7 +7,7 @@ ASPECTS = ("conjunction", "conjunct", "opposition", "trine", "square", "sextile"
 HEADING_BODIES = ("sun", "moon", "mercury", "venus", "mars", "jupiter", "saturn", "uranus", "neptune", "pluto", "ascendant", "midheaven")
 HEADING_ASPECTS = ("conjunct", "sextile", "square", "trine", "opposition", "quincunx", "semisextile", "semisquare")
 ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth")
-#: Words that frame a question without content.
+# Fixed values, in natural order: words that frame a question without content.
 FRAME_WORDS = (
     "which what who whose whom when where why how make makes making made cause causes caused give gives given mean means meaning indicate "
     "indicates show shows represent represents describe tell explain you your yours my mine me i we our us a an the in of to do does did is "
@@ -15,7 +15,7 @@ FRAME_WORDS = (
     "them they he she his her him its it combination combinations placement placements position positions aspect aspects natal birth chart "
     "charts horoscope horoscopes astrology astrological zodiac sign signs"
 ).split()
-#: Words left out of a diagnosis of matched terms.
+# Fixed values, in natural order: words left out of a diagnosis of matched terms.
 DIAGNOSTIC_STOP_WORDS = "what does do mean means is are the a an in of my your his her to and for how with when it that this i you natal chart".split()
-#: Aspects that a scan for heading lines knows.
+# Fixed values, in natural order: aspects that a scan for heading lines knows.
 SCANNED_ASPECTS = ("conjunct", "sextile", "square", "trine", "opposition", "conjunction", "quincunx", "semisextile")
