@@ -16,7 +16,6 @@ that take spaces with them) has no borders that can be relied on: its texts are
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import give_back, spread, table, text_slices, window_hash
 
 HASH_BYTES, CHUNK_MASK, HEAD, LOOK = 16, 255, 6, 3
-CHUNK_CACHE_CHARS, WORD_CACHE, CACHED_WORD = 8 << 20, 400_000, 64
+CHUNK_CACHE_CHARS, WORD_CACHE, CACHED_WORD = 4 << 20, 150_000, 64
 # Below U+0250 without control separators, NEL and NBSP, the character classes of Python and of the library are the same.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
@@ -47,18 +46,16 @@ class Encoder:
     """Encodes and decodes with one tokenizer file; keeps words and chunks met before."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        self.tok = Tokenizer.from_str(json.dumps(made))
+        self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
-        self.by_chunks = plain and not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.special = {t["content"].encode(): t["id"] for t in added}
+        pre, added = self.tok.pre_tokenizer, self.tok.get_added_tokens_decoder()
+        plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.by_chunks = plain and self.tok.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex
+        self.special = {t.content.encode(): i for i, t in added.items()}
         self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; bounds the memory of a Python worker whatever the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 M64 = (1 << 64) - 1
 
 
@@ -50,6 +50,7 @@ def n_groups(df: DataFrame) -> int:
 
 def give_back() -> None:
     """Returns freed memory of a Python worker, which lives on after its task, to the system; where the C library can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -28,6 +28,8 @@ from .common import cut, table
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3.0, 20240601
 BLOCK_WORDS, SHARD_WORDS, MOST_BLOCKS, NODES = 200_000, 5_000_000, 1 << 16, 256
+#: Copies of blocks up to which the table of blocks is broadcast.
+BROADCAST_COPIES = 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -162,6 +164,8 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size
     copies = copies.join(shards, ["__s", "rank"])
     per_block = copies.groupBy("__s", "__block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("__all"), F.first("__passes").alias("__full"), F.max("part").alias("__part"))
     per_block = cut(per_block.join(limit, ["__s", "__block"], "left"))
+    if count.sum() <= BROADCAST_COPIES:  # a row a block, and as many placements in all
+        per_block = F.broadcast(per_block)
     out = _block_columns(df, sources.drop("__passes", "__rest"), source_col, id_col, size_col, seed).join(per_block, ["__s", "__block"], "left")
     taken = F.exists(F.arrays_zip("lows", "limits", "gaps"), lambda x: (F.col("__key") >= x["lows"]) & (F.col("__key") <= x["limits"]) & (F.col(size_col) <= x["gaps"]))
     kept = F.filter("__all", lambda p: ~F.col("__part") | (p["copy"] < F.col("__full")) | F.coalesce(taken, F.lit(False)))

@@ -32,7 +32,7 @@ from .common import cut, give_back, mix64, n_groups, ranges, spread, table, text
 from .jaccard import span_hashes
 
 WIDTH, SEED, COPIES = 50, 20, 1
-FLUSH, MOST_FLUSH, SHARD_BLOCKS, SHARD_BYTES = 600_000, 4_000_000, 20_000, 1 << 20
+FLUSH, MOST_FLUSH, SHARD_BLOCKS, SHARD_BYTES = 400_000, 4_000_000, 20_000, 1 << 19
 #: Bits of a seed's and of a block's hash that are compared and sent.
 SEED_BITS, BLOCK_BITS = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFFFFFFFFFF00)
 
@@ -464,7 +464,7 @@ def tell_apart(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
         blocks = t.column("block").combine_chunks().to_pylist()
         parts, at, size = [], 0, 0
         order = np.argsort(k, kind="stable")
-        for i in range(len(blocks) + 1):  # groups of whole seeds, about 1 MB each
+        for i in range(len(blocks) + 1):  # groups of whole seeds, about SHARD_BYTES each
             if i == len(blocks) or (size > SHARD_BYTES and k[order[i]] != k[order[i - 1]]):
                 if len(rows := order[at:i]):
                     parts += _shard(doc, row, lo, piece, blocks, rows, width)
