@@ -190,28 +190,37 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+#: Edges that a task of `components` reads of a round's list.
+EDGES_A_TASK = 1 << 20
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component = smallest node; only nodes with an edge.
 
     Alternates large-star and small-star until nothing changes; nodes may be of any type with an order. Each step is a map-side combined
     ``min`` and an equi-join: a hub's edges stream through one task of the join (two ids each, never held together), which adaptive
-    execution splits when it is large. The lineage is cut each round. Self-loops and nulls are ignored.
+    execution splits when it is large. The lineage is cut each round, and a round reads its edges in as many tasks as their number asks
+    for, one a core at least: the driver keeps a record of every task. Self-loops and nulls are ignored.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = cut(e)
-    seen = None
+
+    def settle(e: DataFrame) -> tuple[DataFrame, tuple]:
+        e = cut(e.where("u > v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return e.coalesce(max(e.sparkSession.sparkContext.defaultParallelism, -(-now[0] // EDGES_A_TASK))), now
+
+    def two(*pairs):
+        return F.inline(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs]))
+
+    e, seen = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(two(("u", "v"), ("v", "u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = both.join(low, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        e, now = settle(large.join(small_low, "u").select(two(("v", "m"), ("u", "m"))))
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
