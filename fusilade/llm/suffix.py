@@ -4,8 +4,8 @@ Where two documents share a string of ``width`` bytes, both choose the same anch
 ``SEED``-byte substrings. Windows with the same anchor form a block. Anchors meet by their hash; equal blocks are settled at once (all
 but the smallest document lose the block's windows), locally first, so a passage that many documents hold is a row per batch. Where an
 anchor has several different blocks that may share a window, the distinct blocks become the text of a shard. Its suffix array is built
-by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings sorted and named, the string of names sorted in the same
-way, and the order induced to the L and then the S suffixes. Permuted common prefixes between neighbours in the array then group the
+by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings sorted as packed words and named, the string of names
+sorted in the same way, and the order induced to the L and then the S suffixes, once a level. Permuted common prefixes between neighbours in the array then group the
 windows that are equal; each group's smallest document keeps them.
 
 ``copies`` is how many documents of equal blocks, those of the smallest ids, go on to the shards; only the others are settled by the hash
@@ -90,8 +90,8 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffix array from sorted (or, to sort LMS substrings, any) order of the LMS suffixes: L suffixes bucket by bucket upwards, then
-    S suffixes downwards; each step takes all of a bucket's suffixes at hand at once, in order."""
+    """Suffix array from the sorted LMS suffixes: L suffixes bucket by bucket upwards, then S suffixes downwards; each step takes all of a
+    bucket's suffixes at hand at once, in order."""
     n = len(t)
     l_in: list[list[np.ndarray]] = [[] for _ in range(symbols)]
     s_in: list[list[np.ndarray]] = [[] for _ in range(symbols)]
@@ -150,33 +150,69 @@ def _induce_names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: i
     """As ``_induce``, an element at a time: for alphabets about as large as the string, whose buckets hold few."""
     n, size = len(t), np.bincount(t, minlength=symbols)
     ends = np.cumsum(size)
-    text, is_s, sa = t.tolist(), s_type.tolist(), [-1] * n
+    sa = [0] * n  # 0 is also "none yet": nothing stands before suffix 0
     tail = ends.tolist()
-    for j in reversed(lms.tolist()):
-        c = text[j]
+    for j, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         tail[c] -= 1
         sa[tail[c]] = j
+    # Of each suffix: the bucket of the suffix before it where that is of the type at hand, else -1.
+    before = np.full(n, -1, np.int64)
+    before[1:] = np.where(s_type[:-1], -1, t[:-1])
+    up = before.tolist()
+    before[1:] = np.where(s_type[:-1], t[:-1], -1)
+    down = before.tolist()
     head = (ends - size).tolist()
-    if not is_s[n - 1]:  # the suffix before the virtual end
-        c = text[n - 1]
+    if not s_type[n - 1]:  # the suffix before the virtual end
+        c = int(t[n - 1])
         sa[head[c]] = n - 1
         head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_s[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for j in sa:  # sees what is put further on
+        c = up[j]
+        if c >= 0:
+            p = head[c]
+            sa[p] = j - 1
+            head[c] = p + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_s[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for j in reversed(sa):
+        c = down[j]
+        if c >= 0:
+            p = tail[c] - 1
+            sa[p] = j - 1
+            tail[c] = p
     return np.array(sa)
 
 
+def _sorted_substrings(t: np.ndarray, lms: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """LMS positions in the order of prefixes that hold their LMS substrings, and which prefix differs from the one before: symbols
+    are packed into words, and those that still tie are told apart by the next word until the longest substring among them is passed."""
+    n, bits = len(t), int(symbols).bit_length()
+    per = 63 // bits
+    padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(per, np.int64)])  # the end is smaller than everything
+    word = np.zeros(n + 1, np.int64)
+    for k in range(per):
+        word = word << bits | padded[k : n + 1 + k]
+    length = np.append(lms[1:] - lms[:-1] + 1, n - lms[-1] + 1)  # the last one with the end of the text
+    first = word[lms]
+    order = np.argsort(first, kind="stable")
+    differ = np.ones(len(lms), bool)
+    differ[1:] = first[order[1:]] != first[order[:-1]]
+    done = per
+    while True:
+        head = np.flatnonzero(differ)
+        size = np.diff(np.append(head, len(lms)))
+        open_ = (size > 1) & (np.maximum.reduceat(length[order], head) > done)
+        if not open_.any():
+            return lms[order], differ
+        at = ranges(head[open_], size[open_])
+        group = np.repeat(np.arange(int(open_.sum())), size[open_])
+        x = order[at]
+        w = word[np.minimum(lms[x] + done, n)]
+        o = np.lexsort((w, group))
+        order[at], w = x[o], w[o]
+        differ[at[1:]] |= w[1:] != w[:-1]
+        done += per
+
+
 def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
     """Suffix array of a string of numbers below ``symbols``."""
     n = len(t)
@@ -190,29 +226,11 @@ def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     if not len(lms):
         return induce(t, s_type, lms, symbols)
-    sa = induce(t, s_type, lms, symbols)
-    order = sa[is_lms[sa]]
-    # Names of LMS substrings, compared as far as the next LMS position.
-    nxt = np.append(lms[1:], n - 1)
-    length = np.zeros(n, np.int64)
-    length[lms] = nxt - lms + 1
-    a, b = order[:-1], order[1:]
-    differ = length[a] != length[b]
-    alive = np.flatnonzero(~differ)
-    k = 0
-    while len(alive):
-        x, y = a[alive] + k, b[alive] + k
-        bad = t[x] != t[y]
-        differ[alive[bad]] = True
-        alive = alive[~bad]
-        k += 1
-        alive = alive[length[a[alive]] > k]
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(differ)])
-    name = rank[lms]
-    names = int(name.max()) + 1
-    if names < len(name):
-        order = lms[suffix_array(name, max(names, 257))]
+    order, differ = _sorted_substrings(t, lms, symbols)
+    if not differ.all():
+        rank = np.zeros(n, np.int64)
+        rank[order] = np.cumsum(differ) - 1
+        order = lms[suffix_array(rank[lms], max(int(differ.sum()), 257))]
     return induce(t, s_type, order, symbols)
 
 

@@ -154,6 +154,20 @@ def test_suffix_arrays():
             assert plcp[i] == k
 
 
+def test_suffix_arrays_induce_once_a_level(monkeypatch):
+    calls = []
+    for name in ("_induce", "_induce_names"):
+        monkeypatch.setattr(suffix, name, lambda t, *a, f=getattr(suffix, name): calls.append(len(t)) or f(t, *a))
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, a, n).astype(np.uint8) for n, a in ((300, 2), (3000, 3), (400, 256))]
+    texts += [np.tile(texts[0], 5), np.repeat(texts[0], rng.integers(1, 20, 300)), np.zeros(300, np.uint8)]  # repeats, long runs
+    for t in texts:
+        b = t.tobytes()
+        calls.clear()
+        assert list(suffix.suffix_array(t)) == sorted(range(len(b)), key=lambda i: b[i:])
+        assert len(set(calls)) == len(calls)  # a level's string is shorter than that of the level above
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------------------------
 def test_bpe_equals_library(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_MASK", 7)
