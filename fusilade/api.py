@@ -42,24 +42,40 @@ class HybridSearch:
         """``terms`` is the chunks' stored term table (``retrieval.postings``), for which no text is read again; without it each search makes it."""
         self.chunks, self.vectors, self.documents, self.settings, self.terms = chunks, vectors, documents, settings, terms
 
-    def legs(self, questions: DataFrame, depth: int, wanted: dict | None = None) -> dict[str, DataFrame]:
-        """The ranked legs; lexical and sparse ones read the focused question, the dense one its vector."""
-        s = self.settings
-        c = H.metadata_filter(self.chunks, wanted or {})
-        vectors = self.vectors.join(c.select("chunk_id"), "chunk_id", "left_semi")
-        posts = H.postings(c) if self.terms is None else self.terms.join(c.select("chunk_id"), "chunk_id", "left_semi") if wanted else self.terms
+    def leg(self, name: str, questions: DataFrame, depth: int, wanted: dict | None = None) -> DataFrame:
+        """One ranked leg; the lexical and the sparse one read the focused question, the dense one its vector."""
+        s, c = self.settings, H.metadata_filter(self.chunks, wanted or {})
+        if name == "dense":
+            return H.dense_leg(questions, self.vectors.join(c.select("chunk_id"), "chunk_id", "left_semi"), depth)
+        if self.terms is None:
+            return H.text_legs(questions, c, depth, (name,), s.sparse_terms, s.english).drop("leg")
+        posts = self.terms.join(c.select("chunk_id"), "chunk_id", "left_semi") if wanted else self.terms
+        if name == "fts":
+            return H.fts_leg(questions, H.english_postings(posts) if s.english else posts, depth, s.english)
         tf = H.body_terms(posts)
         idf = H.idf(tf, c)
         asked = H.sparse_vectors(H.term_counts(questions, X.focus_query("question"), "query_id"), idf, "query_id", s.sparse_terms)
-        lexical = H.fts_leg(questions, H.english_postings(posts) if s.english else posts, depth, s.english)
-        return {"fts": lexical, "dense": H.dense_leg(questions, vectors, depth), "sparse": H.sparse_leg(asked, H.sparse_vectors(tf, idf, "chunk_id", s.sparse_terms), depth)}
+        return H.sparse_leg(asked, H.sparse_vectors(tf, idf, "chunk_id", s.sparse_terms), depth)
+
+    def legs(self, questions: DataFrame, depth: int, wanted: dict | None = None) -> dict[str, DataFrame]:
+        """The ranked legs."""
+        return {name: self.leg(name, questions, depth, wanted) for name in H.WEIGHTS}
+
+    def ranked(self, questions: DataFrame, depth: int, wanted: dict | None = None) -> DataFrame:
+        """(leg, query_id, chunk_id, rank, score): the rows of all legs, with one pass over the texts for the lexical and the sparse one."""
+        if self.terms is not None:
+            return H.leg_rows(self.legs(questions, depth, wanted))
+        s, c = self.settings, H.metadata_filter(self.chunks, wanted or {})
+        texts = H.text_legs(questions, c, depth, most=s.sparse_terms, english=s.english)
+        return texts.unionByName(H.leg_rows({"dense": self.leg("dense", questions, depth, wanted)}))
 
     def candidates(self, questions: DataFrame, m: int, wanted: dict | None = None) -> DataFrame:
         """Top ``m`` per question with each leg's rank and score; legs are ranked to twice that depth."""
-        return H.top(H.fuse(self.legs(questions, 2 * m, wanted), self.settings.weights, self.settings.rrf_k), m)
+        return H.top(H.fuse_rows(self.ranked(questions, 2 * m, wanted), list(H.WEIGHTS), self.settings.weights, self.settings.rrf_k), m)
 
     def _cited(self, found: DataFrame) -> DataFrame:
-        out = found.join(self.chunks, "chunk_id").join(self.documents.select("document_id", "title", "author"), "document_id")
+        # As many as the questions' results: the texts of all chunks are not shuffled for them.
+        out = self.chunks.join(F.broadcast(found), "chunk_id").join(self.documents.select("document_id", "title", "author"), "document_id")
         return out.withColumn("citation", X.citation("title", "author", "page_start", "page_end"))
 
     def retrieve(self, questions: DataFrame, top_n: int | None = None, wanted: dict | None = None) -> DataFrame:

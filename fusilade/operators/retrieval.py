@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from ..functions import english as EN
 from ..functions import text as X
+from . import corpus as C
 
 K, FTS_WEIGHT, DENSE_WEIGHT, SPARSE_WEIGHT = 50, 0.7, 1.0, 1.0
 HEAD_WEIGHT, BODY_WEIGHT = 1.0, 0.1
@@ -34,16 +35,27 @@ def _english(rows: DataFrame) -> DataFrame:
     return rows.join(stems, "lexeme").drop("lexeme").withColumnRenamed("stem", "lexeme")
 
 
+def _one_each(chunks: DataFrame, head: str, content: str) -> tuple[DataFrame, int, bool]:
+    """(chunk_id, head, content) with the texts of rows that share an id joined into one, the number of rows, and whether an id is null.
+
+    Ids are counted when this is called; texts are dealt out by id when they are read, however few tasks their scan has."""
+    counts = chunks.groupBy("chunk_id").agg(F.count("*").alias("k"))
+    n, most, no_ids = counts.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0)), F.count_if(F.col("chunk_id").isNull())).first()
+    own = chunks.select("chunk_id", F.col(head).alias("__head"), F.col(content).alias("__content"))
+    if most > 1:
+        several = counts.where("k > 1").select(F.col("chunk_id").alias("__id"))
+        same = F.col("chunk_id").eqNullSafe(F.col("__id"))
+        joined = own.join(several, same, "left_semi").groupBy("chunk_id").agg(*[F.concat_ws("\n", F.collect_list(c)).alias(c) for c in ("__head", "__content")])
+        own = own.join(several, same, "left_anti").unionByName(joined)
+    return own.repartition("chunk_id"), n, no_ids > 0
+
+
 def postings(chunks: DataFrame, head: str = "head", content: str = "content", english: bool = False) -> DataFrame:
-    """The term table (chunk_id, lexeme, tf_head, tf_body), of which the lexical leg, the terms' idf and the sparse vectors are made.
+    """The term table (chunk_id, lexeme, tf_head, tf_body), of which the lexical leg, the terms' idf and the sparse vectors can be made.
 
-    Texts are shuffled once, by chunk; counts per chunk and term, scores per chunk and a vector's cut need no other shuffle. English
-    lexemes are stems without stop words."""
-    own = chunks.select("chunk_id", head, content).repartition("chunk_id")
-    one = lambda c, h, b: F.transform(X.tokens(c), lambda t: F.struct(t.alias("lexeme"), F.lit(h).alias("h"), F.lit(b).alias("b")))
-    rows = own.select("chunk_id", F.explode(F.concat(one(head, 1, 0), one(content, 0, 1))).alias("t")).select("chunk_id", "t.*")
-    rows = rows.groupBy("chunk_id", "lexeme").agg(F.sum("h").cast("long").alias("tf_head"), F.sum("b").cast("long").alias("tf_body"))
-    return english_postings(rows) if english else rows
+    Terms are counted where a chunk's text is; nothing but texts is shuffled. English lexemes are stems without stop words."""
+    own, kind = _one_each(chunks, head, content)[0], chunks.schema["chunk_id"].dataType.simpleString()
+    return own.mapInArrow(C.posting_rows(english), f"chunk_id {kind}, lexeme string, tf_head long, tf_body long")
 
 
 def english_postings(posts: DataFrame) -> DataFrame:
@@ -61,18 +73,88 @@ def term_counts(df: DataFrame, text: Column, key: str) -> DataFrame:
     return df.select(key, F.explode(X.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _asked_lexemes(queries: DataFrame, english: bool) -> DataFrame:
+    """(query_id, lexeme) of the focused queries."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(X.focus_query("question")))).alias("lexeme"))
+    return _english(terms).distinct() if english else terms
+
+
 def fts_leg(queries: DataFrame, posts: DataFrame, depth: int, english: bool = False) -> DataFrame:
-    """Chunks with any of the focused query's lexemes, by weighted occurrences; ``english`` as the postings were made.
+    """Chunks with any of the focused query's lexemes, by weighted occurrences, from a term table; ``english`` as the postings were made.
 
     Where the queries' lexemes can be broadcast, a chunk's score is summed where its terms are and each task cuts its own ranking, so a
     shuffle carries ``depth`` rows a query and task, however common a lexeme is."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(X.focus_query("question")))).alias("lexeme"))
-    if english:
-        terms = _english(terms).distinct()
-    hit = posts.join(terms, "lexeme").groupBy("query_id", "chunk_id")
+    hit = posts.join(_asked_lexemes(queries, english), "lexeme").groupBy("query_id", "chunk_id")
     return ranked(hit.agg((HEAD_WEIGHT * F.sum("tf_head") + BODY_WEIGHT * F.sum("tf_body")).alias("score")), depth)
 
 
+#: Terms of several chunks that the driver collects and each worker holds, 16 bytes each; of more, sparse vectors are made by joins.
+VOCABULARY = 4_000_000
+
+
+def text_legs(queries: DataFrame, chunks: DataFrame, depth: int, legs: tuple[str, ...] = ("fts", "sparse"), most: int = 256, english: bool = False, vocabulary: int | None = None) -> DataFrame:
+    """(leg, query_id, chunk_id, rank, score) of the lexical and the sparse leg over the chunks' texts: as ``fts_leg`` and ``sparse_leg``
+    over ``postings``, by one pass over the texts for both, after one for the terms' idf where the sparse leg is asked for.
+
+    A task keeps ``depth`` chunks a query and leg. The driver holds the terms of all queries and, up to ``vocabulary``, those of several
+    chunks; they are collected when this is called. Chunk ids are whole numbers."""
+    spark, kind = chunks.sparkSession, chunks.schema["chunk_id"].dataType.simpleString()
+    own, n, no_ids = _one_each(chunks, "head", "content")
+    found: dict[str, C.Leg] = {}
+    rows: dict[str, pa.Table] = {}
+    parts: list[DataFrame] = []
+    if "fts" in legs:
+        rows["fts"] = _asked_lexemes(queries, english).toArrow()
+    if "sparse" in legs:
+        rows["sparse"] = term_counts(queries, X.focus_query("question"), "query_id").toArrow()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    ids = pa.concat_tables([t.select(["query_id"]) for t in rows.values()])["query_id"].unique()
+    flat = lambda c: c.combine_chunks()
+    numbers = lambda t: C.pc.index_in(flat(t["query_id"]), value_set=ids).to_numpy().astype(np.int64)
+
+    if "fts" in legs:
+        t = rows["fts"]
+        found["fts"] = C.Leg(C.Asked(numbers(t), flat(t["lexeme"]), np.ones(len(t))), 9, HEAD_WEIGHT, BODY_WEIGHT, english)
+    if "sparse" in legs:
+        t = rows["sparse"]
+        word = flat(t["term"]).cast(pa.string())
+        asked = spark.createDataFrame(pa.table({"term": word.unique(), "asked": pa.array([True] * len(word.unique()))}))
+        df = own.select("__content").mapInArrow(C.frequency_rows, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+        idf_of = F.log(F.lit(n + 1.0) / (F.col("df") + 1))
+        df = df.join(F.broadcast(asked), "term", "left").where("df > 1 OR asked")
+        vocabulary = VOCABULARY if vocabulary is None else vocabulary
+        known = df.select("term", idf_of.alias("idf")).limit(vocabulary + 1).toArrow()
+        if len(known) > vocabulary:
+            tf = body_terms(postings(chunks))
+            by_joins = sparse_vectors(tf, idf(tf, chunks), "chunk_id", most)
+            mine = sparse_vectors(term_counts(queries, X.focus_query("question"), "query_id"), idf(tf, chunks), "query_id", most)
+            parts.append(sparse_leg(mine, by_joins, depth).withColumn("leg", F.lit("sparse")).select("leg", "query_id", "chunk_id", "rank", "score"))
+        else:
+            terms, value = flat(known["term"]).cast(pa.string()), flat(known["idf"]).to_numpy()
+            at = C.pc.index_in(word, value_set=terms).fill_null(-1).to_numpy().astype(np.int64)
+            w = np.where(at >= 0, C.weights(flat(t["tf"]).to_numpy(), value[at] if len(value) else np.zeros(len(at))), 0.0)
+            order = np.empty(len(word), np.int64)
+            order[C.pc.sort_indices(word).to_numpy()] = np.arange(len(word))
+            query = numbers(t)
+            by_query = np.argsort(query, kind="stable")
+            kept = by_query[C.pruned(query[by_query], order[by_query], w[by_query], most)]
+            hashes = C.term_hash(terms)
+            o = np.argsort(hashes)
+            rare = float(np.log((n + 1.0) / 2))
+            found["sparse"] = C.Leg(C.Asked(query[kept], word.take(pa.array(kept)), w[kept]), 6, vocabulary=C.Vocabulary(hashes[o], value[o], rare), most=most)
+    if found and len(ids):
+        shared = spark.sparkContext.broadcast(found)
+        run = C.ranking_rows(list(found), ids, depth, no_ids, shared)
+        scored = own.mapInArrow(run, f"leg string, query_id {query_kind}, chunk_id long, score double").withColumn("chunk_id", F.col("chunk_id").cast(kind))
+        digits = F.when(F.col("leg") == "sparse", F.round("score", 6)).otherwise(F.round("score", 9))
+        w = Window.partitionBy("leg", "query_id").orderBy(F.desc("score"), "chunk_id")
+        scored = scored.withColumn("score", digits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
+        parts.append(scored.select("leg", "query_id", "chunk_id", "rank", "score"))
+    if not parts:
+        return spark.createDataFrame([], f"leg string, query_id {query_kind}, chunk_id {kind}, rank int, score double")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _unit(rows: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the usable vectors among ``rows`` and these vectors at length 1; null, zero and non-finite ones and those of another
     length than ``dims`` are not usable."""
@@ -188,14 +270,24 @@ def sparse_leg(query_terms: DataFrame, chunk_terms: DataFrame, depth: int) -> Da
     return ranked(chunk_terms.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).where("score > 0"), depth, 6)
 
 
-def fuse(legs: dict[str, DataFrame], weights: dict[str, float], k: int = K) -> DataFrame:
-    """Reciprocal rank fusion in one aggregation: (query_id, chunk_id, <leg>_rank, <leg>_score ..., score)."""
+def leg_rows(legs: dict[str, DataFrame]) -> DataFrame:
+    """(leg, query_id, chunk_id, rank, score) of legs."""
     rows = None
     for name, leg in legs.items():
-        part = leg.select("query_id", "chunk_id", F.lit(name).alias("leg"), "rank", F.col("score").alias("s"))
+        part = leg.select(F.lit(name).alias("leg"), "query_id", "chunk_id", "rank", "score")
         rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def fuse(legs: dict[str, DataFrame], weights: dict[str, float], k: int = K) -> DataFrame:
+    """Reciprocal rank fusion in one aggregation: (query_id, chunk_id, <leg>_rank, <leg>_score ..., score)."""
+    return fuse_rows(leg_rows(legs), list(legs), weights, k)
+
+
+def fuse_rows(rows: DataFrame, legs: list[str], weights: dict[str, float], k: int = K) -> DataFrame:
+    """As ``fuse``, from the rows of all legs."""
     of = lambda n, c: F.max(F.when(F.col("leg") == n, F.col(c)))
-    out = rows.groupBy("query_id", "chunk_id").agg(*[of(n, "rank").alias(f"{n}_rank") for n in legs], *[of(n, "s").alias(f"{n}_score") for n in legs])
+    out = rows.groupBy("query_id", "chunk_id").agg(*[of(n, "rank").alias(f"{n}_rank") for n in legs], *[of(n, "score").alias(f"{n}_score") for n in legs])
     total = sum((F.coalesce(F.lit(float(weights[n])) / (F.lit(float(k)) + F.col(f"{n}_rank")), F.lit(0.0)) for n in legs), F.lit(0.0))
     return out.withColumn("score", F.round(total, 9))
 

@@ -92,7 +92,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 # --- Spark side of the same -------------------------------------------------------------------------------------------------------
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.split("text", "\n")[0].alias("head"), F.col("text").alias("content"), "lang", "source")
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("head"), F.col("text").alias("content"), "lang", "source")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,12 +100,18 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).join(v, "query_id", "left")
 
 
-def three_legs(spark: SparkSession, sf: str, depth: int = DEPTH, wanted: dict | None = None, terms: int = SPARSE_K) -> dict[str, DataFrame]:
-    return search(spark, sf, terms).legs(questions(spark, sf), depth, wanted)
+def three_legs(spark: SparkSession, sf: str, depth: int = DEPTH, wanted: dict | None = None, terms: int = SPARSE_K) -> DataFrame:
+    """Rows of all legs, fused."""
+    return H.fuse_rows(search(spark, sf, terms).ranked(questions(spark, sf), depth, wanted), list(H.WEIGHTS), H.WEIGHTS)
 
 
 def hybrid(spark: SparkSession, sf: str, wanted: dict | None = None, top_n: int = TOP_N, terms: int = SPARSE_K) -> DataFrame:
-    return H.top(H.fuse(three_legs(spark, sf, 2 * top_n, wanted, terms), H.WEIGHTS), top_n)
+    return H.top(three_legs(spark, sf, 2 * top_n, wanted, terms), top_n)
+
+
+def with_chunks(found: DataFrame, of: DataFrame) -> DataFrame:
+    """Results with columns of their chunks: ``top_n`` rows a question, which are sent to where the texts are."""
+    return of.join(F.broadcast(found), "chunk_id")
 
 
 # --- expressions ------------------------------------------------------------------------------------------------------------------
@@ -253,7 +259,7 @@ def postings(spark, sf):
 def _leg(name: str):
     @query(legs_sql(DEPTH) + f" SELECT query_id, chunk_id, rank, score FROM {name}")
     def leg(spark, sf, terms=SPARSE_K):
-        return three_legs(spark, sf, terms=terms)[name]
+        return search(spark, sf, terms).leg(name, questions(spark, sf), DEPTH).select("query_id", "chunk_id", "rank", "score")
 
     QUERIES[f"{name}_leg"], ORACLES[f"{name}_leg"] = QUERIES.pop("leg"), ORACLES.pop("leg")
 
@@ -265,7 +271,7 @@ for _name in ("fts", "dense", "sparse"):
 @query()
 def fts_leg_english(spark, sf):
     """Stems have no SQL; tested on a fixture."""
-    return H.fts_leg(questions(spark, sf), H.postings(chunks(spark, sf), english=True), DEPTH, english=True)
+    return H.text_legs(questions(spark, sf), chunks(spark, sf), DEPTH, ("fts",), english=True).drop("leg")
 
 
 @query(legs_sql(DEPTH) + " SELECT id AS chunk_id, count(*) AS terms, round(max(w), 6) AS most FROM dw GROUP BY id")
@@ -277,8 +283,8 @@ def sparse_prune(spark, sf, terms=SPARSE_K):
 
 @query(legs_sql(DEPTH) + " SELECT b.query_id, b.rank, b.chunk_id, b.score, d.lang, d.source, md5(d.text) AS content FROM best b JOIN documents d ON d.doc_id = b.chunk_id")
 def hybrid_search(spark, sf, terms=SPARSE_K):
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.md5("text").alias("content"))
-    return hybrid(spark, sf, terms=terms).select("query_id", "rank", "chunk_id", "score").join(d, "chunk_id")
+    found = hybrid(spark, sf, terms=terms).select("query_id", "rank", "chunk_id", "score")
+    return with_chunks(found, chunks(spark, sf)).select(*found.columns, "lang", "source", F.md5("content").alias("content"))
 
 
 @query(legs_sql(DEPTH, "lang = 'en'") + " SELECT query_id, rank, chunk_id, score FROM best")
@@ -294,7 +300,7 @@ gold AS (SELECT b.item_id AS query_id, d.source AS section, d.doc_id AS chunk_id
 
 @query(ABLATION + " SELECT leg, query_id, chunk_id, rank, score FROM ab")
 def rrf_ablation(spark, sf, terms=SPARSE_K):
-    return H.ablate(H.fuse(three_legs(spark, sf, 40, terms=terms), H.WEIGHTS), 20)
+    return H.ablate(three_legs(spark, sf, 40, terms=terms), 20)
 
 
 @query(legs_sql(DEPTH) + " SELECT query_id, chunk_id, rank, fts_rank::DOUBLE AS fts_rank, dense_rank::DOUBLE AS dense_rank, sparse_rank::DOUBLE AS sparse_rank, fts_score, dense_score, sparse_score, score FROM best")
@@ -309,7 +315,7 @@ _TERMS = f"""list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), l
 x AS (SELECT b.query_id, b.chunk_id, b.rank, t.t, lower(coalesce(c.head, '')) AS head, lower(coalesce(c.content, '')) AS content FROM best b JOIN t ON t.query_id = b.query_id JOIN chunks c ON c.chunk_id = b.chunk_id)
 SELECT query_id, chunk_id, rank, array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms, array_to_string(list_filter(t, lambda y: contains(content, y) AND NOT contains(head, y)), ' ') AS body_terms FROM x""")
 def explain_terms(spark, sf):
-    r = hybrid(spark, sf, terms=SPARSE_TERMS).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
+    r = with_chunks(hybrid(spark, sf, terms=SPARSE_TERMS), chunks(spark, sf)).join(questions(spark, sf).select("query_id", "question"), "query_id")
     return H.explain(r).select("query_id", "chunk_id", "rank", "head_terms", "body_terms")
 
 
@@ -364,7 +370,7 @@ SELECT q.query_id, coalesce(bool_or(b.rank = 1 AND d.source = g.book), false) AS
 FROM q JOIN best b ON b.query_id = q.query_id JOIN documents d ON d.doc_id = b.chunk_id LEFT JOIN g ON g.query_id = q.query_id GROUP BY q.query_id""")
 def routing_eval(spark, sf, terms=SPARSE_K):
     book = gold(spark, sf).groupBy("query_id").agg(F.min("section").alias("book"))
-    r = hybrid(spark, sf, terms=terms).join(chunks(spark, sf).select("chunk_id", "source"), "chunk_id").join(book, "query_id", "left")
+    r = with_chunks(hybrid(spark, sf, terms=terms), chunks(spark, sf).select("chunk_id", "source")).join(book, "query_id", "left")
     return r.groupBy("query_id").agg(F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("source") == F.col("book"))), F.lit(False)).alias("book_first"), F.coalesce(F.bool_or(F.col("source") == F.col("book")), F.lit(False)).alias("book_any"), F.max("score").alias("most"), (F.max("score") < 0.04).alias("out_of_scope"))
 
 
@@ -381,7 +387,7 @@ def _routing(spark: SparkSession, sf: str, terms: int) -> DataFrame:
     book = gold(spark, sf).groupBy("query_id").agg(F.min("section").alias("book"))
     long = F.slice(F.filter(F.split(X.focus_query("question"), " "), lambda t: F.length(t) > 9), 1, 2)
     cases = questions(spark, sf).select("query_id", (F.col("query_id") % 4 != 3).alias("in_scope"), long.alias("terms")).join(book, "query_id", "left")
-    found = hybrid(spark, sf, terms=terms).join(chunks(spark, sf).select("chunk_id", F.col("source").alias("book"), "content"), "chunk_id")
+    found = with_chunks(hybrid(spark, sf, terms=terms), chunks(spark, sf).select("chunk_id", F.col("source").alias("book"), "content"))
     return E.routing(found, cases)
 
 
@@ -437,7 +443,7 @@ def thread_history(spark, sf):
 
 @query(legs_sql(DEPTH) + " SELECT query_id, md5(string_agg('[' || rank || '] ' || source || ', p.' || chunk_id || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS sources FROM best b JOIN documents d ON d.doc_id = b.chunk_id GROUP BY query_id")
 def prompt_sources(spark, sf, terms=SPARSE_K):
-    r = hybrid(spark, sf, terms=terms).join(chunks(spark, sf), "chunk_id")
+    r = with_chunks(hybrid(spark, sf, terms=terms), chunks(spark, sf))
     part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), X.citation("source", F.lit(None).cast("string"), "chunk_id", "chunk_id"), F.lit("\n"), "content")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n")
     return r.groupBy("query_id").agg(F.md5(joined).alias("sources"))
@@ -590,7 +596,7 @@ def retrieval_inspector(spark, sf, terms=SPARSE_K):
 @query(ORACLES["explain_terms"].replace("array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms", "fts_rank::DOUBLE AS fts_rank, dense_rank::DOUBLE AS dense_rank, sparse_rank::DOUBLE AS sparse_rank, score, preview, array_to_string(list_filter(t, lambda y: contains(head, y)), ' ') AS head_terms").replace("SELECT b.query_id, b.chunk_id, b.rank, t.t,", "SELECT b.query_id, b.chunk_id, b.rank, t.t, b.fts_rank, b.dense_rank, b.sparse_rank, b.score, CASE WHEN length(c.content) > 260 THEN substr(translate(c.content, chr(10), ' '), 1, 260) || '…' ELSE translate(c.content, chr(10), ' ') END AS preview,"))
 def diagnostic_bench(spark, sf):
     """Per question and result: each leg's rank, the fused score, the terms found in heading and body, a preview."""
-    r = hybrid(spark, sf, terms=SPARSE_TERMS).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf).select("query_id", "question"), "query_id")
+    r = with_chunks(hybrid(spark, sf, terms=SPARSE_TERMS), chunks(spark, sf)).join(questions(spark, sf).select("query_id", "question"), "query_id")
     ranks = [F.col(f"{n}_rank").cast("double").alias(f"{n}_rank") for n in H.WEIGHTS]
     return H.explain(r).select("query_id", "chunk_id", "rank", *ranks, "score", X.preview("content", 260).alias("preview"), "head_terms", "body_terms")
 
