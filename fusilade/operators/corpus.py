@@ -1,4 +1,4 @@
-"""Passes over the corpus in the tasks: term counts, document frequencies and rankings of texts.
+"""Passes over the corpus in the tasks: term counts, document frequencies, rankings of texts and the texts that hold phrases.
 
 A task works on slices of its texts and keeps what it needs of them, so its memory grows neither with its rows nor with the corpus, and
 no token is shuffled. Tokens are those of ``text.tokens``.
@@ -348,3 +348,53 @@ def ranking_rows(names: list[str], ids: pa.Array, depth: int, no_ids: bool, shar
                 yield out(name, *got)
 
     return run
+
+
+# --- phrases ---------------------------------------------------------------------------------------------------------------------
+def holder_rows(keys: pa.Array, names: list[str], shared):
+    """mapInArrow over (text, key ...): key ..., phrase key of the texts that hold a phrase. ``shared`` broadcasts the phrases, each with
+    the inner words in a row by which it is met; one without is looked for in all texts."""
+
+    def gram(codes: list[np.ndarray]) -> np.ndarray:
+        key = np.zeros(len(codes[0]), np.uint64)
+        for c in codes:
+            key = key * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64) + np.uint64(1)
+        return key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        said, bare = [p.encode() for p, _ in own], [i for i, (_, w) in enumerate(own) if not w]
+        listed = sorted({x for _, w in own for x in w})
+        code, words, met = {x: i for i, x in enumerate(listed)}, pa.array(listed, pa.string()), {}
+        for n in sorted({len(w) for _, w in own if w}):
+            at = np.array([i for i, (_, w) in enumerate(own) if len(w) == n])
+            key = gram([np.array([code[own[i][1][k]] for i in at]) for k in range(n)])
+            order = np.argsort(key, kind="stable")
+            met[n] = key[order], at[order]
+        for b in batches:
+            text = b.column(0)
+            for lo, hi in slices(text):
+                part = text.slice(lo, hi - lo)
+                terms, ((codes, row),) = _coded(part)
+                place = pc.index_in(terms, value_set=words).fill_null(-1).to_numpy().astype(np.int64)[codes]
+                found = [(np.repeat(np.arange(hi - lo), len(bare)), np.tile(np.array(bare, np.int64), hi - lo))]
+                for n, (key, which) in met.items():
+                    at = np.flatnonzero(place >= 0)
+                    for k in range(1, n):
+                        at = at[at + k < len(place)]
+                        at = at[(place[at + k] >= 0) & (row[at + k] == row[at])]
+                    if not len(at):
+                        continue
+                    g = gram([place[at + k] for k in range(n)])
+                    first = np.searchsorted(key, g, "left")
+                    k = np.searchsorted(key, g, "right") - first
+                    end = np.cumsum(k)
+                    found.append((np.repeat(row[at], k), which[np.arange(int(end[-1])) + np.repeat(first - (end - k), k)]))
+                pair = np.unique(np.concatenate([r * len(own) + p for r, p in found]))
+                data, off = _buffers(part)
+                raw, valid = data.tobytes(), part.is_valid().to_numpy(zero_copy_only=False)
+                pair = pair[[bool(valid[r]) and raw.find(said[p], off[r], off[r + 1]) >= 0 for r, p in zip((pair // len(own)).tolist(), (pair % len(own)).tolist(), strict=True)]] if len(pair) else pair
+                rows = pa.array(lo + pair // len(own))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[1:]), keys.take(pa.array(pair % len(own)))], names)
+
+    return run

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import corpus as C
 
 DEPTHS = (1, 3, 6, 10)
 
@@ -41,26 +42,19 @@ def require_gold(cases: DataFrame, gold: DataFrame, on: list[str] | None = None)
     return joined.withColumn("chunk_id", F.when(F.col("chunk_id").isNull(), missing).otherwise(F.col("chunk_id")))
 
 
-def holders(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str, most: int = 3) -> DataFrame:
-    """(key, phrase_key) of the texts that hold a phrase.
+def holders(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str, most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, phrase_key, keep ...) of the texts that hold a phrase, a row for each text and phrase.
 
-    A phrase's inner words stand as words in every text that holds it, so texts and phrases meet by a hash of ``most`` such words in a row;
-    the phrase itself is then looked for. Phrases with fewer inner words meet by what they have; those with none are compared with all."""
-    words = X.tokens(phrase)
-    keyed = phrases.select(phrase_key, phrase, words.alias("w")).withColumn("n", F.least(F.lit(most), F.greatest(F.size("w") - 2, F.lit(0))))
-    pairs = None
-
-    def grams(n: int):
-        return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.col("w")[i + k] for k in range(n)]))
-
-    for n in range(1, most + 1):
-        own = keyed.where(F.col("n") == n).select(phrase_key, F.xxhash64(*[F.col("w")[i + 1] for i in range(n)]).alias("__g"))
-        rows = texts.select(key, X.tokens(text).alias("w")).where(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams(n))).alias("__g"))
-        part = rows.join(own, "__g").select(key, phrase_key)
-        pairs = part if pairs is None else pairs.unionByName(part)
-    bare = texts.join(keyed.where("n = 0").select(phrase_key, F.col(phrase).alias("__p")), F.contains(F.col(text), F.col("__p"))).select(key, phrase_key)
-    met = texts.select(key, F.col(text).alias("__t")).join(pairs, key).join(phrases.select(phrase_key, F.col(phrase).alias("__p")), phrase_key)
-    return met.where(F.contains("__t", "__p")).select(key, phrase_key).unionByName(bare)
+    A phrase's inner words stand as words in every text that holds it, so texts and phrases meet by the first ``most`` of them in a row; the
+    phrase itself is then looked for. Phrases with fewer inner words meet by what they have; those with none are looked for in all texts.
+    One pass over the texts, which are dealt out by key; the driver holds all phrases, which are collected when this is called."""
+    said = phrases.where(F.col(phrase).isNotNull()).select(F.col(phrase_key).alias("k"), F.col(phrase).alias("p"), X.tokens(phrase).alias("w")).toArrow()
+    own = [(p, w[1 : 1 + max(0, min(most, len(w) - 2))]) for p, w in zip(said["p"].to_pylist(), said["w"].to_pylist(), strict=True)]
+    columns = [key, *keep]
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns) + f", `{phrase_key}` {phrases.schema[phrase_key].dataType.simpleString()}"
+    shared = texts.sparkSession.sparkContext.broadcast(own)
+    run = C.holder_rows(said["k"].combine_chunks(), [*columns, phrase_key], shared)
+    return texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__t"), *columns).repartition(key).mapInArrow(run, fields).select(key, phrase_key, *keep)
 
 
 def resolve_gold(labels: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:

@@ -324,7 +324,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a question's text."""
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), "text")
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
-    return E.holders(d, q, "chunk_id", "text", "query_id", "phrase").join(d.select("chunk_id", "section"), "chunk_id").select("query_id", "section", "chunk_id")
+    return E.holders(d, q, "chunk_id", "text", "query_id", "phrase", keep=("section",)).select("query_id", "section", "chunk_id")
 
 
 @query("SELECT b.item_id AS query_id, d.source AS section, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

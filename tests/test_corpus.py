@@ -4,6 +4,7 @@ import pytest
 
 from fusilade.functions import text as X
 from fusilade.operators import corpus as C
+from fusilade.operators import evaluation as E
 from fusilade.operators import retrieval as H
 from pyspark.sql import functions as F
 
@@ -100,3 +101,13 @@ def test_pairs_are_scored_in_parts_of_whole_rows(monkeypatch):
     for most in (1, 4, 5, 1 << 21):
         monkeypatch.setattr(C, "MOST_PAIRS", most)
         assert {(int(a), int(b)): float(s) for r, q, v in C.scored(row, place, [value], asked, 3) for a, b, s in zip(r, q, v, strict=True)} == want
+
+
+def test_holders_read_a_text_once(spark):
+    texts = [(1, "one two three four five"), (2, "xone two three four fivex"), (3, "a b"), (4, None), (5, ""), (5, "zz one two"), (6, "One two three four five"), (7, "…")]
+    said = [(1, "one two three four five"), (2, "two three"), (3, "b"), (4, ""), (5, None), (6, "…"), (7, "ne two three fou"), (8, "e two three four fiv"), (9, "wo three fo"), (10, "one two")]
+    t, p = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame(said, "p long, s string")
+    got = E.holders(t, p, "k", "t", "p", "s", keep=("t",))
+    assert "Generate" not in plan(got) and "Join" not in plan(got)
+    want = sorted((k, q, x) for k, x in texts for q, s in said if x is not None and s is not None and s in x)
+    assert rows(got, "k", "p", "t") == want
