@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,11 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes and decodes with one tokenizer file; keeps words and chunks met before."""
+    """Encodes and decodes with one tokenizer file; keeps words and chunks met before.
 
-    def __init__(self, path: str):
+    Ids are held as comma-joined text with their decoding beside them or, in a ``binary`` encoder, as 32-bit words alone."""
+
+    def __init__(self, path: str, binary: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,7 +60,9 @@ class Encoder:
         self.by_chunks = plain and self.tok.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex
         self.special = {t.content.encode(): i for i, t in added.items()}
         self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
-        self.words: dict[str, tuple[str, str]] = {}
+        self.binary, self.comma = binary, b"" if binary else ","
+        self.most_words = WORD_CACHE * (2 if binary else 1)  # a binary entry takes about half
+        self.words: dict = {}
         self.chunks: dict[bytes, tuple] = {}
         self.ready: dict[bytes, tuple[str, list[str]]] = {}
         self.held = self.reused = self.made = 0
@@ -71,14 +76,17 @@ class Encoder:
             return FAST.findall(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def word(self, w: str) -> tuple[str, str]:
-        """Comma-joined ids of a pre-token, and their decoding."""
+    def made_of(self, ids: list[int]):
+        """What is held of ids."""
+        return array("i", ids).tobytes() if self.binary else (",".join(map(str, ids)), self.tok.decode(ids, skip_special_tokens=False))
+
+    def word(self, w: str):
+        """Ids of a pre-token: comma-joined with their decoding, or binary."""
         got = self.words.get(w)
         if got is None:
-            ids = self.tok.encode(w, add_special_tokens=False).ids
-            got = ",".join(map(str, ids)), self.tok.decode(ids, skip_special_tokens=False)
+            got = self.made_of(self.tok.encode(w, add_special_tokens=False).ids)
             if len(w) <= CACHED_WORD:
-                if len(self.words) >= WORD_CACHE:
+                if len(self.words) >= self.most_words:
                     self.words.clear()
                 self.words[w] = got
         return got
@@ -88,14 +96,21 @@ class Encoder:
         new = [w for w in words.difference(self.words) if len(w) <= CACHED_WORD]
         if not new:
             return
-        if len(self.words) + len(new) > WORD_CACHE:
+        if len(self.words) + len(new) > self.most_words:
             self.words.clear()
         got = [x.ids for x in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        if self.binary:
+            self.words.update(zip(new, [array("i", i).tobytes() for i in got], strict=True))
+            return
         for w, i, t in zip(new, got, self.tok.decode_batch(got, skip_special_tokens=False), strict=True):
             self.words[w] = ",".join(map(str, i)), t
 
-    def put(self, words: list[str], ids: list[str], texts: list[str]) -> None:
+    def put(self, words: list[str], ids: list, texts: list[str]) -> None:
         get, word = self.words.get, self.word
+        if self.binary:
+            found = list(map(get, words))
+            ids += found if None not in found else [word(w) if i is None else i for w, i in zip(words, found, strict=True)]
+            return
         for w in words:
             i, t = get(w) or word(w)
             ids.append(i)
@@ -129,9 +144,9 @@ class Encoder:
         if k > HEAD:
             ids, texts = [], []
             self.put(words[HEAD:k], ids, texts)
-            got = text, words[:HEAD], ",".join(ids), "".join(texts), words[k:]
+            got = text, words[:HEAD], self.comma.join(ids), "".join(texts), words[k:]
         else:
-            got = text, None, "", "", words
+            got = text, None, self.comma, "", words
         if self.held + len(raw) > CHUNK_CACHE_CHARS:
             self.chunks.clear()
             self.held = 0
@@ -139,7 +154,7 @@ class Encoder:
         self.held += len(raw)
         return got
 
-    def segment(self, pieces: list[bytes], ids: list[str], texts: list[str]) -> None:
+    def segment(self, pieces: list[bytes], ids: list, texts: list[str]) -> None:
         """Encodes the chunks of a text without special tokens, joins repaired."""
         tail: list[str] = []
         for raw in pieces:
@@ -158,7 +173,7 @@ class Encoder:
             tail = words[k:]
         self.put(self.split("".join(tail)), ids, texts)
 
-    def agree(self, tail: list[str], head: list[str], ids: list[str], texts: list[str]) -> int:
+    def agree(self, tail: list[str], head: list[str], ids: list, texts: list[str]) -> int:
         """Encodes tail and head together; puts what precedes the first agreed border and returns that border's index in head, or -1."""
         left = "".join(tail)
         words = self.split(left + "".join(head))
@@ -175,25 +190,25 @@ class Encoder:
             p += len(words[i])
         return -1
 
-    def encode(self, pieces: list[bytes]) -> tuple[str, str]:
-        """Comma-joined ids and decoded text of a text given as its chunks."""
-        ids: list[str] = []
+    def encode(self, pieces: list[bytes]):
+        """Comma-joined ids and decoded text of a text given as its chunks; of a binary encoder the ids."""
+        ids: list = []
         texts: list[str] = []
         raw = b"".join(pieces)
         if not self.by_chunks:
-            got = self.tok.encode(raw.decode(), add_special_tokens=False).ids
-            return ",".join(map(str, got)), self.tok.decode(got, skip_special_tokens=False)
+            return self.made_of(self.tok.encode(raw.decode(), add_special_tokens=False).ids)
         if not self.cuts or not self.cuts.search(raw):
             self.segment(pieces, ids, texts)
         else:
             for k, part in enumerate(self.cuts.split(raw)):
                 if k % 2:
-                    ids.append(str(self.special[part]))
-                    texts.append(self.tok.decode([self.special[part]], skip_special_tokens=False))
+                    got = self.made_of([self.special[part]])
+                    ids.append(got if self.binary else got[0])
+                    texts.append("" if self.binary else got[1])
                 elif part:
                     data = np.frombuffer(part, np.uint8)
                     self.segment([part[a:b] for a, b in borders(data, np.array([0, len(data)]))[0]], ids, texts)
-        return ",".join(ids), "".join(texts)
+        return b"".join(ids) if self.binary else (",".join(ids), "".join(texts))
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -211,19 +226,19 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]
     return [[(listed[k], listed[k + 1]) for k in range(where[i], where[i + 1])] for i in range(len(offsets) - 1)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, binary: bool = False) -> Encoder:
     """This worker's encoder of a file; None is looked up here, since the place may differ between machines."""
-    path = path or default_path()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path or default_path(), binary
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
-def _encoded(batches, path, make, pick):
-    enc = encoder(path)
+def _encoded(batches, path, make, pick, binary=False):
+    enc = encoder(path, binary)
     try:
         for b in batches:
             for lo, hi, data, off in text_slices(b.column(pick(b))):
@@ -244,13 +259,13 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
     df = df.select([F.col(f"`{f.name}`") for f in keep])
 
     def make(b, rows):
-        flat = np.array(",".join(r[0] for r in rows if r[0]).split(","), dtype=np.int32) if any(r[0] for r in rows) else np.zeros(0, np.int32)
-        n = np.array([r[0].count(",") + 1 if r[0] else 0 for r in rows], np.int64)
+        flat = np.frombuffer(b"".join(rows), np.int32)
+        n = np.array([len(r) // 4 for r in rows], np.int64)
         arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays([*b.columns, arr, pa.array(n)], names=[*b.schema.names, "token_ids", "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda bs: _encoded(bs, path, make, lambda b: b.schema.get_field_index(text_col)), f"{fields}, token_ids array<int>, n_tokens long")
+    return df.mapInArrow(lambda bs: _encoded(bs, path, make, lambda b: b.schema.get_field_index(text_col), True), f"{fields}, token_ids array<int>, n_tokens long")
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:

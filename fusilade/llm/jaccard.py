@@ -52,13 +52,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte ranges."""
-    p, inv = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_WORDS[data] * p[: len(data)])])
+def span_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from the start, of which ranges' hashes are made."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_WORDS[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    return out
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit polynomial hashes of byte ranges; ``sums`` are the data's, where they are at hand."""
+    inv = powers(len(data) + 1)[1]
+    sums = span_sums(data) if sums is None else sums
     return mix64((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def width_hashes(data: np.ndarray, width: int, sums: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of each ``width`` bytes: result[i] covers data[i : i + width]."""
+    n = max(len(data) - width + 1, 0)
+    return mix64((sums[width : width + n] - sums[:n]) * powers(len(data) + 1)[1][:n])
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of every row, ascending inside the row, and how many each row has."""
     n = len(offsets) - 1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, mix64, n_groups, ranges, spread, table, text_slices, window_hash
-from .jaccard import span_hashes
+from .jaccard import span_hashes, span_sums, width_hashes
 
 WIDTH, SEED, COPIES = 50, 20, 1
 FLUSH, MOST_FLUSH, SHARD_BLOCKS, SHARD_BYTES = 400_000, 4_000_000, 20_000, 1 << 19
@@ -45,7 +45,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros((0, 2), np.uint16)
     if len(data) < width:
         return none
-    h = window_hash(data, seed)
+    sums = span_sums(data)
+    h = width_hashes(data, seed, sums)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span = width - seed + 1
     out, done = low, 1
@@ -65,12 +66,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int
     head = np.flatnonzero(first)
     n = np.diff(np.append(head, len(i)))
     start, at = i[head], pi[head]
-    block = mix64(span_hashes(data, start, start + n + width - 1) + (at - start).astype(np.uint64))
+    block = mix64(span_hashes(data, start, start + n + width - 1, sums) + (at - start).astype(np.uint64))
     half = (width - seed + 1) // 2
-    near, sides = window_hash(data, half) if half else np.zeros(0, np.uint64), np.zeros((len(at), 2), np.uint16)
+    sides = np.zeros((len(at), 2), np.uint16)
     reach = (at - start >= half), (start + n + width - 1 - (at + seed) >= half)
     for side, ok, place in ((0, reach[0], at - half), (1, reach[1], at + seed)):
-        sides[ok, side] = near[place[ok]] >> np.uint64(48) | np.uint64(1) if half else 1
+        sides[ok, side] = span_hashes(data, place[ok], place[ok] + half, sums) >> np.uint64(48) | np.uint64(1) if half else 1
     return h[at], block, row[head], start - offsets[row[head]], n, sides
 
 
