@@ -17,6 +17,8 @@ from ..functions import english as EN
 
 #: Bytes of text that a kernel works on at once; pairs of a text's term and a query that are scored at once; rows that a task holds.
 SLICE_BYTES, MOST_PAIRS, HELD = 2 << 20, 1 << 21, 1 << 20
+#: Strings that are hashed at once.
+HASHED = 1 << 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 TOKEN = np.zeros(256, bool)
@@ -161,7 +163,9 @@ def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 # --- rankings --------------------------------------------------------------------------------------------------------------------
 def term_hash(terms: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings: a polynomial of their bytes, mixed."""
+    """64-bit hashes of strings: a polynomial of their bytes, mixed. Some strings at a time, as a vocabulary has many."""
+    if len(terms) > HASHED:
+        return np.concatenate([term_hash(terms.slice(k, HASHED)) for k in range(0, len(terms), HASHED)])
     data, offsets = _buffers(terms)
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(np.diff(offsets).max(initial=0)), 0xD6E8FEB86659FD93, np.uint64)]))
     length = np.diff(offsets)

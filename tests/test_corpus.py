@@ -111,3 +111,11 @@ def test_holders_read_a_text_once(spark):
     assert "Generate" not in plan(got) and "Join" not in plan(got)
     want = sorted((k, q, x) for k, x in texts for q, s in said if x is not None and s is not None and s in x)
     assert rows(got, "k", "p", "t") == want
+
+
+def test_hashes_of_terms_do_not_depend_on_what_stands_beside_them(monkeypatch):
+    terms = pa.array([f"{a}{b}" for a in ("", "a", "b'", "zz") for b in range(500)] + ["", "a" * 300])
+    whole = C.term_hash(terms)
+    assert len(set(whole.tolist())) == len(terms)
+    monkeypatch.setattr(C, "HASHED", 7)
+    assert np.array_equal(C.term_hash(terms), whole) and C.term_hash(terms.slice(3, 1))[0] == whole[3]
